@@ -46,18 +46,20 @@ def first_unmatched(primary: DataFrame, other: DataFrame, on: Sequence[str], ord
     return unmatched(primary.select(*on), other, on).orderBy(*order).limit(n)
 
 
-def calendar_join(df: DataFrame, ts: str, typical: DataFrame, typical_ts: str,
-                  order: Sequence[str], columns: Sequence[str],
-                  parts: Sequence[str] = ("month", "day", "hour")) -> DataFrame:
+def calendar_join(df: DataFrame, ts: str, typical: DataFrame, typical_ts: str, order: Sequence[str],
+                  columns: Sequence[str], parts: Sequence[str] = ("month", "day", "hour"),
+                  keys: Sequence[str] = ()) -> DataFrame:
     """Attach typical-year columns by calendar pattern; the first row of a slot wins.
 
-    A slot missing from the typical year (29 February) gives nulls. After deduplication the
-    table has at most 366 * 24 rows, which bounds the broadcast.
+    A slot missing from the typical year (29 February) gives nulls. Without ``keys`` the
+    deduplicated table has at most 366 * 24 rows, which bounds its broadcast. With ``keys``
+    (one typical year per site) it grows with the sites and is left to adaptive execution.
     """
     take = {"month": F.month, "day": F.dayofmonth, "hour": F.hour}
     slots = [f"__{p}" for p in parts]
-    keyed = typical.withColumns({f"__{p}": take[p](typical_ts) for p in parts})
-    dim = dedupe_first(keyed.select(*slots, *order, *[c for c in columns if c not in order]),
-                       slots, order).select(*slots, *columns)
-    left = df.withColumns({f"__{p}": take[p](ts) for p in parts})
-    return left.join(F.broadcast(dim), slots, "left").drop(*slots)
+    on = [*keys, *slots]
+    keyed = typical.select("*", *[take[p](typical_ts).alias(f"__{p}") for p in parts])
+    dim = dedupe_first(keyed.select(*on, *dict.fromkeys([*order, *columns])), on, order).select(*on, *columns)
+    left = df.select("*", *[take[p](ts).alias(f"__{p}") for p in parts])
+    joined = left.join(dim if keys else F.broadcast(dim), on, "left")
+    return joined.select(*df.columns, *columns)

@@ -51,9 +51,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.count(F.lit(1)).alias("n"), F.min("value").alias("__min"), F.max("value").alias("__max"),
         F.percentile_approx("value", F.array(*[F.lit(p) for p in wanted]), F.lit(accuracy)).alias("__cut"))
     bounds = []
+    small = F.col("n") * margin < 4     # a few thousand values: bracket them all
     for j, q in enumerate(probs):
-        lo = F.col("__min") if q - margin <= 0 else F.col("__cut")[2 * j]
-        hi = F.col("__max") if q + margin >= 1 else F.col("__cut")[2 * j + 1]
+        lo = F.lit(True) if q - margin <= 0 else small
+        hi = F.lit(True) if q + margin >= 1 else small
+        lo = F.when(lo, F.col("__min")).otherwise(F.col("__cut")[2 * j])
+        hi = F.when(hi, F.col("__max")).otherwise(F.col("__cut")[2 * j + 1])
         bounds += [lo.alias(f"__lo{j}"), hi.alias(f"__hi{j}")]
     sketch = sketch.select(*keys, "n", *bounds)
 
@@ -76,7 +79,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     cells = (counts.groupBy(*keys, "n", "__slot", "__cell").agg(F.sum("__c").alias("__c"))
              .withColumn("__before", F.coalesce(F.sum("__c").over(by_cell), F.lit(0))))
     ranks = [_rank(q) for q in probs]
-    flat = [r for low, _ in ranks for r in (low, F.least(low + 1, F.col("n") - 1))]
+    flat = [r for low, frac in ranks for r in (low, F.when(frac > 0, low + 1).otherwise(low))]
     holds = F.lit(False)
     for r in flat:
         holds = holds | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))
