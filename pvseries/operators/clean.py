@@ -150,10 +150,17 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def list_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row whose key occurs more than once."""
-    repeated = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-                .filter("__n > 1").select(*keys))
-    return df.join(repeated, list(keys), "left_semi")
+    """Every row whose key occurs more than once; missing key parts count as equal.
+
+    Keys are counted map-side first. The semi join then streams the rows, and adaptive
+    execution splits the partition of a key with very many of them.
+    """
+    repeated = (df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+                .filter("__n > 1"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(repeated, same, "left_semi")
 
 
 def union_years(*parts: DataFrame) -> DataFrame:

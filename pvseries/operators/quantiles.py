@@ -5,8 +5,8 @@ buffer, which fails for continuous measures at scale. Here a bounded sketch brac
 wanted ranks, and the exact values are then found inside the brackets only:
 
 1. ``percentile_approx`` gives a value below and above each wanted rank (fixed memory).
-2. One pass counts values outside the brackets by slot and inside them by value. Counting
-   combines map-side, so only values near the wanted ranks are shuffled.
+2. Values outside the brackets are counted, and values inside them are counted by value.
+   Both combine map-side, so only values near the wanted ranks are shuffled.
 3. Each bracket is divided into ``_CELLS`` equal-width cells. Running counts over cells
    (a bounded number of rows per group) name the cells that hold the ranks, and only
    those are ordered.
@@ -42,48 +42,69 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     so the sketch table may be broadcast; pass False for groups that grow with the data.
     """
     asked, probs = list(probs), sorted(probs)
-    keys = [*groups, "column"]
+    groups, keys = list(groups), [*groups, "__i"]
+    index, brackets = range(len(columns)), range(len(probs))
     hint = F.broadcast if few_groups else (lambda d: d)
-    long = melt(df, columns, groups)
+    numbers = [quoted(c).cast("double") for c in columns]
+    wide = df.select(*groups, *[F.when(~F.isnan(v), v).alias(f"__v{i}") for i, v in enumerate(numbers)])
+
     margin = 4.0 / accuracy
-    wanted = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("__min"), F.max("value").alias("__max"),
-        F.percentile_approx("value", F.array(*[F.lit(p) for p in wanted]), F.lit(accuracy)).alias("__cut"))
+    shares = F.array(*[F.lit(p) for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))])
+    sketch = wide.groupBy(*groups).agg(*[f for i in index for v in [F.col(f"__v{i}")] for f in (
+        F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
+        F.percentile_approx(v, shares, F.lit(accuracy)).alias(f"cut{i}"))])
     bounds = []
-    small = F.col("n") * margin < 4     # a few thousand values: bracket them all
-    for j, q in enumerate(probs):
-        lo = F.lit(True) if q - margin <= 0 else small
-        hi = F.lit(True) if q + margin >= 1 else small
-        lo = F.when(lo, F.col("__min")).otherwise(F.col("__cut")[2 * j])
-        hi = F.when(hi, F.col("__max")).otherwise(F.col("__cut")[2 * j + 1])
-        bounds += [lo.alias(f"__lo{j}"), hi.alias(f"__hi{j}")]
-    sketch = sketch.select(*keys, "n", *bounds)
+    for i in index:
+        small = F.col(f"n{i}") * margin < 4     # a few thousand values: bracket them all
+        for j, q in enumerate(probs):
+            lo = F.lit(True) if q - margin <= 0 else small
+            hi = F.lit(True) if q + margin >= 1 else small
+            bounds += [F.when(lo, F.col(f"min{i}")).otherwise(F.col(f"cut{i}")[2 * j]).alias(f"lo{i}_{j}"),
+                       F.when(hi, F.col(f"max{i}")).otherwise(F.col(f"cut{i}")[2 * j + 1]).alias(f"hi{i}_{j}")]
+    table = sketch.select(*groups, F.struct(*bounds).alias("__b"))
+    placed = (wide.join(hint(table), groups) if groups
+              else wide.withColumn("__b", table.select("__b").scalar()))
 
     # Slot 2j+1 is bracket j, slot 2j the values between brackets j-1 and j.
-    value, slot, cell = F.col("value"), F.lit(2 * len(probs)), F.lit(0)
-    for j in reversed(range(len(probs))):
-        lo, hi = F.col(f"__lo{j}"), F.col(f"__hi{j}")
-        slot = F.when(value < lo, 2 * j).when(value <= hi, 2 * j + 1).otherwise(slot)
-        within = F.when(hi > lo, F.floor((value - lo) / (hi - lo) * _CELLS).cast("int")).otherwise(0)
-        cell = F.when(F.col("__slot") == 2 * j + 1, within).otherwise(cell)
-    placed = (long.join(hint(sketch), keys).withColumn("__slot", slot).withColumn("__cell", cell)
-              .select(*keys, "n", "__slot", "__cell", "value"))
-    exact = F.col("__slot") % 2 == 1
-    counts = (placed.groupBy(*keys, "n", "__slot", "__cell", F.when(exact, F.col("value")).alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__c")))
+    slots, cells = {}, []
+    for i in index:
+        v, slot, cell = F.col(f"__v{i}"), F.lit(2 * len(probs)), F.lit(0)
+        for j in reversed(brackets):
+            lo, hi = F.col("__b")[f"lo{i}_{j}"], F.col("__b")[f"hi{i}_{j}"]
+            slot = F.when(v < lo, 2 * j).when(v <= hi, 2 * j + 1).otherwise(slot)
+            within = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * _CELLS).cast("int")).otherwise(0)
+            cell = F.when(F.col(f"__s{i}") == 2 * j + 1, within).otherwise(cell)
+        slots[f"__s{i}"] = F.when(v.isNotNull(), slot)
+        cells.append(cell)
+    placed = placed.withColumns(slots)
+    between = placed.groupBy(*groups).agg(F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.lit(2 * j).alias("__slot"), F.lit(0).alias("__cell"),
+                 F.lit(None).cast("double").alias("__v"), F.count_if(F.col(f"__s{i}") == 2 * j).alias("__c"))
+        for i in index for j in range(len(probs) + 1)]).alias("__l"))
+    between = between.select(*groups, F.explode("__l").alias("__l")).select(*groups, "__l.*").filter("__c > 0")
+    hits = [F.col(f"__s{i}") % 2 == 1 for i in index]
+    some = hits[0]
+    for hit in hits[1:]:
+        some = some | hit
+    inside = placed.filter(some).select(*groups, F.explode(F.array(*[
+        F.when(hits[i], F.struct(F.lit(i).alias("__i"), F.col(f"__s{i}").alias("__slot"),
+                                 cells[i].alias("__cell"), F.col(f"__v{i}").alias("__v"))) for i in index])).alias("__l"))
+    inside = (inside.filter(F.col("__l").isNotNull()).select(*groups, "__l.*")
+              .groupBy(*keys, "__slot", "__cell", "__v").agg(F.count(F.lit(1)).alias("__c")))
+    counts = between.unionByName(inside)
 
     # Running counts over cells; ordering by slot and cell is ordering by value.
-    by_cell = Window.partitionBy(*keys).orderBy("__slot", "__cell").rowsBetween(
-        Window.unboundedPreceding, -1)
-    cells = (counts.groupBy(*keys, "n", "__slot", "__cell").agg(F.sum("__c").alias("__c"))
-             .withColumn("__before", F.coalesce(F.sum("__c").over(by_cell), F.lit(0))))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__slot", "__cell").rowsBetween(Window.unboundedPreceding, -1)
+    sized = (counts.groupBy(*keys, "__slot", "__cell").agg(F.sum("__c").alias("__c"))
+             .withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+             .withColumn("n", F.sum("__c").over(whole)))
     ranks = [_rank(q) for q in probs]
     flat = [r for low, frac in ranks for r in (low, F.when(frac > 0, low + 1).otherwise(low))]
     holds = F.lit(False)
     for r in flat:
         holds = holds | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))
-    chosen = cells.filter(holds).select(*keys, "__slot", "__cell", "__before")
+    chosen = sized.filter(holds).select(*keys, "__slot", "__cell", "__before", "n")
 
     in_cell = Window.partitionBy(*keys, "__slot", "__cell").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -92,16 +113,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     missed = F.raise_error(F.lit("quantile sketch missed a rank: raise accuracy"))
     known = F.when(F.col("__v").isNotNull(), F.col("__v")).otherwise(missed.cast("double"))
     picks = []
-    for i, r in enumerate(flat):
+    for k, r in enumerate(flat):
         here = (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c"))
-        picks.append(F.max(F.when(here, known)).alias(f"__r{i}"))
+        picks.append(F.max(F.when(here, known)).alias(f"__r{k}"))
     picked = ordered.groupBy(*keys, "n").agg(*picks)
     out = []
-    for i, q in enumerate(asked):
+    for k, q in enumerate(asked):
         j = probs.index(q)
         low, high, frac = F.col(f"__r{2 * j}"), F.col(f"__r{2 * j + 1}"), ranks[j][1]
-        out.append((low + (high - low) * frac).alias(f"q{i}"))
-    return picked.select(*keys, "n", *out)
+        out.append((low + (high - low) * frac).alias(f"q{k}"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__i") + 1)
+    return picked.select(*groups, name.alias("column"), "n", *out)
 
 
 def _rank(q: float) -> tuple[Column, Column]:

@@ -193,10 +193,11 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
         carried |= {f"__cp{i}": F.last(f"__hi{i}", True).over(s.earlier_chunks()),
                     f"__cn{i}": F.last(f"__lo{i}", True).over(s.later_chunks())}
     s = s.carry(totals, carried)
-    s = s.with_columns({f"__n{i}": F.coalesce(F.last(knot(c), True).over(s.back_to_here()),
-                                              f"__cn{i}") for i, c in enumerate(cols)})
+    # Forward windows share the sort of the positions, backward ones that of the fill below.
     s = s.with_columns({f"__p{i}": F.coalesce(F.last(knot(c), True).over(s.up_to_here()),
                                               f"__cp{i}") for i, c in enumerate(cols)})
+    s = s.with_columns({f"__n{i}": F.coalesce(F.last(knot(c), True).over(s.back_to_here()),
+                                              f"__cn{i}") for i, c in enumerate(cols)})
 
     filled = {}
     for i, c in enumerate(cols):
