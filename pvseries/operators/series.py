@@ -1,15 +1,15 @@
 """Ordered operators on (site, time) series that survive one very long site.
 
-A window partitioned by site alone puts a site's whole history in one task. Here every
-site that holds more rows than ``ChunkSpec.rows`` is cut into time chunks first. Windows
-run per (site, chunk); what must cross a chunk border (row counts, the last known value)
-is aggregated to one row per chunk, run through a small window over chunks, and joined
-back. Only long sites enter that table, so it has at most about ``2 * max_chunks`` rows
-whatever the data size, which is the bound that makes its broadcast safe. Sites of
-ordinary length stay in a single chunk and cost one extra, map-side combined, count.
-
-Values needed from later rows come from a second window in descending order. A frame
-that reaches forward to the end of the partition would be recomputed for every row.
+A window partitioned by site alone puts a site's whole history in one task. Before planning,
+a count finds the sites that hold more rows than ``ChunkSpec.rows``. Usually there is none
+and the plan is one window per site. Otherwise those sites are cut into time chunks: windows
+run per (site, chunk); what must cross a chunk border (row counts, the last known value) is
+aggregated to one row per chunk, run through a small window over chunks, and joined back.
+Only long sites enter that table, so it has at most about ``2 * max_chunks`` rows whatever
+the data size, which is the bound that makes its broadcast and its collection safe.
+
+Values needed from later rows come from a second window in descending order. A frame that
+reaches forward to the end of the partition would be recomputed for every row.
 """
 
 from __future__ import annotations
@@ -17,70 +17,102 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pvseries.config import SplitSpec
 from pvseries.functions.calendar import micros
+from pvseries.sources.tables import materialise
 
-_CHUNK, _WIDTH = "__chunk", "__width"
+_CHUNK, _START, _WIDTH = "__chunk", "__start", "__width"
 
 
 @dataclass(frozen=True)
 class ChunkSpec:
-    """Rows a site may hold before it is cut, and the most chunks over all long sites."""
+    """Rows a site may hold before it is cut, and the most chunks over all long sites.
+
+    ``check=False`` skips the count for tables known to hold no long site.
+    """
 
     rows: int = 1_000_000
     max_chunks: int = 16_384
+    check: bool = True
 
 
 DEFAULT = ChunkSpec()
 
 
+def long_sites(df: DataFrame, keys: Sequence[str], ts: str, spec: ChunkSpec = DEFAULT) -> list[Row]:
+    """(keys, start, width) of the sites to cut, times in microseconds.
+
+    A table of at most ``spec.rows`` rows cannot hold one. Otherwise a site is long if it has
+    more rows than ``spec.rows`` and than its share of ``max_chunks``, so no more than
+    ``max_chunks`` rows come back.
+    """
+    if not spec.check:
+        return []
+    rows = df.count()
+    if rows <= spec.rows:
+        return []
+    limit = max(spec.rows, rows / spec.max_chunks)
+    start, end = F.min(micros(ts)), F.max(micros(ts))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), start.alias(_START), end.alias("__end"))
+    pieces = F.ceil(F.col("__n") / F.lit(float(limit)))
+    return (sizes.filter(F.col("__n") > limit)
+            .select(*keys, _START, F.ceil((F.col("__end") - F.col(_START) + 1) / pieces).alias(_WIDTH)).collect())
+
+
 class Chunked:
     """A series table with its chunk column, and the windows that go with it."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
                  spec: ChunkSpec = DEFAULT):
-        self.keys, self.ts, self.ties, self.spec = list(keys), ts, list(ties), spec
-        self.columns = df.columns
-        self.df = self._assign(df)
-
-    def _assign(self, df: DataFrame) -> DataFrame:
-        sizes = df.groupBy(*self.keys).agg(
-            F.count(F.lit(1)).alias("__n"), F.min(micros(self.ts)).alias("__t0"),
-            F.max(micros(self.ts)).alias("__t1"))
-        share = sizes.agg(F.sum("__n")).scalar() / F.lit(self.spec.max_chunks)
-        limit = F.greatest(F.lit(float(self.spec.rows)), share)
-        long_sites = sizes.filter(F.col("__n") > limit).select(
-            *self.keys, "__t0",
-            F.ceil((F.col("__t1") - F.col("__t0") + 1) / F.ceil(F.col("__n") / limit)).alias(_WIDTH))
-        chunk = F.coalesce(F.floor((micros(self.ts) - F.col("__t0")) / F.col(_WIDTH)), F.lit(0))
-        return (df.join(F.broadcast(long_sites), self.keys, "left")
-                .select(*df.columns, _WIDTH, chunk.alias(_CHUNK)))
+        self.keys, self.ts, self.ties, self.columns = list(keys), ts, list(ties), df.columns
+        cut = long_sites(df, self.keys, ts, spec)
+        self.cut = bool(cut)
+        if not cut:
+            self.df = df
+            return
+        schema = T.StructType([*[df.schema[k] for k in self.keys],
+                               T.StructField(_START, T.LongType()), T.StructField(_WIDTH, T.LongType())])
+        table = df.sparkSession.createDataFrame(cut, schema)
+        chunk = F.coalesce(F.floor((micros(ts) - F.col(_START)) / F.col(_WIDTH)), F.lit(0))
+        self.df = (df.join(F.broadcast(table), self.keys, "left")
+                   .select(*df.columns, _WIDTH, chunk.alias(_CHUNK)))
+
+    @property
+    def parts(self) -> list[str]:
+        """Window partition: the site, and the chunk if sites are cut."""
+        return [*self.keys, _CHUNK] if self.cut else self.keys
 
     # windows -----------------------------------------------------------------
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, _CHUNK).orderBy(self.ts, *self.ties)
+        return Window.partitionBy(*self.parts).orderBy(self.ts, *self.ties)
 
     def up_to_here(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def back_to_here(self) -> WindowSpec:
         order = [F.col(c).desc() for c in (self.ts, *self.ties)]
-        return (Window.partitionBy(*self.keys, _CHUNK).orderBy(*order)
+        return (Window.partitionBy(*self.parts).orderBy(*order)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     def whole(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, _CHUNK)
+        return Window.partitionBy(*self.parts)
 
     # chunk-level carry -------------------------------------------------------
     def carry(self, totals: Mapping[str, Column], carried: Mapping[str, Column]) -> "Chunked":
         """Join one row per chunk of a long site back to its rows.
 
         ``totals`` are aggregates per chunk; ``carried`` are expressions over those totals,
-        evaluated across the chunks of a site. Ordinary sites receive nulls.
+        evaluated across the chunks of a site. Ordinary sites receive nulls, and without long
+        sites the columns are plain null literals.
         """
+        if not self.cut:
+            kinds = self.df.limit(0).groupBy(*self.keys).agg(*[a.alias(n) for n, a in totals.items()]).withColumn(
+                _CHUNK, F.lit(0)).select(*[c.alias(n) for n, c in carried.items()]).schema
+            return self.with_columns({f.name: F.lit(None).cast(f.dataType) for f in kinds})
         per_chunk = (self.df.filter(F.col(_WIDTH).isNotNull()).groupBy(*self.keys, _CHUNK)
                      .agg(*[agg.alias(name) for name, agg in totals.items()]))
         table = per_chunk.select(*self.keys, _CHUNK, *[c.alias(n) for n, c in carried.items()])
@@ -106,6 +138,10 @@ class Chunked:
     def with_columns(self, columns: Mapping[str, Column]) -> "Chunked":
         return self.with_df(self.df.withColumns(dict(columns)))
 
+    def stored(self, name: str) -> "Chunked":
+        """Written to the shared folder if sites are cut: the carry below reads it twice."""
+        return self.with_df(materialise(self.df, name)) if self.cut else self
+
     def done(self, *extra: str) -> DataFrame:
         return self.df.select(*self.columns, *extra)
 
@@ -180,7 +216,7 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
     ``then_fill`` the rest is forward- and then backward-filled. ``max_gap`` leaves runs of
     more missing rows than that untouched by the interpolation.
     """
-    s = Chunked(df, keys, ts, ties, spec).positioned("__pos")
+    s = Chunked(df, keys, ts, ties, spec).positioned("__pos").stored("positions")
     now, pos = micros(ts), F.col("__pos")
 
     def knot(c: str) -> Column:
