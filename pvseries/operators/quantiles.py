@@ -38,6 +38,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     accuracy: int = 10_000) -> DataFrame:
     """(groups, column, n, q0, q1, ...): one value per entry of ``probs``.
 
+    Without groups the brackets are fetched when the query is built, like a fitted parameter.
     ``few_groups`` states that the groups come from a fixed list such as seasons or a flag,
     so the sketch table may be broadcast; pass False for groups that grow with the data.
     """
@@ -49,46 +50,45 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     wide = df.select(*groups, *[F.when(~F.isnan(v), v).alias(f"__v{i}") for i, v in enumerate(numbers)])
 
     margin = 4.0 / accuracy
-    shares = F.array(*[F.lit(p) for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))])
-    sketch = wide.groupBy(*groups).agg(*[f for i in index for v in [F.col(f"__v{i}")] for f in (
-        F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-        F.percentile_approx(v, shares, F.lit(accuracy)).alias(f"cut{i}"))])
+    shares = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    cuts = f"array({', '.join(f'{p:.12f}D' for p in shares)}), {accuracy}"
+    sketch = wide.groupBy(*groups).agg(*[F.expr(e) for i in index for e in (
+        f"count(__v{i}) AS n{i}", f"min(__v{i}) AS min{i}", f"max(__v{i}) AS max{i}",
+        f"percentile_approx(__v{i}, {cuts}) AS cut{i}")])
     bounds = []
     for i in index:
-        small = F.col(f"n{i}") * margin < 4     # a few thousand values: bracket them all
+        small = f"n{i} * {margin}D < 4"     # a few thousand values: bracket them all
         for j, q in enumerate(probs):
-            lo = F.lit(True) if q - margin <= 0 else small
-            hi = F.lit(True) if q + margin >= 1 else small
-            bounds += [F.when(lo, F.col(f"min{i}")).otherwise(F.col(f"cut{i}")[2 * j]).alias(f"lo{i}_{j}"),
-                       F.when(hi, F.col(f"max{i}")).otherwise(F.col(f"cut{i}")[2 * j + 1]).alias(f"hi{i}_{j}")]
-    table = sketch.select(*groups, F.struct(*bounds).alias("__b"))
-    placed = (wide.join(hint(table), groups) if groups
-              else wide.withColumn("__b", table.select("__b").scalar()))
+            lo, hi = ("true" if q - margin <= 0 else small), ("true" if q + margin >= 1 else small)
+            bounds += [f"IF({lo}, min{i}, cut{i}[{2 * j}]) AS lo{i}_{j}",
+                       f"IF({hi}, max{i}, cut{i}[{2 * j + 1}]) AS hi{i}_{j}"]
+    table = sketch.selectExpr(*groups, *bounds)
+    if groups:
+        placed, bound = wide.join(hint(table), groups), str
+    else:
+        row = table.first()                 # two numbers per column and rank
+        placed, bound = wide, lambda name: _literal(row[name])
 
     # Slot 2j+1 is bracket j, slot 2j the values between brackets j-1 and j.
-    slots, cells = {}, []
+    slots, cells = [], []
     for i in index:
-        v, slot, cell = F.col(f"__v{i}"), F.lit(2 * len(probs)), F.lit(0)
-        for j in reversed(brackets):
-            lo, hi = F.col("__b")[f"lo{i}_{j}"], F.col("__b")[f"hi{i}_{j}"]
-            slot = F.when(v < lo, 2 * j).when(v <= hi, 2 * j + 1).otherwise(slot)
-            within = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * _CELLS).cast("int")).otherwise(0)
-            cell = F.when(F.col(f"__s{i}") == 2 * j + 1, within).otherwise(cell)
-        slots[f"__s{i}"] = F.when(v.isNotNull(), slot)
-        cells.append(cell)
-    placed = placed.withColumns(slots)
-    between = placed.groupBy(*groups).agg(F.array(*[
-        F.struct(F.lit(i).alias("__i"), F.lit(2 * j).alias("__slot"), F.lit(0).alias("__cell"),
-                 F.lit(None).cast("double").alias("__v"), F.count_if(F.col(f"__s{i}") == 2 * j).alias("__c"))
-        for i in index for j in range(len(probs) + 1)]).alias("__l"))
+        steps, within = "", ""
+        for j in brackets:
+            lo, hi = bound(f"lo{i}_{j}"), bound(f"hi{i}_{j}")
+            steps += f" WHEN __v{i} < {lo} THEN {2 * j} WHEN __v{i} <= {hi} THEN {2 * j + 1}"
+            within += (f" WHEN {2 * j + 1} THEN IF({hi} > {lo}, "
+                       f"CAST(floor((__v{i} - {lo}) / ({hi} - {lo}) * {_CELLS}) AS INT), 0)")
+        slots.append(f"CASE WHEN __v{i} IS NULL THEN NULL{steps} ELSE {2 * len(probs)} END AS __s{i}")
+        cells.append(f"CASE __s{i}{within} ELSE 0 END")
+    placed = placed.selectExpr("*", *slots)
+    between = placed.groupBy(*groups).agg(F.expr("array(" + ", ".join(
+        f"named_struct('__i', {i}, '__slot', {2 * j}, '__cell', 0, '__v', CAST(NULL AS DOUBLE), "
+        f"'__c', count_if(__s{i} = {2 * j}))" for i in index for j in range(len(probs) + 1)) + ") AS __l"))
     between = between.select(*groups, F.explode("__l").alias("__l")).select(*groups, "__l.*").filter("__c > 0")
-    hits = [F.col(f"__s{i}") % 2 == 1 for i in index]
-    some = hits[0]
-    for hit in hits[1:]:
-        some = some | hit
-    inside = placed.filter(some).select(*groups, F.explode(F.array(*[
-        F.when(hits[i], F.struct(F.lit(i).alias("__i"), F.col(f"__s{i}").alias("__slot"),
-                                 cells[i].alias("__cell"), F.col(f"__v{i}").alias("__v"))) for i in index])).alias("__l"))
+    hits = [f"__s{i} % 2 = 1" for i in index]
+    inside = placed.filter(" OR ".join(hits)).select(*groups, F.expr("explode(array(" + ", ".join(
+        f"IF({hits[i]}, named_struct('__i', {i}, '__slot', __s{i}, '__cell', {cells[i]}, '__v', __v{i}), NULL)"
+        for i in index) + ")) AS __l"))
     inside = (inside.filter(F.col("__l").isNotNull()).select(*groups, "__l.*")
               .groupBy(*keys, "__slot", "__cell", "__v").agg(F.count(F.lit(1)).alias("__c")))
     counts = between.unionByName(inside)
@@ -126,6 +126,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return picked.select(*groups, name.alias("column"), "n", *out)
 
 
+def _literal(x: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if x is None else f"double('{x!r}')"
+
+
 def _rank(q: float) -> tuple[Column, Column]:
     """0-based lower rank and the fraction towards the next one, for ``n`` values."""
     place = F.lit(float(q)) * (F.col("n") - 1)
