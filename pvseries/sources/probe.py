@@ -28,8 +28,8 @@ def header_offsets(spark: SparkSession, path: str, expected: Sequence[str],
     file's first block take part, and each task keeps just those before the shuffle.
     """
     first = Window.partitionBy("file").orderBy("id")
-    top = (_lines(spark, path).filter("block = 0").withColumn("line", F.row_number().over(first) - 1)
-           .filter(F.col("line") < max_skip))
+    top = (_lines(spark, path).filter("block = 0").withColumn("rn", F.row_number().over(first))
+           .filter(F.col("rn") <= max_skip).withColumn("line", F.col("rn") - 1))
     # A blank line before the header is passed over, so skipping may start at it.
     filled = F.when(F.length(F.trim("value")) > 0, F.col("line"))
     before = F.max(filled).over(first.rowsBetween(Window.unboundedPreceding, -1))

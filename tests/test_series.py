@@ -145,3 +145,19 @@ def test_single_row_and_empty_input(spark):
     empty = one.limit(0)
     assert S.interpolate_time(empty, ["site"], "ts", ["v"]).count() == 0
     assert S.chrono_split(empty, ["site"], "ts").count() == 0
+
+
+def test_a_hot_site_is_cut_evenly(spark):
+    """One site holds a third of all rows; no window partition keeps more than twice the limit."""
+    spec = S.ChunkSpec(rows=2_000)
+    site = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50)
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id").cast("int"))
+    df = spark.range(60_000).select(site.alias("site"), ts.alias("ts"))
+    assert [r.site for r in S.long_sites(df, ["site"], "ts", spec)] == [-1]
+    cut = S.Chunked(df, ["site"], "ts", spec=spec)
+    sizes = cut.df.groupBy(*cut.parts).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 4_000
+    assert sizes.filter("site = -1").count() == 10
+    assert S.long_sites(df, ["site"], "ts", S.ChunkSpec(rows=2_000, check=False)) == []
+    capped = S.long_sites(df, ["site"], "ts", S.ChunkSpec(rows=10, max_chunks=4))
+    assert len(capped) <= 4
