@@ -82,23 +82,23 @@ def tree_attributions(model, df: DataFrame, features: Sequence[str], key: Sequen
     base, leaves = attribution_tables(model)
     features, key = list(features), list(key)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
-    rows = df.select(*key, F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    index = range(len(features))
+    rows = df.select(*key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack(pdf["x"].to_list()).astype(float) if len(pdf) else np.zeros((0, len(features)))
+            x = pdf[[f"x{i}" for i in index]].to_numpy(float)
             phi = np.zeros_like(x)
             for used, lo, hi, table in shared.value:
                 passed = (x[:, used] > lo) & (x[:, used] <= hi)
                 phi[:, used] += table[passed @ (1 << np.arange(len(used)))]
-            yield pdf.assign(phi=list(phi))
-
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    names = F.array(*[F.lit(f) for f in features])
-    out = rows.mapInPandas(attribute, f"{fields}, phi array<double>")
-    return (out.withColumn("f", names).select(*key, F.explode(F.arrays_zip("f", "x", "phi")).alias("c"))
-            .select(*key, F.col("c.f").alias("feature"), F.col("c.x").alias("value"),
-                    F.col("c.phi").alias("attribution"), F.lit(base).alias("base")))
+            yield pdf.assign(**{f"phi{i}": phi[:, i] for i in index})
+
+    fields = [f"`{name}` {kind}" for name, kind in rows.dtypes] + [f"phi{i} double" for i in index]
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("value"), F.col(f"phi{i}").alias("attribution"))
+             for i, f in enumerate(features)]
+    return (rows.mapInPandas(attribute, ", ".join(fields))
+            .select(*key, F.explode(F.array(*cells)).alias("c")).select(*key, "c.*", F.lit(base).alias("base")))
 
 
 def feature_importance(attributions: DataFrame, bar: float = 3.0) -> DataFrame:
