@@ -105,6 +105,11 @@ def daytime_filter(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column) > 0)
 
 
+def membership_filter(df: DataFrame, value: Column, allowed: Sequence) -> DataFrame:
+    """Rows whose value is in a list, such as some hours or one year."""
+    return df.filter(value.isin(*allowed))
+
+
 def filter_report(df: DataFrame, condition: Column) -> DataFrame:
     """Row counts before and after a filter, in one pass."""
     return df.agg(F.count(F.lit(1)).alias("rows_before"),

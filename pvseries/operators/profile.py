@@ -203,7 +203,8 @@ def category_codes(df: DataFrame, column: str, code: str = "code", prefix: int =
     values = df.filter(F.col(column).isNotNull()).select(column).distinct()
     values = values.withColumn("__p", F.substring(F.col(column).cast("string"), 1, prefix))
     heads = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__k"))
-    # One row per prefix; the first character spreads the running count over tasks.
+    # The running count over first characters has at most one row per character of the alphabet;
+    # the one over prefixes is split by first character.
     heads = heads.withColumn("__f", F.substring("__p", 1, 1))
     first = heads.groupBy("__f").agg(F.sum("__k").alias("__fk"))
     first = first.withColumn("__base", F.coalesce(F.sum("__fk").over(

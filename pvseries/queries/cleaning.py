@@ -82,6 +82,12 @@ def daytime_filter(t):
     return clean.daytime_filter(lit, "light").select("event_id", "ts", "value")
 
 
+@query("membership_filter", """
+SELECT event_id, ts, value FROM events WHERE hour(ts) IN (7, 8, 9)""")
+def membership_filter(t):
+    return clean.membership_filter(t.events, F.hour("ts"), [7, 8, 9]).select("event_id", "ts", "value")
+
+
 @query("daytime_filter_report", """
 SELECT count(*) AS rows_before, count(*) FILTER (value > 20) AS rows_after,
        count(*) - count(*) FILTER (value > 20) AS rows_removed FROM events""")
@@ -136,7 +142,7 @@ def head_tail(t):
 SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) = 1996
 UNION ALL SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) = 1997""")
 def union_years(t):
-    year = lambda y: t.orders.filter(F.year("o_orderdate") == y)
+    year = lambda y: clean.membership_filter(t.orders, F.year("o_orderdate"), [y])
     first = year(1996).select("o_orderkey", "o_orderdate")
     return clean.union_years(first, year(1997).select("o_orderdate", "o_orderkey"))
 

@@ -142,7 +142,7 @@ def completeness_total(t):
 
 @query("shape_moments", f"""
 WITH {_LONG_SQL} SELECT *, CASE WHEN abs(skewness) < 0.5 THEN 'symmetric' WHEN skewness > 0 THEN 'right-skewed'
- ELSE 'left-skewed' END AS shape FROM (SELECT "column", count(v)::DOUBLE AS n, round(skewness(v), 6) AS skewness,
+ ELSE 'left-skewed' END AS shape FROM (SELECT "column", count(v) AS n, round(skewness(v), 6) AS skewness,
  round(kurtosis(v), 6) AS kurtosis FROM (SELECT * FROM long UNION ALL SELECT 'value', value FROM events) GROUP BY 1)""")
 def shape_moments(t):
     own = prof.shape_moments(t.lineitem, MEASURES)
