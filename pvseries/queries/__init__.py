@@ -5,7 +5,7 @@ many-site series (user_id is the site), with missing values and sentinels placed
 expression; ``lineitem`` and ``orders`` serve profiles, joins and duplicates.
 """
 
-from pvseries.queries import cleaning, frames, modelling, profiling, sequences, storage  # noqa: F401
+from pvseries.queries import cleaning, frames, modelling, profiling, sequences, sites, storage  # noqa: F401
 from pvseries.queries.base import QUERIES, Query, Tables
 
 __all__ = ["QUERIES", "Query", "Tables"]
