@@ -33,13 +33,13 @@ WITH h AS (SELECT user_id AS site, date_trunc('hour', ts) AS ts, avg(value) AS p
  FROM events GROUP BY ALL),
 w AS (SELECT user_id AS site, date_trunc('hour', ts) AS ts, avg(value) / 7 AS rh FROM events
  WHERE event_type = 'purchase' GROUP BY ALL),
-d0 AS (SELECT o_orderdate AS t, max(o_totalprice) AS wd FROM orders GROUP BY 1),
+d0 AS (SELECT o_orderdate AS t, max(o_totalprice) / 7000 AS wd FROM orders GROUP BY 1),
 d AS (SELECT month(t) AS mo, day(t) AS da, hour(t) AS ho, wd FROM d0
  QUALIFY row_number() OVER (PARTITION BY mo, da, ho ORDER BY t) = 1),
 o AS (SELECT h.*, rh, wd, row_number() OVER (PARTITION BY h.site ORDER BY h.ts) AS rn, epoch_us(h.ts) AS us
  FROM h LEFT JOIN w ON h.site = w.site AND h.ts = w.ts
  LEFT JOIN d ON month(h.ts) = mo AND day(h.ts) = da AND hour(h.ts) = ho),
-{_filled_sql('t2m', 9)}, {_filled_sql('rh', 9)}, {_filled_sql('wd', 8)}
+{_filled_sql('t2m', 9)}, {_filled_sql('rh', 9)}, {_filled_sql('wd', 6)}
 SELECT site, ts AS datetime, round(p, 7) AS "P", round(gb + gd + 1, 7) AS "G_i", t2m.t2m AS "T2m", rh.rh AS "RH",
  wd.wd AS "WD10m", flag::INTEGER AS data_quality
 FROM h JOIN f_t2m t2m USING (site, ts) JOIN f_rh rh USING (site, ts)
@@ -58,9 +58,9 @@ def gridded_site_clean(t):
                .agg((F.avg("value") / 7).alias("RH2M"), (F.avg("value") / 7).alias("PS")))
     weather = weather.select("site", F.date_format("h", "yyyyMMddHH").alias("time"), "RH2M", "PS",
                              F.lit(1.0).alias("T2M"), F.lit(1.0).alias("WS10M"), F.lit(1.0).alias("ALLSKY_SFC_SW_DWN"))
-    typical = t.orders.groupBy("o_orderdate").agg(F.max("o_totalprice").alias("WD10m")).select(
+    typical = t.orders.groupBy("o_orderdate").agg((F.max("o_totalprice") / 7000).alias("WD10m")).select(
         F.date_format("o_orderdate", "yyyyMMdd:HHmm").alias("time(UTC)"), "WD10m")
     out = clean_gridded(panel, [weather], typical, site_typical=False)
     return out.select("site", "datetime", F.round("P", 7).alias("P"), F.round("G_i", 7).alias("G_i"),
                       F.round("T2m", 9).alias("T2m"), F.round("RH", 9).alias("RH"),
-                      F.round("WD10m", 8).alias("WD10m"), "data_quality")
+                      F.round("WD10m", 6).alias("WD10m"), "data_quality")
