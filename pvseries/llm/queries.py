@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.llm import counting, sharding
+from pvseries.llm import counting, pii, quality, secret_scan, sharding
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -27,3 +27,21 @@ def op4_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed, _ = sharding.shard_documents(documents(spark, folder))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+
+
+@register
+def op5_assigned_literals(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find_secrets(documents(spark, folder))
+
+
+@register
+def op7_adaptive_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(documents(spark, folder))
+
+
+@register
+def op8_context_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, folder))
+
+
+SQL["op7_adaptive_limits"] = quality.ORACLE
