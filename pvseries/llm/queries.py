@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.llm import counting, pii, quality, secret_scan, sharding
+from pvseries.llm import counting, pii, quality, repair, secret_scan, sharding
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def register(build):
     return build
 
 
+@register
+def op1_repair_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.encode_to_files(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
+
+
 @register
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
