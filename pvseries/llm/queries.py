@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.llm import counting, pii, quality, repair, secret_scan, sharding
+from pvseries.llm import counting, pii, quality, repair, secret_scan, sharding, simhash
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ def op5_assigned_literals(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.find_secrets(documents(spark, folder))
 
 
+@register
+def op6_golay_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
 @register
 def op7_adaptive_limits(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(documents(spark, folder))
