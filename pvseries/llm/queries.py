@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.llm import counting, pii, quality, repair, secret_scan, sharding, simhash
+from pvseries.llm import counting, pii, quality, recompress, repair, secret_scan, sharding, simhash
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -54,4 +54,10 @@ def op8_context_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, folder))
 
 
+@register
+def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return recompress.repeated_passages(documents(spark, folder))
+
+
+SQL["op10_recompression"] = recompress.ORACLE
 SQL["op7_adaptive_limits"] = quality.ORACLE
