@@ -140,13 +140,13 @@ def limits(cells: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
         F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{m}_{e}")
                                          for m in SLACK for e in ("lo", "hi")])
     names = [f"{m}_{e}" for m in SLACK for e in ("lo", "hi")]
-    at = {k: wide.where(F.col("level") == k) for k in (0, 1, 2)}
-    by_lang = at[1].select("lang", F.struct("total", *names).alias("l"))
-    overall = at[0].select(F.lit(1).alias("one"), F.struct("total", *names).alias("o"))
-    all_levels = (at[2].withColumn("one", F.lit(1)).join(by_lang, "lang").join(overall, "one"))
-    own, lang = F.col("total") >= min_support, F.col("l.total") >= min_support
-    return all_levels.select("lang", "source", *[
-        F.when(own, F.col(n)).when(lang, F.col(f"l.{n}")).otherwise(F.col(f"o.{n}")).alias(n) for n in names])
+    ways = F.array(*[F.struct(F.lit(k).alias("level"), (F.col("lang") if k else F.lit("*")).alias("lang"),
+                              (F.col("source") if k == 2 else F.lit("*")).alias("source")) for k in (0, 1, 2)])
+    groups = wide.where(F.col("level") == 2).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.explode(ways).alias("w"))
+    found = groups.select("l", "s", "w.*").join(wide, ["level", "lang", "source"])
+    fit = found.where((F.col("level") == 0) | (F.col("total") >= min_support))
+    best = fit.groupBy("l", "s").agg(F.max_by(F.struct(*names), "level").alias("x"))
+    return best.select(F.col("l").alias("lang"), F.col("s").alias("source"), "x.*")
 
 
 def verdict() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.llm import counting, pii, quality, recompress, repair, secret_scan, sharding, simhash
+from pvseries.llm import counting, pieces, pii, quality, recompress, repair, secret_scan, sharding, simhash
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -27,6 +27,12 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
 
 
+@register
+def op3_distinct_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.piece_ids(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
+    return pieces.digests(coded)
+
+
 @register
 def op4_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed, _ = sharding.shard_documents(documents(spark, folder))
@@ -56,7 +62,8 @@ def op8_context_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
-    return recompress.repeated_passages(documents(spark, folder))
+    kept = recompress.repeated_passages(documents(spark, folder))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL["op10_recompression"] = recompress.ORACLE

@@ -14,7 +14,7 @@ of symbols over all texts reveal these windows (a few bytes per symbol, no posit
 second exchange compares the windows' 128-bit hashes, which settles repetition. Both exchanges
 answer with one bit per distinct value.
 
-Defined cases: a null or empty text has no words, keeps none and has the checksum of no text; a
+Defined cases: a null or empty text has no words, and keeps the empty text; a
 text with fewer words than a window keeps all its own; repeated rows (same key, same text) are
 different places, so their windows are repeated; null keys give one row each; an empty table
 gives no rows; other columns are not read.
@@ -22,7 +22,6 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +166,7 @@ def _distinct_windows(h: np.ndarray, g: np.ndarray):
 
 def repeated_passages(df: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text",
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) per row: words in windows that start elsewhere too are removed."""
+    """(doc_id, n_words, n_removed, kept) per row: words in windows that start elsewhere too are removed."""
     packs = materialise(blocks.packed(id_text(df, key, text), block_bytes), "text-blocks")
     buckets = blocks.bucket_count(df)
 
@@ -218,20 +217,20 @@ def repeated_passages(df: DataFrame, window: int = 35, key: str = "doc_id", text
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        removed, sums = [], []
+        removed, texts = [], []
         for n, end, own in zip(words.counts.tolist(), words.ends.tolist(), words.split):
             mask = gone[end - n:end]
             k = int(mask.sum())
             removed.append(k)
             kept = [w for w, m in zip(own, mask.tolist()) if not m] if k else own
-            sums.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield rows({"doc_id": keys, "n_words": words.counts, "n_removed": removed, "kept_sha256": sums},
-                   doc_id=pa.int64(), n_removed=pa.int64(), kept_sha256=pa.string())
+            texts.append(b" ".join(kept).decode())
+        yield rows({"doc_id": keys, "n_words": words.counts, "n_removed": removed, "kept": texts},
+                   doc_id=pa.int64(), n_removed=pa.int64(), kept=pa.string())
 
     shared = materialise(blocks.in_buckets(blocks.from_blocks(packs, symbols_out), symbols_back), "shared-symbols")
     windows = blocks.to_blocks(packs, [shared], windows_out, blocks.ROW)
     repeats = materialise(blocks.in_buckets(windows, windows_back), "repeated-windows")
-    return blocks.to_blocks(packs, [shared, repeats], remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return blocks.to_blocks(packs, [shared, repeats], remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _entries(size: int, bits: int) -> int:

@@ -39,7 +39,7 @@ SHARD_IDS = 1 << 21
 ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 6, 2048, 8
 _SLOT_BITS = 20
 _CLOSED = re.compile(rb"(.*[a-z])([.,;:!?]+)", re.DOTALL)
-_CHUNKS_KEPT = 400_000  # entries a worker keeps between batches; it starts anew beyond that
+_CHUNKS_KEPT = 500_000  # entries a worker adds before those that it hasn't used since are let go
 
 
 class ChunkEncoder:
@@ -51,6 +51,7 @@ class ChunkEncoder:
         normal = str(self.tokenizer.normalizer)
         self.small = "Lowercase" in normal
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, chunks: list[bytes], group: int = 256) -> None:
         """Encode distinct chunks: many to a call, told apart by their place."""
@@ -67,13 +68,18 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes], last: int) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit numbers."""
         if len(self.known) > _CHUNKS_KEPT:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         # Special strings are found before letters are made small, so their texts stay as they are.
         split = [(t.lower() if self.small and b"<|" not in t else t).split() for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
+        for c in new & self.older.keys():
+            self.known[c] = self.older[c]
+        new.difference_update(self.known)
         halves = {c: m.groups() for c in new if (m := _CLOSED.fullmatch(c))}
         plain = {c for c in new if c not in halves}
         plain.update(h for pair in halves.values() for h in pair)
+        for c in plain & self.older.keys():
+            self.known[c] = self.older[c]
         self._library([c for c in plain if c not in self.known])
         for c, (left, right) in halves.items():
             self.known[c] = self.known[left] + self.known[right]
