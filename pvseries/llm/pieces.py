@@ -20,7 +20,7 @@ before would end the job with an error.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +119,8 @@ def piece_ids(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return blocks.to_blocks(packs, [answers], join_back, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of coded texts."""
+def digests(coded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of coded texts, and the columns to keep."""
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+                        F.sha2("decoded", 256).alias("decoded_sha256"), *keep)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.llm import counting, pieces, pii, quality, recompress, repair, secret_scan, sharding, simhash
+import corpus_pipeline
+from pvseries.llm import counting, decontaminate, pieces, pii, quality, recompress, repair, secret_scan, sharding, simhash
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -60,11 +61,21 @@ def op8_context_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, folder))
 
 
+@register
+def op9_walk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @register
 def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     kept = recompress.repeated_passages(documents(spark, folder))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 SQL["op10_recompression"] = recompress.ORACLE
 SQL["op7_adaptive_limits"] = quality.ORACLE
