@@ -45,7 +45,7 @@ _TABLE_BITS = 20
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(None, _PUNCTUATION).split()
+    return text.decode().lower().encode().translate(None, _PUNCTUATION).split()
 
 
 def repetitions(recall: float = RECALL, change: float = WALK_CHANGE, samples: int = SAMPLES) -> int:

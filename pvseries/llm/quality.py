@@ -30,7 +30,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_SUPPORT = 200  # texts a group needs for limits of its own
 SPREAD = 4  # quartile distances beyond a quartile
 # Least distance of a limit from its quartile: thousandths of a character, then millionths.
-SLACK = {"word_length": 1500, "symbols": 100_000, "dup_lines": 300_000, "repeats": 200_000}
+SLACK = {"word_length": 1500, "symbols": 60_000, "dup_lines": 500_000, "repeats": 350_000}
 TWO_SIDED = ("word_length",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
