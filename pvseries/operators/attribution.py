@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pvseries.functions.calendar import effect_label
 from pvseries.functions.stats import pearson
+from pvseries.operators.models import fill_missing
 
 
 def _leaves(node, tests: list) -> Iterator[tuple[float, list]]:
@@ -83,6 +84,7 @@ def tree_attributions(model, df: DataFrame, features: Sequence[str], key: Sequen
     features, key = list(features), list(key)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
     index = range(len(features))
+    df = fill_missing(model, df, features) if isinstance(model, PipelineModel) else df
     rows = df.select(*key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvseries.operators.clean import quoted
@@ -107,15 +107,13 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int = 2000, seed: int = 42) -> DataFrame:
     """A repeatable sample of ``n`` rows without replacement, or all rows if there are fewer.
 
-    The rows with the lowest hashes of ``key`` (which should identify a row) and seed win. In a
-    large table a cut on the hash first leaves about four times as many rows as needed, so the
-    final ordering stays small however many tasks there are; if lumpy keys leave too few, the
-    cut is dropped. Either way the result is the same.
+    The rows with the lowest MD5 of ``key`` (which should identify a row) and seed win. Exact
+    counts of the 4,096 values of its first three digits tell which of them hold the first
+    ``n`` rows, and only rows of those are ordered.
     """
-    hashed = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
-    rows, wanted = df.count(), 4 * n + 1000
-    if rows > 100 * wanted:
-        cut = hashed.filter(F.col("__h") < int(-2**63 + 2**64 * (wanted / rows)))
-        if cut.count() >= n:
-            hashed = cut
-    return hashed.orderBy("__h", *key).limit(n).drop("__h")
+    hashed = df.withColumn("__h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))))
+    hashed = hashed.withColumn("__b", F.substring("__h", 1, 3))
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))  # at most 4,096 rows
+    before = F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+    last = counts.withColumn("before", before).where(F.col("before") < n).agg(F.max("__b")).scalar()
+    return hashed.where(F.col("__b") <= last).orderBy("__h", *key).limit(n).drop("__h", "__b")

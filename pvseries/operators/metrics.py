@@ -14,16 +14,18 @@ def with_residual(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by: Sequence[str] = ()) -> DataFrame:
-    """n, MSE, MAE, RMSE, R squared and NRMSE (percent of the actual range) in one aggregate.
+    """n, n_missing, MSE, MAE, RMSE, R squared and NRMSE (percent of the actual range) in one aggregate.
 
-    R squared and NRMSE are null for a constant target.
+    Rows without an actual or a predicted value are counted as ``n_missing`` and take no other
+    part. R squared and NRMSE are null for a constant target.
     """
     e = F.col(y) - F.col(yhat)
+    known = F.when(e.isNotNull(), F.col(y))
     mse = F.avg(e * e)
-    out = df.filter(e.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), mse.alias("mse"), F.avg(F.abs(e)).alias("mae"),
-        F.sqrt(mse).alias("rmse"), F.var_pop(y).alias("__v"), (F.max(y) - F.min(y)).alias("__r"))
-    return out.select(*by, "n", "mse", "mae", "rmse",
+    out = df.groupBy(*by).agg(
+        F.count(e).alias("n"), F.count_if(e.isNull()).alias("n_missing"), mse.alias("mse"), F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(mse).alias("rmse"), F.var_pop(known).alias("__v"), (F.max(known) - F.min(known)).alias("__r"))
+    return out.select(*by, "n", "n_missing", "mse", "mae", "rmse",
                       F.when(F.col("__v") > 0, 1 - F.col("mse") / F.col("__v")).alias("r2"),
                       F.when(F.col("__r") > 0, F.col("rmse") / F.col("__r") * 100).alias("nrmse"))
 

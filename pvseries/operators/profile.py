@@ -12,6 +12,7 @@ from pvseries.config import RangeRule
 from pvseries.functions.calendar import MONTH_NAMES, micros, season_order, skew_label
 from pvseries.functions.stats import pearson
 from pvseries.operators.clean import quoted
+from pvseries.sources.tables import materialise
 from pvseries.operators.quantiles import exact_quantiles, melt
 
 
@@ -164,7 +165,7 @@ def shape_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (),
-               k: float = 1.5, few_groups: bool = True) -> DataFrame:
+               k: float = 1.5, few_groups: bool = False) -> DataFrame:
     """Quartiles and the fences ``k`` interquartile ranges outside them."""
     q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], groups, few_groups)
     iqr = F.col("q2") - F.col("q0")
@@ -194,25 +195,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
-def category_codes(df: DataFrame, column: str, code: str = "code", prefix: int = 2) -> DataFrame:
+def category_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """Sorted distinct values to 0..k-1, missing to -1.
 
-    Distinct values are ranked inside groups that share their first characters, and a running
-    count over the groups shifts each group, so no task sorts all values.
+    Distinct values are range-partitioned by value and saved; a running count over the
+    partitions shifts the ranks inside each, so no task sorts all values.
     """
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    values = values.withColumn("__p", F.substring(F.col(column).cast("string"), 1, prefix))
-    heads = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__k"))
-    # The running count over first characters has at most one row per character of the alphabet;
-    # the one over prefixes is split by first character.
-    heads = heads.withColumn("__f", F.substring("__p", 1, 1))
-    first = heads.groupBy("__f").agg(F.sum("__k").alias("__fk"))
-    first = first.withColumn("__base", F.coalesce(F.sum("__fk").over(
-        Window.partitionBy(F.lit(0)).orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("__f").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    heads = (heads.withColumn("__in", F.coalesce(F.sum("__k").over(inner), F.lit(0)))
-             .join(first.select("__f", "__base"), "__f")
-             .select("__p", (F.col("__base") + F.col("__in")).alias("__start")))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
-    dim = values.join(heads, "__p").select(column, (rank + F.col("__start")).cast("int").alias(code))
-    return df.join(dim, column, "left").withColumn(code, F.coalesce(code, F.lit(-1))).select(*df.columns, code)
+    values = df.select(F.col(column).alias("__v")).filter(F.col("__v").isNotNull()).distinct()
+    placed = materialise(values.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()), "categories")
+    # One row per partition.
+    starts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__k")).select("__p", F.coalesce(F.sum("__k").over(
+        Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__v")) - 1
+    dim = placed.withColumn("__r", rank).join(starts, "__p").select("__v", (F.col("__r") + F.col("__start")).cast("int").alias(code))
+    return (df.join(dim, df[column] == dim["__v"], "left").withColumn(code, F.coalesce(code, F.lit(-1)))
+            .select(*df.columns, code))

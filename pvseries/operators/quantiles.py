@@ -34,13 +34,13 @@ def melt(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> D
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    groups: Sequence[str] = (), few_groups: bool = True,
+                    groups: Sequence[str] = (), few_groups: bool = False,
                     accuracy: int = 10_000) -> DataFrame:
     """(groups, column, n, q0, q1, ...): one value per entry of ``probs``.
 
     Without groups the brackets are fetched when the query is built, like a fitted parameter.
     ``few_groups`` states that the groups come from a fixed list such as seasons or a flag,
-    so the sketch table may be broadcast; pass False for groups that grow with the data.
+    so the sketch table may be broadcast; otherwise adaptive execution chooses the join.
     """
     asked, probs = list(probs), sorted(probs)
     groups, keys = list(groups), [*groups, "__i"]

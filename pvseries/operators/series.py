@@ -1,90 +1,52 @@
 """Ordered operators on (site, time) series that survive one very long site.
 
-A window partitioned by site alone puts a site's whole history in one task. Before planning,
-a count finds the sites that hold more rows than ``ChunkSpec.rows``. Usually there is none
-and the plan is one window per site. Otherwise those sites are cut into time chunks: windows
-run per (site, chunk); what must cross a chunk border (row counts, the last known value) is
-aggregated to one row per chunk, run through a small window over chunks, and joined back.
-Only long sites enter that table, so it has at most about ``2 * max_chunks`` rows whatever
-the data size, which is the bound that makes its broadcast and its collection safe.
+A window partitioned by site alone puts a site's whole history in one task. So the table is
+range-partitioned by site, time and ties, and saved once with the partition number as its chunk.
+Ranges hold about equal numbers of rows, wherever the rows of a site bunch, and rows without a
+site are cut like others. Windows run per (site, chunk); what must cross a border (row counts,
+the last known value) is aggregated to one row per site and chunk, run through a small window
+over a site's chunks, and joined back. Only sites that straddle a border enter that table: at
+most two rows per chunk, and one more per chunk inside a long site.
 
 Values needed from later rows come from a second window in descending order. A frame that
 reaches forward to the end of the partition would be recomputed for every row.
+
+Rows that are equal in site, time and ties stay in one chunk: give tie columns that tell rows
+apart where many rows share a stamp.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pvseries.config import SplitSpec
 from pvseries.functions.calendar import micros
 from pvseries.sources.tables import materialise
 
-_CHUNK, _START, _WIDTH = "__chunk", "__start", "__width"
-
-
-@dataclass(frozen=True)
-class ChunkSpec:
-    """Rows a site may hold before it is cut, and the most chunks over all long sites.
-
-    ``check=False`` skips the count for tables known to hold no long site.
-    """
-
-    rows: int = 1_000_000
-    max_chunks: int = 16_384
-    check: bool = True
-
+_CHUNK = "__chunk"
 
-DEFAULT = ChunkSpec()
 
+class Chunked:
+    """A series table with its chunk column, and the windows that go with it.
 
-def long_sites(df: DataFrame, keys: Sequence[str], ts: str, spec: ChunkSpec = DEFAULT) -> list[Row]:
-    """(keys, start, width) of the sites to cut, times in microseconds.
-
-    A table of at most ``spec.rows`` rows cannot hold one. Otherwise a site is long if it has
-    more rows than ``spec.rows`` and than its share of ``max_chunks``, so no more than
-    ``max_chunks`` rows come back.
+    ``chunks`` sets the number of range partitions; without it the session's settings do.
     """
-    if not spec.check:
-        return []
-    rows = df.count()
-    if rows <= spec.rows:
-        return []
-    limit = max(spec.rows, rows / spec.max_chunks)
-    start, end = F.min(micros(ts)), F.max(micros(ts))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), start.alias(_START), end.alias("__end"))
-    pieces = F.ceil(F.col("__n") / F.lit(float(limit)))
-    return (sizes.filter(F.col("__n") > limit)
-            .select(*keys, _START, F.ceil((F.col("__end") - F.col(_START) + 1) / pieces).alias(_WIDTH)).collect())
-
-
-class Chunked:
-    """A series table with its chunk column, and the windows that go with it."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
-                 spec: ChunkSpec = DEFAULT):
+                 chunks: int | None = None):
         self.keys, self.ts, self.ties, self.columns = list(keys), ts, list(ties), df.columns
-        cut = long_sites(df, self.keys, ts, spec)
-        self.cut = bool(cut)
-        if not cut:
-            self.df = df
-            return
-        schema = T.StructType([*[df.schema[k] for k in self.keys],
-                               T.StructField(_START, T.LongType()), T.StructField(_WIDTH, T.LongType())])
-        table = df.sparkSession.createDataFrame(cut, schema)
-        chunk = F.coalesce(F.floor((micros(ts) - F.col(_START)) / F.col(_WIDTH)), F.lit(0))
-        self.df = (df.join(F.broadcast(table), self.keys, "left")
-                   .select(*df.columns, _WIDTH, chunk.alias(_CHUNK)))
+        order = [*self.keys, ts, *self.ties]
+        ranged = df.repartitionByRange(*([chunks] if chunks else []), *order)
+        self.df, self.saved = materialise(ranged.withColumn(_CHUNK, F.spark_partition_id()), "series"), True
 
     @property
     def parts(self) -> list[str]:
-        """Window partition: the site, and the chunk if sites are cut."""
-        return [*self.keys, _CHUNK] if self.cut else self.keys
+        """Window partition: the site and the chunk."""
+        return [*self.keys, _CHUNK]
 
     # windows -----------------------------------------------------------------
     def window(self) -> WindowSpec:
@@ -103,20 +65,21 @@ class Chunked:
 
     # chunk-level carry -------------------------------------------------------
     def carry(self, totals: Mapping[str, Column], carried: Mapping[str, Column]) -> "Chunked":
-        """Join one row per chunk of a long site back to its rows.
+        """Join one row per chunk of a site that straddles a border back to its rows.
 
         ``totals`` are aggregates per chunk; ``carried`` are expressions over those totals,
-        evaluated across the chunks of a site. Ordinary sites receive nulls, and without long
-        sites the columns are plain null literals.
+        evaluated across the chunks of a site. Sites inside one chunk receive nulls.
         """
-        if not self.cut:
-            kinds = self.df.limit(0).groupBy(*self.keys).agg(*[a.alias(n) for n, a in totals.items()]).withColumn(
-                _CHUNK, F.lit(0)).select(*[c.alias(n) for n, c in carried.items()]).schema
-            return self.with_columns({f.name: F.lit(None).cast(f.dataType) for f in kinds})
-        per_chunk = (self.df.filter(F.col(_WIDTH).isNotNull()).groupBy(*self.keys, _CHUNK)
-                     .agg(*[agg.alias(name) for name, agg in totals.items()]))
-        table = per_chunk.select(*self.keys, _CHUNK, *[c.alias(n) for n, c in carried.items()])
-        return self.with_df(self.df.join(F.broadcast(table), [*self.keys, _CHUNK], "left"))
+        kept = self if self.saved else self.with_df(materialise(self.df, "series"), True)
+        per_chunk = kept.df.groupBy(*self.keys, _CHUNK).agg(*[agg.alias(name) for name, agg in totals.items()])
+        names = {k: f"__key{i}" for i, k in enumerate(self.keys)}
+        table = per_chunk.select(
+            *[F.col(k).alias(n) for k, n in names.items()], F.col(_CHUNK).alias("__of"),
+            *[c.alias(n) for n, c in carried.items()], F.count(F.lit(1)).over(self.all_chunks()).alias("__several"),
+        ).filter("__several > 1").drop("__several")
+        same = reduce(lambda a, b: a & b, [kept.df[k].eqNullSafe(table[n]) for k, n in names.items()],
+                      kept.df[_CHUNK] == table["__of"])
+        return self.with_df(kept.df.join(table, same, "left").drop("__of", *names.values()))
 
     def earlier_chunks(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(
@@ -130,18 +93,14 @@ class Chunked:
         return Window.partitionBy(*self.keys)
 
     # plumbing ----------------------------------------------------------------
-    def with_df(self, df: DataFrame) -> "Chunked":
+    def with_df(self, df: DataFrame, saved: bool = False) -> "Chunked":
         other = object.__new__(Chunked)
-        other.__dict__.update(self.__dict__, df=df)
+        other.__dict__.update(self.__dict__, df=df, saved=saved)
         return other
 
     def with_columns(self, columns: Mapping[str, Column]) -> "Chunked":
         return self.with_df(self.df.withColumns(dict(columns)))
 
-    def stored(self, name: str) -> "Chunked":
-        """Written to the shared folder if sites are cut: the carry below reads it twice."""
-        return self.with_df(materialise(self.df, name)) if self.cut else self
-
     def done(self, *extra: str) -> DataFrame:
         return self.df.select(*self.columns, *extra)
 
@@ -160,15 +119,15 @@ class Chunked:
 
 
 def row_position(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
-                 col: str = "pos", spec: ChunkSpec = DEFAULT) -> DataFrame:
+                 col: str = "pos", chunks: int | None = None) -> DataFrame:
     """0-based position of every row in its site, in time order."""
-    return Chunked(df, keys, ts, ties, spec).positioned(col).done(col)
+    return Chunked(df, keys, ts, ties, chunks).positioned(col).done(col)
 
 
 def gap_audit(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
-              per_site: bool = False, spec: ChunkSpec = DEFAULT) -> DataFrame:
+              per_site: bool = False, chunks: int | None = None) -> DataFrame:
     """How often each time difference to the previous row of the site occurs, in seconds."""
-    s = Chunked(df.select(*keys, ts, *ties), keys, ts, ties, spec)
+    s = Chunked(df.select(*keys, ts, *ties), keys, ts, ties, chunks)
     s = s.carry({"__max": F.max(micros(ts))}, {"__last": F.max("__max").over(s.earlier_chunks())})
     previous = F.coalesce(F.lag(micros(ts)).over(s.window()), F.col("__last"))
     gaps = s.df.select(*keys, ((micros(ts) - previous) / F.lit(1e6)).alias("gap_seconds"))
@@ -200,15 +159,15 @@ def _fill_both_ways(s: Chunked, cols: Sequence[str]) -> Chunked:
 
 
 def ffill_bfill(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
-                ties: Sequence[str] = (), spec: ChunkSpec = DEFAULT) -> DataFrame:
+                ties: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """Forward fill without limit, then backward fill what is left at the start."""
-    return _fill_both_ways(Chunked(df, keys, ts, ties, spec), cols).done()
+    return _fill_both_ways(Chunked(df, keys, ts, ties, chunks), cols).done()
 
 
 def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
                      ties: Sequence[str] = (), limit: int | None = 3,
                      max_gap: int | None = None, then_fill: bool = True,
-                     spec: ChunkSpec = DEFAULT) -> DataFrame:
+                     chunks: int | None = None) -> DataFrame:
     """Time-weighted linear interpolation of missing values, per site.
 
     A missing row is filled when it lies within ``limit`` rows of a known value on either
@@ -216,7 +175,7 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
     ``then_fill`` the rest is forward- and then backward-filled. ``max_gap`` leaves runs of
     more missing rows than that untouched by the interpolation.
     """
-    s = Chunked(df, keys, ts, ties, spec).positioned("__pos").stored("positions")
+    s = Chunked(df, keys, ts, ties, chunks).positioned("__pos")
     now, pos = micros(ts), F.col("__pos")
 
     def knot(c: str) -> Column:
@@ -257,12 +216,12 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
 
 
 def chrono_split(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
-                 split: SplitSpec = SplitSpec(), spec: ChunkSpec = DEFAULT) -> DataFrame:
+                 split: SplitSpec = SplitSpec(), chunks: int | None = None) -> DataFrame:
     """Add ``split`` (train, val, test), ``pos`` and ``split_pos`` per site, in time order.
 
     The cuts are the truncated products n*train and n*(train+val) in double arithmetic.
     """
-    s = Chunked(df, keys, ts, ties, spec).positioned("pos", "__n")
+    s = Chunked(df, keys, ts, ties, chunks).positioned("pos", "__n")
     n, pos = F.col("__n"), F.col("pos")
     cut1 = F.floor(n * F.lit(float(split.train)))
     cut2 = F.floor(n * F.lit(float(split.train + split.val)))
@@ -273,9 +232,9 @@ def chrono_split(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str
 
 
 def tail_holdout(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
-                 test_size: float = 0.2, spec: ChunkSpec = DEFAULT) -> DataFrame:
+                 test_size: float = 0.2, chunks: int | None = None) -> DataFrame:
     """Add ``split``: the last ceil(n * test_size) rows of each site are the test part."""
-    s = Chunked(df, keys, ts, ties, spec).positioned("pos", "__n")
+    s = Chunked(df, keys, ts, ties, chunks).positioned("pos", "__n")
     first_test = F.col("__n") - F.ceil(F.col("__n") * F.lit(float(test_size)))
     return s.with_columns({
         "split": F.when(F.col("pos") < first_test, "train").otherwise("test")}).done("pos", "split")

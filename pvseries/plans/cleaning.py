@@ -52,7 +52,7 @@ def weather_table(*years: DataFrame) -> DataFrame:
 
 def clean_gridded(panel_raw: DataFrame, weather_raw: Sequence[DataFrame], typical_raw: DataFrame,
                   limit: int = 3, max_gap: int | None = None, mark_filled: bool = False,
-                  site_typical: bool = True, spec: series.ChunkSpec = series.DEFAULT) -> DataFrame:
+                  site_typical: bool = True, chunks: int | None = None) -> DataFrame:
     """Join the panel, weather and typical-year sources and fill the weather columns.
 
     ``max_gap`` leaves longer gaps to the forward fill alone; ``mark_filled`` gives rows with a
@@ -68,7 +68,7 @@ def clean_gridded(panel_raw: DataFrame, weather_raw: Sequence[DataFrame], typica
     for c in MET_COLUMNS:
         missing = missing | clean.quoted(c).isNull()
     df = df.withColumn("__filled", missing)
-    df = series.interpolate_time(df, ["site"], "datetime", MET_COLUMNS, limit=limit, max_gap=max_gap, spec=spec)
+    df = series.interpolate_time(df, ["site"], "datetime", MET_COLUMNS, limit=limit, max_gap=max_gap, chunks=chunks)
     df = df.withColumn("data_quality", clean.quality_flag(F.col("Int"), F.col("__filled") if mark_filled else None))
     return clean.select_columns(df, ("site", *GRIDDED_COLUMNS), GRIDDED_NAMES)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pvseries.config import TREE_FEATURES
 from pvseries.functions import calendar as cal
-from pvseries.operators import attribution, metrics, models, scaling, series
+from pvseries.operators import attribution, checks, metrics, models, scaling, series
 from pvseries.operators.distributions import seeded_sample
 from pvseries.plans.prepare import Prepared
 from pvseries.sources.tables import materialise
@@ -24,7 +24,7 @@ class TreeStudy:
 
 
 def tree_study(df: DataFrame, target: str = "P", ts: str = "datetime", daytime: bool = False,
-               sample: int = 2000, chunks: series.ChunkSpec = series.DEFAULT, **settings) -> TreeStudy:
+               sample: int = 2000, chunks: int | None = None, **settings) -> TreeStudy:
     """Boosted trees on the hourly rows with the last fifth held out, and their attributions.
 
     ``daytime`` keeps rows with the sun up, as in the second model of the study. The split is
@@ -33,8 +33,8 @@ def tree_study(df: DataFrame, target: str = "P", ts: str = "datetime", daytime:
     df = df.withColumns(cal.cyclic_features(ts))
     if daytime:
         df = df.filter("H_sun > 0")
-    rows = df.select("site", ts, target, *TREE_FEATURES).dropna()
-    split = materialise(series.tail_holdout(rows, ["site"], ts, spec=chunks), "holdout")
+    rows = df.select("site", ts, target, *TREE_FEATURES)
+    split = materialise(series.tail_holdout(rows, ["site"], ts, chunks=chunks), "holdout")
     model = models.fit_trees(split.filter("split = 'train'"), TREE_FEATURES, target, **settings)
     test = split.filter("split = 'test'")
     scored = models.predict(model, test, ["site", ts, target])
@@ -47,8 +47,9 @@ def tree_study(df: DataFrame, target: str = "P", ts: str = "datetime", daytime:
 def window_study(prepared: Prepared, kind: str = "gbt", **settings) -> tuple[object, DataFrame, DataFrame]:
     """Fit a forecaster on prepared windows; return it, the predictions and metrics per split.
 
-    Predictions and metrics are in original units.
+    Predictions and metrics are in original units. Nothing is fitted unless every check passes.
     """
+    checks.gate(prepared.checks)
     windows = materialise(prepared.windows, "windows")
     model = models.fit_forecaster(windows, kind, **settings)
     target = prepared.spec.target

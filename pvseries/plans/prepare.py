@@ -24,7 +24,7 @@ class Prepared:
 
 def prepare(df: DataFrame, spec: ModelSpec, daytime_only: bool = True, min_quality: int = 0,
             max_gap_seconds: float | None = None, fit_on_all: bool = False,
-            chunks: series.ChunkSpec = series.DEFAULT) -> Prepared:
+            chunks: int | None = None) -> Prepared:
     """Features, daytime filter, chronological split, scaling and windows.
 
     ``fit_on_all`` takes the interaction maxima from the whole table instead of the training
@@ -41,7 +41,7 @@ def prepare(df: DataFrame, spec: ModelSpec, daytime_only: bool = True, min_quali
         df = clean.daytime_filter(df, spec.daylight)
     if min_quality > 0:
         df = clean.quality_filter(df, min_quality)
-    split = materialise(series.chrono_split(df, ["site"], spec.ts, split=spec.split, spec=chunks), "split")
+    split = materialise(series.chrono_split(df, ["site"], spec.ts, split=spec.split, chunks=chunks), "split")
     if spec.interactions and not fit_on_all:
         split = scaling.interaction_features(split, fit_on=F.col("split") == "train")
     clean.require_columns(split, spec.features)

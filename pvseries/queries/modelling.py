@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from pvseries.config import MINMAX, STANDARD, FeatureGroup
 from pvseries.operators import attribution, checks, metrics, models, scaling, series
+from pvseries.operators import distributions as dist
 from pvseries.queries.base import MODEL_ROWS_SQL, model_rows, query, rounded
+from pvseries.session import exists, run_dir, scratch_path
 from pvseries.sources.tables import materialise
 
 GROUPS = (FeatureGroup("spatial", ("value",), MINMAX), FeatureGroup("temporal", ("k",), STANDARD),
           FeatureGroup("angle", ("hour",), MINMAX, -1.0, 1.0))
-TREES = {"trees": 20, "depth": 5, "rate": 0.1}
+TREES = {"trees": 200, "depth": 5, "rate": 0.05}
 
 _FIT_SQL = f"""
 {MODEL_ROWS_SQL},
@@ -35,8 +40,9 @@ def split_rows(t):
 
 
 def fitted(t):
-    rows = split_rows(t)
-    return rows, scaling.fit_scalers(rows.filter("split = 'train'"), GROUPS)
+    """The split rows and their scaler parameters, both saved: readers of either start no fit again."""
+    rows = materialise(split_rows(t), "split")
+    return rows, materialise(scaling.fit_scalers(rows.filter("split = 'train'"), GROUPS), "scalers")
 
 
 @query("fit_minmax", f"WITH {_FIT_SQL} {_ROUND_PARAMS} WHERE kind = 'minmax'")
@@ -116,7 +122,8 @@ def _linear(t):
 
 
 _LINEAR_SQL = "d AS (SELECT l_extendedprice AS y, l_quantity * 1500.0 + l_tax * 10000.0 + 14000.0 AS yhat FROM lineitem)"
-_METRICS_SQL = """count(*) AS n, round(avg((y - yhat) * (y - yhat)), {d}) AS mse, round(avg(abs(y - yhat)), {d}) AS mae,
+_METRICS_SQL = """count(y - yhat) AS n,
+ count(*) FILTER (y - yhat IS NULL) AS n_missing, round(avg((y - yhat) * (y - yhat)), {d}) AS mse, round(avg(abs(y - yhat)), {d}) AS mae,
  round(sqrt(avg((y - yhat) * (y - yhat))), {d}) AS rmse,
  round(1 - avg((y - yhat) * (y - yhat)) / var_pop(y), {d}) AS r2,
  round(sqrt(avg((y - yhat) * (y - yhat))) / (max(y) - min(y)) * 100, {d}) AS nrmse"""
@@ -161,64 +168,106 @@ def metrics_by_split(t):
 # -- models -----------------------------------------------------------------------
 
 FEATURES = ("l_quantity", "l_discount", "l_tax", "month_sin", "month_cos")
+KEY = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+SAMPLE = 2000
 
-
-_FITTED: dict[tuple[str, str], tuple] = {}
+_HOLDOUT_SQL = """
+h AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
+ count(*) OVER (PARTITION BY l_suppkey) AS size FROM lineitem),
+test AS (SELECT * FROM h WHERE pos >= size - ceil(size * 0.2::DOUBLE)),
+picked AS (SELECT * FROM test ORDER BY md5(concat_ws('|', l_suppkey, l_orderkey, l_linenumber, l_partkey, 42)),
+ l_suppkey, l_orderkey, l_linenumber, l_partkey LIMIT 2000)"""
 
 
 def _study(t):
-    """Trees on line items, one series per supplier with its last fifth held out.
+    """(model, hold-out rows, attributions of a sample of them), fitted once per run and folder, then read from files.
 
-    The model is fitted once per application and serves every table derived from it.
+    Trees on line items, one series per supplier with its last fifth held out.
     """
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _FITTED:
+    base = f"{run_dir(t.spark)}/study-{hashlib.md5(t.folder.encode()).hexdigest()[:12]}"
+    if not exists(t.spark, f"{base}/attributions/_SUCCESS"):
         angle = 2 * 3.141592653589793 * F.month("l_shipdate") / 12
         rows = t.lineitem.select(
             "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
             "l_discount", "l_tax", F.sin(angle).alias("month_sin"), F.cos(angle).alias("month_cos"))
-        ties = ["l_orderkey", "l_linenumber", "l_partkey"]
-        split = materialise(series.tail_holdout(rows, ["l_suppkey"], "l_shipdate", ties), "holdout")
+        split = series.tail_holdout(rows, ["l_suppkey"], "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey"])
+        split.write.mode("overwrite").parquet(f"{base}/holdout")
+        split = t.spark.read.parquet(f"{base}/holdout")
         model = models.fit_trees(split.filter("split = 'train'"), FEATURES, "l_extendedprice", **TREES)
-        _FITTED[key] = model, split.filter("split = 'test'")
-    return _FITTED[key]
-
-
-KEY = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+        models.save_model(model, f"{base}/model")
+        picked = dist.seeded_sample(split.filter("split = 'test'"), KEY, SAMPLE)
+        parts = attribution.tree_attributions(model, picked, FEATURES, KEY)
+        parts.write.mode("overwrite").parquet(f"{base}/attributions")
+    return (models.load_model(f"{base}/model"), t.spark.read.parquet(f"{base}/holdout").filter("split = 'test'"),
+            t.spark.read.parquet(f"{base}/attributions"))
 
 
-@query("gbt_forecast_metrics")
+@query("gbt_forecast_metrics", f"""
+WITH {_HOLDOUT_SQL} SELECT count(*) AS n, count(*) FILTER (l_extendedprice IS NULL) AS n_missing, 1 AS beats_mean FROM test""")
 def gbt_forecast_metrics(t):
-    model, test = _study(t)
-    return metrics.regression_metrics(models.predict(model, test, ["l_extendedprice"]), "l_extendedprice")
+    model, test, _ = _study(t)
+    got = metrics.regression_metrics(models.predict(model, test, ["l_extendedprice"]), "l_extendedprice")
+    return got.select("n", "n_missing", (F.col("r2") > 0).cast("int").alias("beats_mean"))
 
 
-@query("tree_attributions")
+@query("tree_attributions", f"""
+WITH {_HOLDOUT_SQL} SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {len(FEATURES)} AS n_features, 1 AS adds_up FROM picked""")
 def tree_attributions(t):
-    model, test = _study(t)
-    return attribution.tree_attributions(model, test, FEATURES, KEY)
+    """Attributions and base add up to the prediction of every sampled row."""
+    model, test, parts = _study(t)
+    total = parts.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_features"), (F.sum("attribution") + F.first("base")).alias("total"))
+    off = F.abs(F.col("total") - F.col("yhat")) < 1e-6 * F.greatest(F.abs("yhat"), F.lit(1.0))
+    return total.join(models.predict(model, test, KEY), KEY).select(*KEY, "n_features", off.cast("int").alias("adds_up"))
+
+
+@query("feature_importance", f"""
+WITH {_HOLDOUT_SQL}, c AS (SELECT unnest([
+ {{'feature': 'l_quantity', 'r': corr(l_quantity, l_extendedprice)}}, {{'feature': 'l_discount', 'r': corr(l_discount, l_extendedprice)}},
+ {{'feature': 'l_tax', 'r': corr(l_tax, l_extendedprice)}}], recursive := true) FROM picked)
+SELECT feature, CASE WHEN r > 0 THEN 'up' ELSE 'down' END AS effect FROM c ORDER BY abs(r) DESC LIMIT 1""")
+def feature_importance(t):
+    """The strongest feature and its direction; it is the one that the target goes with."""
+    return attribution.feature_importance(_study(t)[2], bar=100.0).limit(1).select("feature", "effect")
 
 
-@query("feature_importance")
-def feature_importance(t):
-    model, test = _study(t)
-    parts = attribution.tree_attributions(model, test, FEATURES, KEY)
-    return attribution.feature_importance(parts, bar=100.0)
+def _bins_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, least(coalesce(floor(({c} - lo) / nullif(hi - lo, 0) * 10), 0)::BIGINT, 9) AS bin, count(*) AS n,
+ round(avg({c}), 6) AS value FROM picked, (SELECT min({c}) AS lo, max({c}) AS hi FROM picked) GROUP BY 1, 2"""
 
 
-@query("dependence_table")
+@query("dependence_table", f"WITH {_HOLDOUT_SQL} {_bins_sql('l_quantity')} UNION ALL {_bins_sql('l_tax')}")
 def dependence_table(t):
-    model, test = _study(t)
-    parts = attribution.tree_attributions(model, test, FEATURES, KEY)
-    return attribution.dependence_table(parts, ["l_quantity", "l_tax"], bins=10)
+    out = attribution.dependence_table(_study(t)[2], ["l_quantity", "l_tax"], bins=10)
+    return out.select("feature", "bin", "n", F.round("value", 6).alias("value"))
 
 
-@query("window_forecaster")
+@query("window_forecaster", f"""
+WITH {MODEL_ROWS_SQL}, w AS (SELECT split, row_number() OVER (PARTITION BY site, split ORDER BY ts) AS i FROM m)
+SELECT split, count(*) AS n, 1 AS beats_persistence FROM w WHERE i > 2 AND split <> 'train' GROUP BY split""")
 def window_forecaster(t):
+    """Rows scored per split, and whether the error is below that of the last known value."""
     w, params = scaled_windows(t)
     w = materialise(w, "windows")
-    scored = models.forecast(models.fit_forecaster(w, **TREES), w).select("site", "split", "ts", "y", "yhat")
-    back = scaling.invert_scaling(scored, params, {"y": "value", "yhat": "value"})
-    return metrics.regression_metrics(back.filter("split <> 'train'"), by=["split"])
-
-
+    last = F.col("x")[F.size("x") - 1][0].alias("last")
+    scored = models.forecast(models.fit_forecaster(w, **TREES), w.select("*", last)).select("site", "split", "ts", "y", "yhat", "last")
+    back = scaling.invert_scaling(scored, params, {"y": "value", "yhat": "value", "last": "value"})
+    rows = materialise(back.filter("split <> 'train'"), "scored")
+    own = metrics.regression_metrics(rows, by=["split"]).select("split", "n", "rmse")
+    naive = metrics.regression_metrics(rows, yhat="last", by=["split"]).select("split", F.col("rmse").alias("naive"))
+    return own.join(naive, "split").select("split", "n", (F.col("rmse") < F.col("naive")).cast("int").alias("beats_persistence"))
+
+
+@query("linear_forecaster", f"""
+WITH {_FIT_SQL}, w AS (SELECT split, value * {_ONE('value', 'scale')} + {_ONE('value', '"offset"')} AS y, site, ts FROM m),
+p AS (SELECT split, y, lag(y) OVER (PARTITION BY site, split ORDER BY ts) AS x FROM w)
+SELECT round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM p WHERE split = 'train' AND x IS NOT NULL""")
+def linear_forecaster(t):
+    """One look-back row of one feature: the least-squares line. The model is saved and loaded again."""
+    rows, params = fitted(t)
+    scaled = scaling.apply_scaling(rows, params)
+    w = materialise(series.lookback_windows(scaled, ["site"], "ts", ["value"], "value", 1), "windows")
+    path = scratch_path(t.spark, "linear")
+    models.save_model(models.fit_forecaster(w, "linear"), path)
+    model = LinearRegressionModel.load(path)
+    return t.spark.createDataFrame([(round(float(model.coefficients[0]), 5), round(float(model.intercept), 5))],
+                                   "slope double, intercept double")

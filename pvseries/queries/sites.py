@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pvseries.plans.cleaning import clean_gridded
+from pvseries.operators import clean
+from pvseries.plans.cleaning import clean_gridded, clean_station
 from pvseries.queries.base import query
+from pvseries.schemas import STATION_RAW
 
 
 def _filled_sql(c: str, digits: int) -> str:
@@ -64,3 +66,35 @@ def gridded_site_clean(t):
     return out.select("site", "datetime", F.round("P", 7).alias("P"), F.round("G_i", 7).alias("G_i"),
                       F.round("T2m", 9).alias("T2m"), F.round("RH", 9).alias("RH"),
                       F.round("WD10m", 6).alias("WD10m"), "data_quality")
+
+
+# Readings are the values less 40, missing for errors, so that all three cases occur.
+_STATION_SQL = """
+r AS (SELECT event_id, user_id AS site, date_trunc('hour', ts) AS "Datetime",
+ CASE WHEN event_type <> 'error' THEN value - 40 END AS g, value / 5 AS temp FROM events),
+s AS (SELECT site, "Datetime", greatest(g, 0) AS generation, temp FROM r WHERE g IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY site, "Datetime" ORDER BY event_id) = 1),
+f AS (SELECT site, "Datetime", round(generation, 6) AS generation, round(temp, 6) AS temp, CASE WHEN month("Datetime") IN (12, 1, 2) THEN 'Winter'
+ WHEN month("Datetime") IN (3, 4, 5) THEN 'Spring' WHEN month("Datetime") IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season FROM s)"""
+
+
+def _station(t):
+    """Raw station files made of the events: 27 columns, calendar parts apart."""
+    values = {"year": F.year("ts"), "month": F.month("ts"), "day": F.dayofmonth("ts"), "hour": F.hour("ts"),
+              "generation": F.when(F.col("event_type") != "error", F.col("value") - 40), "temp": F.col("value") / 5,
+              "sealevelpressure": F.lit(1013.0), "preciptype": F.lit("rain"), "stations": F.lit("A1")}
+    raw = t.events.select("event_id", F.col("user_id").alias("site"), *[
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in STATION_RAW])
+    return clean_station(raw, 48.2, 16.4, "event_id").withColumns(
+        {"generation": F.round("generation", 6), "temp": F.round("temp", 6)})
+
+
+@query("station_site_clean", f"WITH {_STATION_SQL} SELECT * FROM f")
+def station_site_clean(t):
+    return _station(t).select("site", "Datetime", "generation", "temp", "season")
+
+
+@query("station_daytime", f"WITH {_STATION_SQL} SELECT site, \"Datetime\", generation FROM f WHERE generation > 0")
+def station_daytime(t):
+    out = clean.daytime_filter(clean.require_columns(_station(t), ["site", "Datetime", "generation"]), "generation")
+    return out.select("site", "Datetime", "generation")

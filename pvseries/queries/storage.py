@@ -85,37 +85,34 @@ def json_maps_to_wide(t):
     return nested_json.maps_to_wide(t.spark.read.schema(schema).json(path), "parameter", ["T2M", "PS"], ["event_id"])
 
 
-@query("header_offset_probe")
+@query("header_offset_probe", "SELECT event_id, user_id, value FROM events")
 def header_offset_probe(t):
-    """Each written part starts with two lines of site text above its header."""
-    path = scratch_path(t.spark, "text")
-    lines = t.events.select(F.concat_ws(",", "event_id", "user_id", F.col("value").cast("string")).alias("value"))
-    lines.write.option("header", False).text(path)
+    """Eight files, each with two lines of site text above its header, read back below it."""
     part = scratch_path(t.spark, "probe")
-    body = t.spark.read.text(path).select(
-        F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o"), "value")
+    body = t.events.select(F.pmod("event_id", F.lit(8)).cast("int").alias("p"), F.col("event_id").cast("long").alias("o"),
+                           F.concat_ws(",", "event_id", "user_id", F.col("value").cast("string")).alias("value"))
     top = t.spark.range(8).select(F.col("id").cast("int").alias("p"), F.posexplode(F.array(
-        F.lit("Latitude: 26.81"), F.lit("Longitude: 73.77"), F.lit("time,P,Gb(i)"))).alias("o", "value"))
-    top = top.select("p", (F.col("o") - 3).cast("long").alias("o"), "value")
-    (top.unionByName(body.withColumn("p", F.pmod(F.col("o"), F.lit(8)).cast("int")))
-     .repartition(8, "p").sortWithinPartitions("p", "o").select("p", "value")
+        F.lit("Latitude: 48.2"), F.lit("Longitude: 16.4"), F.lit("event,site,P"))).alias("o", "value"))
+    top = top.select("p", (F.col("o") - (1 << 62)).cast("long").alias("o"), "value")
+    (top.unionByName(body).repartition(8, "p").sortWithinPartitions("p", "o").select("p", "value")
      .write.partitionBy("p").text(part))
-    out = probe.header_offsets(t.spark, part, ["time", "P", "Gb(i)"])
-    return out.select("skip", "header")
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                           T.StructField("value", T.DoubleType())])
+    return probe.read_after_header(t.spark, part, schema, ["event", "P"]).select("event_id", "user_id", "value")
 
 
-_WINDOWS_VAL_SQL = f"""
+_WINDOWS_SQL = f"""
 WITH {MODEL_ROWS_SQL} SELECT * EXCLUDE (i) FROM (SELECT site, split, ts, pos - min(pos) OVER (PARTITION BY site, split)
  AS split_pos, lag(value, 2) OVER w AS x0_value, lag(k, 2) OVER w AS x0_k, lag(value, 1) OVER w AS x1_value,
  lag(k, 1) OVER w AS x1_k, value AS y, row_number() OVER w AS i
- FROM m WINDOW w AS (PARTITION BY site, split ORDER BY ts)) WHERE i > 2 AND split = 'val'"""
+ FROM m WINDOW w AS (PARTITION BY site, split ORDER BY ts)) WHERE i > 2"""
 
 
-@query("windows_roundtrip", _WINDOWS_VAL_SQL)
+@query("windows_roundtrip", _WINDOWS_SQL)
 def windows_roundtrip(t):
     path = scratch_path(t.spark, "windows")
     artifacts.write_windows(windows(t), path)
-    return _flat(artifacts.read_windows(t.spark, path, "val"), 2)
+    return _flat(artifacts.read_windows(t.spark, path), 2)
 
 
 @query("scaler_params", f"WITH {_FIT_SQL} {_ROUND_PARAMS}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,25 +33,35 @@ def local_session(cpus: str | int = "*", app: str = "pvseries", memory: str = "1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    On a cluster the setting must exist, since a driver-local folder would be invisible
-    to the executors. A local session without the setting gets a temporary folder.
-    """
-    base = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="pvseries-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else a part of the warehouse folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/pvseries/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/pvseries/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.exists(place)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's folder, when none of its tables is read any more."""
+    files, place = _files(spark, run_dir(spark))
+    files.delete(place, True)
 
 
 def use_checkpoints(spark: SparkSession) -> None:

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from pvseries.config import GRIDDED, STATION, STATION_DAY
 from pvseries.functions.calendar import season
 from pvseries.operators import checks, scaling
-from pvseries.operators.series import ChunkSpec
 from pvseries.plans import cleaning, explore, forecast, prepare
 from pvseries.schemas import STATION_RAW
 from pvseries.session import scratch_path
 from pvseries.sources import artifacts
 
-CUT = ChunkSpec(rows=50)
+CUT = 20
 
 
 def gridded_files(days=40, seed=0, start="2020-02-10"):
@@ -69,7 +68,7 @@ def sites(spark):
     return frames, [spark.createDataFrame(m).repartition(3) for m in merged]
 
 
-@pytest.mark.parametrize("chunks", [ChunkSpec(), CUT], ids=["plain", "chunked"])
+@pytest.mark.parametrize("chunks", [None, CUT], ids=["plain", "chunked"])
 def test_gridded_cleaning_matches_pandas(sites, chunks):
     frames, (panel, weather, typical) = sites
     early = F.col("time") < 2020022500
@@ -138,7 +137,7 @@ def hourly_site(spark, n, name="a"):
 
 def test_prepare_reproduces_the_known_window_counts(spark):
     """8,787 daylight rows give 6,148 / 1,756 / 877 windows of 2 x 18."""
-    done = prepare.prepare(hourly_site(spark, 8787), GRIDDED, chunks=ChunkSpec(rows=500))
+    done = prepare.prepare(hourly_site(spark, 8787), GRIDDED, chunks=20)
     row = done.checks.first()
     assert (row.train_size, row.val_size, row.test_size) == (6148, 1756, 877)
     assert row.finite and row.same_shape and row.enough_train and row.train_largest

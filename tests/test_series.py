@@ -1,4 +1,4 @@
-"""Series operators against pandas, in the plain and in the chunked form."""
+"""Series operators against pandas, with the session's chunks and with many."""
 
 import datetime as dt
 
@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from pvseries.operators import series as S
 
-PLAIN = S.ChunkSpec()
-CUT = S.ChunkSpec(rows=7)
-SPECS = pytest.mark.parametrize("spec", [PLAIN, CUT], ids=["plain", "chunked"])
+CUT = 40
+SPECS = pytest.mark.parametrize("chunks", [None, CUT], ids=["session", "many"])
 
 
 def build(n_sites=3, n=400, seed=1, holes=True):
@@ -56,19 +55,19 @@ def pandas_fill(pdf, limit, fill):
 
 @SPECS
 @pytest.mark.parametrize("limit,fill", [(3, True), (3, False), (1, True), (None, False)])
-def test_interpolate_matches_pandas(spark, spec, limit, fill):
+def test_interpolate_matches_pandas(spark, chunks, limit, fill):
     pdf = build()
     got = collect(S.interpolate_time(to_spark(spark, pdf), ["site"], "ts", ["v", "u"], limit=limit,
-                                     then_fill=fill, spec=spec))
+                                     then_fill=fill, chunks=chunks))
     want = pandas_fill(pdf, limit, fill).sort_values(["site", "ts"])
     for c in ("v", "u"):
         np.testing.assert_allclose(got[c].astype(float), want[c], rtol=0, atol=1e-9)
 
 
 @SPECS
-def test_fill_matches_pandas(spark, spec):
+def test_fill_matches_pandas(spark, chunks):
     pdf = build(seed=5)
-    got = collect(S.ffill_bfill(to_spark(spark, pdf), ["site"], "ts", ["v", "u"], spec=spec))
+    got = collect(S.ffill_bfill(to_spark(spark, pdf), ["site"], "ts", ["v", "u"], chunks=chunks))
     want = pandas_fill(pdf, 0, True)
     for c in ("v", "u"):
         np.testing.assert_array_equal(got[c].astype(float), want[c])
@@ -77,33 +76,33 @@ def test_fill_matches_pandas(spark, spec):
 def test_max_gap_leaves_long_gaps(spark):
     pdf = build(n_sites=1)
     got = collect(S.interpolate_time(to_spark(spark, pdf), ["site"], "ts", ["v"], max_gap=3,
-                                     then_fill=False, spec=CUT))
+                                     then_fill=False, chunks=CUT))
     site = got[got.site == 0].reset_index(drop=True)
     assert site.v[20:22].notna().all()
     assert site.v[40:46].isna().all() and site.v[100:124].isna().all()
 
 
 @SPECS
-def test_positions_splits_and_gaps(spark, spec):
+def test_positions_splits_and_gaps(spark, chunks):
     pdf = build(seed=9)
     df = to_spark(spark, pdf)
     want = pdf.sort_values(["site", "ts"]).reset_index(drop=True)
     by = want.groupby("site")
     want["pos"], n = by.cumcount(), by.site.transform("size")
-    got = collect(S.row_position(df, ["site"], "ts", spec=spec))
+    got = collect(S.row_position(df, ["site"], "ts", chunks=chunks))
     assert (got.pos == want.pos).all()
 
     cut1, cut2 = (n * 0.7).astype(int), (n * (0.7 + 0.2)).astype(int)
     split = np.where(want.pos < cut1, "train", np.where(want.pos < cut2, "val", "test"))
-    got = collect(S.chrono_split(df, ["site"], "ts", spec=spec))
+    got = collect(S.chrono_split(df, ["site"], "ts", chunks=chunks))
     assert (got.split == split).all()
     start = np.where(split == "train", 0, np.where(split == "val", cut1, cut2))
     assert (got.split_pos == want.pos - start).all()
 
-    got = collect(S.tail_holdout(df, ["site"], "ts", spec=spec))
+    got = collect(S.tail_holdout(df, ["site"], "ts", chunks=chunks))
     assert ((got.split == "test") == (want.pos >= n - np.ceil(n * 0.2))).all()
 
-    gaps = S.gap_audit(df, ["site"], "ts", spec=spec).toPandas().set_index("gap_seconds").n.to_dict()
+    gaps = S.gap_audit(df, ["site"], "ts", chunks=chunks).toPandas().set_index("gap_seconds").n.to_dict()
     assert gaps == by.ts.diff().dt.total_seconds().dropna().value_counts().to_dict()
 
 
@@ -111,7 +110,7 @@ def test_positions_splits_and_gaps(spark, spec):
 @pytest.mark.parametrize("lookback,horizon", [(2, 1), (3, 2), (5, 4)])
 def test_windows_match_a_plain_loop(spark, rows, lookback, horizon):
     pdf = build(seed=2, holes=False).assign(u=lambda d: d.u.fillna(0)).query("site != 99")
-    split = S.chrono_split(to_spark(spark, pdf), ["site"], "ts", spec=CUT)
+    split = S.chrono_split(to_spark(spark, pdf), ["site"], "ts", chunks=CUT)
     got = S.lookback_windows(split, ["site"], "ts", ["v", "u"], "v", lookback, horizon, rows=rows).toPandas()
     seen = {(r.site, r.split, r.split_pos): r for r in got.itertuples()}
     count = 0
@@ -147,17 +146,19 @@ def test_single_row_and_empty_input(spark):
     assert S.chrono_split(empty, ["site"], "ts").count() == 0
 
 
-def test_a_hot_site_is_cut_evenly(spark):
-    """One site holds a third of all rows; no window partition keeps more than twice the limit."""
-    spec = S.ChunkSpec(rows=2_000)
-    site = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50)
-    ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id").cast("int"))
-    df = spark.range(60_000).select(site.alias("site"), ts.alias("ts"))
-    assert [r.site for r in S.long_sites(df, ["site"], "ts", spec)] == [-1]
-    cut = S.Chunked(df, ["site"], "ts", spec=spec)
-    sizes = cut.df.groupBy(*cut.parts).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 4_000
-    assert sizes.filter("site = -1").count() == 10
-    assert S.long_sites(df, ["site"], "ts", S.ChunkSpec(rows=2_000, check=False)) == []
-    capped = S.long_sites(df, ["site"], "ts", S.ChunkSpec(rows=10, max_chunks=4))
-    assert len(capped) <= 4
+@pytest.mark.parametrize("shape", ["early stamp", "no site", "burst"])
+def test_chunks_are_even_in_any_shape(spark, shape):
+    """A third of all rows belongs to one site; no chunk holds more than twice the mean."""
+    hot = F.lit(None).cast("long") if shape == "no site" else F.lit(-1).cast("long")
+    site = F.when(F.col("id") % 3 == 0, hot).otherwise(F.col("id") % 50)
+    seconds = F.col("id") if shape != "burst" else F.when(F.col("id") % 2 == 0, F.lit(5)).otherwise(F.col("id"))
+    ts = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=seconds.cast("int")))
+    if shape == "early stamp":
+        ts = F.when(F.col("id") == 0, F.lit("1970-01-01").cast("timestamp")).otherwise(ts)
+    df = spark.range(60_000).select(site.alias("site"), ts.alias("ts"), "id")
+    cut = S.Chunked(df, ["site"], "ts", ["id"], chunks=30)
+    sizes = cut.df.groupBy("__chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 60_000 / 30
+    got = cut.positioned("pos", "n").done("pos", "n").groupBy("site").agg(
+        F.countDistinct("pos").alias("d"), F.max("pos").alias("top"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert all(r.d == r.rows == r.n == r.top + 1 for r in got.collect())

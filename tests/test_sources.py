@@ -51,13 +51,16 @@ def probed(tmp_path):
 
 def test_header_offsets(spark, probed):
     got = {r.file.rsplit("/", 1)[1]: (r.skip, r.header) for r in probe.header_offsets(spark, probed, ["P", "nope"]).collect()}
-    assert got == {"plain.csv": (0, "time,P"), "deep.csv": (2, "time,P")}
+    assert got == {"plain.csv": (0, "time,P"), "deep.csv": (2, "time,P"), "late.csv": (12, "time,P")}
+    assert all(r.skip is None for r in probe.header_offsets(spark, probed, ["nope"]).collect())
+    with pytest.raises(ValueError, match="no header"):
+        probe.read_after_header(spark, probed, PANEL_HOURLY, ["nope"])
     schema = T.StructType([T.StructField("time", T.StringType()), T.StructField("P", T.DoubleType())])
     rows = probe.read_after_header(spark, probed, schema, ["P"]).orderBy("time").collect()
-    assert [(r.time, r.P) for r in rows] == [("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", None), ("footer", None)]
+    assert [(r.time, r.P) for r in rows] == [("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", None), ("footer", None), ("z", 9.0)]
     seen = probe.inspect(probe.read_after_header(spark, probed, schema, ["P"]), ["time"])
     assert {r.column: (r.nulls, r.dtype) for r in seen["columns"].collect()}["P"] == (2, "double")
-    assert [r.time for r in seen["head"].collect()] == ["a", "b", "c"] and [r.time for r in seen["tail"].collect()] == ["d", "footer"]
+    assert [r.time for r in seen["head"].collect()] == ["a", "b", "c"] and [r.time for r in seen["tail"].collect()] == ["footer", "z"]
 
 
 def test_delimited_keeps_bad_rows_and_file_order(spark, tmp_path):
