@@ -6,7 +6,7 @@ differ in few edits soon walk in step again, so their walks differ in few places
 keeps a few steps of a walk as its signature, in several repetitions with bits and steps of their
 own; windows whose signatures agree in any repetition are candidates.
 
-Items are indexed by windows of eight words at every second word, so that candidates of an item
+Items are indexed by windows of ten words at every second word, so that candidates of an item
 come from all its parts, and one unbroken or slightly edited part is enough; the texts' walks start
 at every word. A walk is given up at the first sampled step where no item has the same words so
 far, which leaves the result as it is and ends nearly all walks after a few steps. A candidate
@@ -16,7 +16,7 @@ compared by exact edit distance (bytes), and reported if that is at most a quart
 The benchmark goes to the tasks in blocks of bounded rows and bytes, each read by one pass
 inside the same scan of the texts; equal items are one entry.
 
-Defined cases: null, empty and one-word items match nothing; items of two to seven words are
+Defined cases: null, empty and one-word items match nothing; items of two to nine words are
 indexed as one window; null and empty texts match nothing; repeated rows and null keys are
 reported like others; empty tables give no rows; other columns are not read, and the filter
 returns them unchanged.
@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pvseries.llm.common import id_text, map_arrow, raw, rows
 
-WINDOW, STRIDE, SAMPLES = 8, 2, 5
+WINDOW, STRIDE, SAMPLES = 10, 2, 6
 MAX_EDITS = 0.25  # of an item's bytes
 RECALL, WALK_CHANGE = 0.97, 0.1  # recall of a window whose walk differs in a tenth of its steps
 BLOCK_ITEMS, BLOCK_BYTES = 5_000, 8 << 20
@@ -53,19 +53,42 @@ def repetitions(recall: float = RECALL, change: float = WALK_CHANGE, samples: in
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - change) ** samples))
 
 
-def fit_distance(item: bytes, region: bytes) -> int:
-    """Least edit distance of the item to any part of the region."""
+def letters(item: bytes) -> dict[int, int]:
+    """For each byte, the places of an item that hold it, as bits."""
+    out: dict[int, int] = {}
+    for k, c in enumerate(item):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def fit_distance(item: bytes, region: bytes, places: dict[int, int] | None = None) -> int:
+    """Least edit distance of the item to any part of the region.
+
+    A column of the distance table is kept as bits of its steps up and down, in whole numbers as
+    long as the item, so that a byte of the region takes a few operations.
+    """
     if item in region:
         return 0
-    r = np.frombuffer(region, np.uint8)
-    step = np.arange(len(r) + 1)
-    row = np.zeros(len(r) + 1, np.int64)
-    for c in item:
-        new = np.empty_like(row)
-        new[0] = row[0] + 1
-        np.minimum(row[:-1] + (r != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - step) + step
-    return int(row.min())
+    places = letters(item) if places is None else places
+    size = len(item)
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, score = full, 0, size
+    best = size
+    for c in region:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        rise = down | (full & ~(diagonal | up))
+        fall = up & diagonal
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+            if score < best:
+                best = score
+        rise <<= 1
+        up = full & ((fall << 1) | ~(same | down | rise))
+        down = rise & (same | down) & full
+    return best
 
 
 class WalkIndex:
@@ -74,6 +97,7 @@ class WalkIndex:
     def __init__(self, items: list[tuple[int, list[bytes]]], seed: int = 11):
         self.items = items
         self.texts = [b" ".join(w) for _, w in items]
+        self.places = [letters(t) for t in self.texts]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}), 2)}  # 0 other, 1 end
         self.reps = repetitions()
         rng = np.random.default_rng(seed)
@@ -145,7 +169,7 @@ class WalkIndex:
         """(text, item, first word, distance): the best place of every matching item in a text."""
         split = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
-        coded = np.fromiter((c for w in split for c in self.code(w)), np.int64, int(sizes.sum()))
+        coded = np.fromiter(chain.from_iterable(map(self.code, split)), np.int64, int(sizes.sum()))
         begin = np.cumsum(sizes) - sizes
         places = defaultdict(set)
         for start, doc, item in self.candidates(coded, np.repeat(np.arange(len(split)), sizes)):
@@ -159,7 +183,7 @@ class WalkIndex:
                     continue
                 last = start
                 region = b" ".join(split[doc][max(0, start - room):start + n + 2 * room])
-                d = fit_distance(self.texts[item], region)
+                d = fit_distance(self.texts[item], region, self.places[item])
                 if best is None or d < best[1]:
                     best = (max(0, start), d)
                 if d == 0:
