@@ -40,7 +40,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], target: str, **settings
     filled = [f"{f}__filled" for f in features]
     ready = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled),
                              VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]).fit(rows)
-    vectors = materialise(ready.transform(rows).select("features", "y"), "vectors")
+    vectors = materialise(ready.transform(rows).select("features", "y").hint("rebalance"), "vectors")
     return PipelineModel([*ready.stages, boosted_trees(**settings).fit(vectors)])
 
 

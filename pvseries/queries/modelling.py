@@ -170,9 +170,12 @@ def metrics_by_split(t):
 FEATURES = ("l_quantity", "l_discount", "l_tax", "month_sin", "month_cos")
 KEY = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
 SAMPLE = 2000
+# Known effects with noise: up with quantity, less down with discount.
+TARGET = "1000 * l_quantity - 20000 * l_discount + l_extendedprice / 100"
 
 _HOLDOUT_SQL = """
-h AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
+h AS (SELECT *, 1000 * l_quantity - 20000 * l_discount + l_extendedprice / 100 AS target,
+ row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
  count(*) OVER (PARTITION BY l_suppkey) AS size FROM lineitem),
 test AS (SELECT * FROM h WHERE pos >= size - ceil(size * 0.2::DOUBLE)),
 picked AS (SELECT * FROM test ORDER BY md5(concat_ws('|', l_suppkey, l_orderkey, l_linenumber, l_partkey, 42)),
@@ -189,11 +192,11 @@ def _study(t):
         angle = 2 * 3.141592653589793 * F.month("l_shipdate") / 12
         rows = t.lineitem.select(
             "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
-            "l_discount", "l_tax", F.sin(angle).alias("month_sin"), F.cos(angle).alias("month_cos"))
+            "l_discount", "l_tax", F.expr(TARGET).alias("target"), F.sin(angle).alias("month_sin"), F.cos(angle).alias("month_cos"))
         split = series.tail_holdout(rows, ["l_suppkey"], "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey"])
         split.write.mode("overwrite").parquet(f"{base}/holdout")
         split = t.spark.read.parquet(f"{base}/holdout")
-        model = models.fit_trees(split.filter("split = 'train'"), FEATURES, "l_extendedprice", **TREES)
+        model = models.fit_trees(split.filter("split = 'train'"), FEATURES, "target", **TREES)
         models.save_model(model, f"{base}/model")
         picked = dist.seeded_sample(split.filter("split = 'test'"), KEY, SAMPLE)
         parts = attribution.tree_attributions(model, picked, FEATURES, KEY)
@@ -203,10 +206,10 @@ def _study(t):
 
 
 @query("gbt_forecast_metrics", f"""
-WITH {_HOLDOUT_SQL} SELECT count(*) AS n, count(*) FILTER (l_extendedprice IS NULL) AS n_missing, 1 AS beats_mean FROM test""")
+WITH {_HOLDOUT_SQL} SELECT count(*) AS n, count(*) FILTER (target IS NULL) AS n_missing, 1 AS beats_mean FROM test""")
 def gbt_forecast_metrics(t):
     model, test, _ = _study(t)
-    got = metrics.regression_metrics(models.predict(model, test, ["l_extendedprice"]), "l_extendedprice")
+    got = metrics.regression_metrics(models.predict(model, test, ["target"]), "target")
     return got.select("n", "n_missing", (F.col("r2") > 0).cast("int").alias("beats_mean"))
 
 
@@ -222,8 +225,8 @@ def tree_attributions(t):
 
 @query("feature_importance", f"""
 WITH {_HOLDOUT_SQL}, c AS (SELECT unnest([
- {{'feature': 'l_quantity', 'r': corr(l_quantity, l_extendedprice)}}, {{'feature': 'l_discount', 'r': corr(l_discount, l_extendedprice)}},
- {{'feature': 'l_tax', 'r': corr(l_tax, l_extendedprice)}}], recursive := true) FROM picked)
+ {{'feature': 'l_quantity', 'r': corr(l_quantity, target)}}, {{'feature': 'l_discount', 'r': corr(l_discount, target)}},
+ {{'feature': 'l_tax', 'r': corr(l_tax, target)}}], recursive := true) FROM picked)
 SELECT feature, CASE WHEN r > 0 THEN 'up' ELSE 'down' END AS effect FROM c ORDER BY abs(r) DESC LIMIT 1""")
 def feature_importance(t):
     """The strongest feature and its direction; it is the one that the target goes with."""
