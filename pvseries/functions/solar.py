@@ -49,8 +49,17 @@ def refraction(elevation: Column, pressure_pa: Column, temp_c: Column) -> Column
 
 
 def sun_elevation(ts: str | Column, lat: Column | float, lon: Column | float,
-                  pressure_pa: Column | float = 101325.0, temp_c: Column | float = 12.0) -> Column:
-    """Apparent elevation in degrees: the true one plus refraction."""
+                  pressure_pa: Column | float | None = None, temp_c: Column | float = 12.0,
+                  altitude_m: Column | float | None = None) -> Column:
+    """Apparent elevation in degrees: the true one plus refraction.
+
+    Without a pressure, that of the standard atmosphere at the altitude counts (sea level if none
+    is given). An altitude also subtracts the sun's parallax, at most 8.8 seconds of arc.
+    """
     as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     elevation = true_elevation(ts, as_col(lat), as_col(lon))
+    if pressure_pa is None:
+        pressure_pa = 101325.0 * F.pow(1 - 2.25577e-5 * as_col(0.0 if altitude_m is None else altitude_m), F.lit(5.25588))
+    if altitude_m is not None:
+        elevation = elevation - 8.794 / 3600 * F.cos(F.radians(elevation))
     return elevation + refraction(elevation, as_col(pressure_pa), as_col(temp_c))

@@ -41,12 +41,14 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 
 def kde_curve(df: DataFrame, column: str, groups: Sequence[str] = (), grid: int = 200,
-              cells: int = 2048, cut: float = 0.0) -> DataFrame:
+              fineness: int = 32, cut: float = 0.0) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth std * n ** (-1/5), per group.
 
-    Rows are first reduced to ``cells`` equal-width cells, each kept as its count and mean, so
-    the kernel sum costs ``cells * grid`` terms per group whatever the row count. The grid runs
-    from min to max, extended by ``cut`` bandwidths. Groups must come from a fixed list.
+    Rows are first reduced to cells of a ``fineness``-th of the bandwidth, each kept as its count
+    and mean, so the error against the sum over rows is the same at every size. The kernel sum
+    has as many terms per grid point as there are cells with rows, at most the range over the
+    cell width. The grid runs from min to max, extended by ``cut`` bandwidths. Groups must come
+    from a fixed list.
     """
     data = _present(df, column, groups)
     # One row per group of a fixed list (or a single row): bounded by the number of groups.
@@ -58,9 +60,8 @@ def kde_curve(df: DataFrame, column: str, groups: Sequence[str] = (), grid: int
     else:
         one = stats.agg(F.first(F.struct("*"))).scalar()
         joined = data.select("v", *[one.getField(c).alias(c) for c in ("lo", "hi", "n_all", "bw")])
-    place = F.coalesce(F.floor((F.col("v") - F.col("lo"))
-                               / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * cells), F.lit(0))
-    binned = (joined.groupBy(*groups, "lo", "hi", "n_all", "bw", F.least(place, F.lit(cells - 1)).alias("cell"))
+    place = F.coalesce(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("bw"), F.lit(0.0)) * fineness), F.lit(0))
+    binned = (joined.groupBy(*groups, "lo", "hi", "n_all", "bw", place.alias("cell"))
               .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("m")))
     start = F.col("lo") - cut * F.col("bw")
     step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (grid - 1)

@@ -22,13 +22,9 @@ MET_COLUMNS = ("T2m", "WS10m", "RH2M", "PS_Pa", "WD10m")
 GRIDDED_COLUMNS = ("datetime", "P", "G_i", "Gb(i)", "Gd(i)", "Gr(i)", "H_sun", "T2m", "WS10m", "RH2M",
                    "PS_Pa", "WD10m", "data_quality")
 GRIDDED_NAMES = {"Gb(i)": "Gb_i", "Gd(i)": "Gd_i", "Gr(i)": "Gr_i", "RH2M": "RH", "PS_Pa": "SP"}
-GRIDDED_DESCRIPTIONS = {
-    "datetime": "start of the hour, UTC", "P": "power of a 1 kWp system, W",
-    "G_i": "total irradiance on the panel, W/m2", "Gb_i": "beam part of G_i", "Gd_i": "diffuse part of G_i",
-    "Gr_i": "reflected part of G_i", "H_sun": "sun elevation, degrees", "T2m": "air temperature at 2 m, C",
-    "WS10m": "wind speed at 10 m, m/s", "RH": "relative humidity, percent", "SP": "surface pressure, Pa",
-    "WD10m": "wind direction of the typical year, degrees",
-    "data_quality": "0 clean, 1 reconstructed by the source, 2 gap filled"}
+# Units of the measures; reports take any descriptions that the caller gives.
+GRIDDED_UNITS = {"P": "W", "G_i": "W/m2", "H_sun": "degrees", "T2m": "C", "WS10m": "m/s", "RH": "percent", "SP": "Pa",
+                 "WD10m": "degrees"}
 
 
 def with_site(df: DataFrame, site: str) -> DataFrame:

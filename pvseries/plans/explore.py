@@ -13,6 +13,8 @@ from pvseries.operators import profile as prof
 # The columns each table covers.
 MEASURES = ("P", "G_i", "Gb_i", "Gd_i", "Gr_i", "H_sun", "T2m", "WS10m", "RH", "SP", "WD10m")
 OUTLIER_COLUMNS = ("P", "G_i", "T2m", "WS10m", "RH")
+SPREAD_COLUMNS = ("G_i", "T2m", "WS10m", "RH")
+BOX_COLUMNS = ("P", "G_i", "T2m", "WS10m", "RH", "SP")
 DAY_NIGHT_COLUMNS = ("T2m", "WS10m", "RH", "SP", "WD10m", "H_sun")
 
 
@@ -41,6 +43,15 @@ def explore(df: DataFrame, years: tuple[int, ...] = (2019, 2020)) -> dict[str, D
         "power_density": dist.kde_curve(df, "P"),
         "power_by_season": dist.box_stats(day, "P", ["season"]),
         "temperature_by_season": dist.box_stats(df, "T2m", ["season"]),
+        "day_power_histogram": dist.histogram(day, "P", 40),
+        **{f"{c}_histogram": dist.histogram(df, c, 30) for c in SPREAD_COLUMNS},
+        **{f"{c}_density": dist.kde_curve(df, c) for c in SPREAD_COLUMNS},
+        **{f"{c}_box": dist.box_stats(df, c) for c in BOX_COLUMNS},
+        **{f"{c}_day_night_density": dist.kde_curve(df, c, ["is_day"]) for c in DAY_NIGHT_COLUMNS},
+        **{f"{x}_power_line": dist.regression_line(day, x, "P") for x in ("T2m", "RH")},
+        "irradiance_points": dist.scatter_points(day, "G_i", "P", "T2m"),
+        "temperature_points": dist.scatter_points(day, "T2m", "P", "G_i"),
+        "humidity_points": dist.scatter_points(day, "RH", "P", "G_i"),
         "day_night": dist.group_quartiles(df, DAY_NIGHT_COLUMNS, "is_day"),
         "irradiance_line": dist.regression_line(day, "G_i", "P"),
         "pairs_sample": dist.seeded_sample(day, ["site", "datetime"], 2000).select(*OUTLIER_COLUMNS),

@@ -15,12 +15,17 @@ from pvseries.plans.prepare import Prepared
 from pvseries.sources.tables import materialise
 
 
+# The features of the dependence figures.
+DEPENDENCE = ("G_i", "H_sun", "T2m", "RH")
+
+
 @dataclass(frozen=True)
 class TreeStudy:
     model: object
     metrics: DataFrame
     attributions: DataFrame
     importance: DataFrame
+    dependence: DataFrame
 
 
 def tree_study(df: DataFrame, target: str = "P", ts: str = "datetime", daytime: bool = False,
@@ -41,7 +46,7 @@ def tree_study(df: DataFrame, target: str = "P", ts: str = "datetime", daytime:
     picked = seeded_sample(test, ["site", ts], sample)
     parts = materialise(attribution.tree_attributions(model, picked, TREE_FEATURES, ["site", ts]), "attributions")
     return TreeStudy(model, metrics.regression_metrics(scored, target, "yhat"), parts,
-                     attribution.feature_importance(parts))
+                     attribution.feature_importance(parts), attribution.dependence_table(parts, DEPENDENCE))
 
 
 def window_study(prepared: Prepared, kind: str = "gbt", **settings) -> tuple[object, DataFrame, DataFrame]:

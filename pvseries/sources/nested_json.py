@@ -34,17 +34,18 @@ def maps_to_wide(df: DataFrame, column: str, parameters: Sequence[str], keys: Se
     """parameter -> (time -> value) maps to one row per time with a column per parameter.
 
     The first parameter of a document decides which times exist; a value missing for another
-    parameter is null. ``keys`` identify a document. A document's rows are combined in the
-    task that reads it, so the shuffle moves one row per time.
+    parameter is null. ``keys`` identify a document. A document is one row, and its maps are
+    joined inside the row, so nothing is shuffled.
     """
-    outer = df.select(*keys, F.element_at(F.map_keys(column), 1).alias("__first"),
-                      F.explode(column).alias("__p", "__m"))
-    inner = outer.select(*keys, "__p", (F.col("__p") == F.col("__first")).alias("__lead"),
-                         F.explode("__m").alias("time", "__v"))
-    wide = inner.groupBy(*keys, "time").agg(
-        F.bool_or("__lead").alias("__lead"),
-        *[F.max(F.when(F.col("__p") == p, F.col("__v"))).alias(p) for p in parameters])
-    return wide.filter("__lead").drop("__lead")
+    lead = F.element_at(F.map_values(column), 1)
+    kind = df.select(column).schema[0].dataType.valueType.valueType.simpleString()
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{kind}>"))
+    rows = F.transform_values(lead, lambda _, v: F.array().cast(f"array<{kind}>"))
+    for p in parameters:
+        cells = F.coalesce(F.element_at(column, p), empty)
+        rows = F.map_zip_with(rows, cells, lambda _, a, v: F.when(a.isNotNull(), F.concat(a, F.array(v))))
+    out = df.select(*keys, F.explode(rows).alias("time", "__v")).filter(F.col("__v").isNotNull())
+    return out.select(*keys, "time", *[F.col("__v")[i].alias(p) for i, p in enumerate(parameters)])
 
 
 def read_site_meta(spark: SparkSession, path: str) -> DataFrame:

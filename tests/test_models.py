@@ -81,6 +81,18 @@ def test_attributions_add_up_to_the_prediction(model, rows):
     assert binned.n.sum() == 3000 and len(binned) == 10
 
 
+def test_rows_with_missing_features_keep_a_prediction(spark, rows):
+    holes = rows.withColumn("a", F.when(F.col("id") % 4 != 0, F.col("a"))).withColumn("y", F.when(F.col("id") % 10 != 0, F.col("y")))
+    model = ML.fit_trees(holes, FEATURES, "y", trees=4, depth=3, rate=0.3)
+    out = ML.predict(model, holes, ["id", "y"])
+    assert out.count() == 3000 and out.filter("yhat IS NULL OR isnan(yhat)").count() == 0
+    m = M.regression_metrics(out).first()
+    assert (m.n, m.n_missing) == (2700, 300)
+    parts = A.tree_attributions(model, holes.filter("a IS NULL"), FEATURES, ["id"])
+    total = parts.groupBy("id").agg((F.sum("attribution") + F.first("base")).alias("s")).join(out, "id")
+    assert total.count() == 750 and total.filter("abs(s - yhat) > 1e-9").count() == 0
+
+
 def test_model_survives_saving(spark, model, rows):
     path = scratch_path(spark, "model")
     ML.save_model(model, path)

@@ -1,5 +1,6 @@
 """End-to-end jobs on synthetic sites."""
 
+import dataclasses
 import datetime as dt
 
 import numpy as np
@@ -210,7 +211,7 @@ def test_explore_runs_every_table(sites):
     assert counts["diurnal"] == 24 and counts["describe"] == 11 and counts["correlation"] == 55
     assert counts["seasonal"] == 4 and counts["power_density"] == 200 and counts["pairs_sample"] <= 2000
     assert all(counts.values())
-    report = artifacts.cleaning_report(clean, "data_quality", "datetime", cleaning.GRIDDED_DESCRIPTIONS)
+    report = artifacts.cleaning_report(clean, "data_quality", "datetime", cleaning.GRIDDED_UNITS)
     lines = {(r.section, r.metric): r.value for r in report.collect()}
     assert lines[("table", "rows")] == "1920" and lines[("table", "columns")] == "14"
     assert cleaning.export_gridded(clean).orderBy("datetime").first().datetime == "2020-02-10 00:00:00+00:00"
@@ -222,7 +223,9 @@ def test_tree_study_and_window_study(spark):
     assert study.metrics.first().r2 > 0.5
     top = study.importance.first()
     assert top.feature == "G_i" and top.effect == "up" and study.attributions.count() == 50 * 14
-    done = prepare.prepare(df, GRIDDED)
+    with pytest.raises(ValueError, match="enough_train"):
+        forecast.window_study(prepare.prepare(df, GRIDDED), "linear")
+    done = prepare.prepare(df, dataclasses.replace(GRIDDED, min_train=100))
     _, scored, metrics = forecast.window_study(done, "linear")
     assert {r.split for r in metrics.collect()} == {"val", "test"}
     assert scored.agg(F.max("y")).first()[0] > 50
