@@ -6,14 +6,25 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
+USUAL_BATCH, OWN_BATCH = "67108864b", "16777216b"  # Spark's default bytes of a batch, and ours
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and bound the bytes of their batches.
+
+    The default batch of 10,000 texts would be held several times over by every worker. A session's own
+    setting is kept.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == USUAL_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", OWN_BATCH)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
@@ -21,7 +32,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str | T.StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -40,6 +51,17 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def inner(batch: pa.RecordBatch, name: str, column: str = "row") -> pa.Array:
+    """A column inside the struct that carries a table's whole rows: the text is not sent twice."""
+    rows_array = batch.column(column)
+    return rows_array.field(name) if rows_array.null_count == 0 else pc.struct_field(rows_array, name)
+
+
+def raw_inner(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    """UTF-8 bytes of a string column of the rows, null as empty."""
+    return [x or b"" for x in inner(batch, name).cast(pa.string()).cast(pa.binary()).to_pylist()]
+
+
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 

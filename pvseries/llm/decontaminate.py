@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvseries.llm.common import id_text, map_arrow, raw, rows
+from pvseries.llm.common import id_text, map_arrow, raw, raw_inner, rows
 
 WINDOW, STRIDE, SAMPLES = 10, 2, 6
 MAX_EDITS = 0.25  # of an item's bytes
@@ -203,9 +203,9 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         yield sorted((x for x in found if len(x[1]) > 1), key=lambda x: (x[0] is None, x[0], x[1]))
 
 
-def _parts(batch: pa.RecordBatch, name: str, size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(texts: list[bytes], size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of bounded size; a longer text is a run of its own."""
-    texts, start, held = raw(batch, name), 0, 0
+    start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
         if held >= size:
@@ -229,7 +229,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
             walk = index.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                for start, texts in _parts(batch, "text"):
+                for start, texts in _parts(raw(batch)):
                     got = list(walk.matches(texts))
                     yield rows({"doc_id": [ids[start + d] for d, *_ in got], "item_id": [walk.items[i][0] for _, i, *_ in got],
                                 "first_word": [w for _, _, w, _ in got], "n_words": [len(walk.items[i][1]) for _, i, *_ in got],
@@ -245,8 +245,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The table's rows in which no item is found, with all columns. No join and no shuffle."""
     columns, spark = df.columns, df.sparkSession
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = f"row {out.schema['row'].dataType.simpleString()}, text string"
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    schema = out.schema
     for items in item_blocks(benchmark):
         if not items:
             continue
@@ -255,7 +255,7 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 bad = np.zeros(batch.num_rows, bool)
-                for start, texts in _parts(batch, "text"):
+                for start, texts in _parts(raw_inner(batch, text)):
                     bad[[start + d for d, *_ in index.value.matches(texts)]] = True
                 yield batch.filter(pa.array(~bad))
 

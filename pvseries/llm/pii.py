@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pvseries.llm.common import map_arrow, rows, strings
+from pvseries.llm.common import inner, map_arrow, rows, strings
 from pvseries.sources.tables import materialise
 
 Span = tuple[str, int, int]
@@ -196,17 +197,17 @@ def mask_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -
     found = materialise(_extract_saved(packed), "personal")
     extra = materialise(context_spans(found, trusted_patterns(found)), "context-spans")
     joined = body.join(extra, "uid", "left")
-    schema = f"row {body.schema['row'].dataType.simpleString()}, masked string"
+    schema = T.StructType([body.schema["row"], T.StructField("masked", T.StringType())])
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body_text, more in zip(batch.column("text").to_pylist(), batch.column("extra").to_pylist()):
+            for body_text, more in zip(inner(batch, text).cast(pa.string()).to_pylist(), batch.column("extra").to_pylist()):
                 base = ",".join(f"{k}:{s}:{e}" for k, s, e in base_spans(body_text or ""))
                 out.append(None if body_text is None else masked(body_text, _merge(base, more)))
             yield rows({"row": batch.column("row"), "masked": out}, masked=pa.string())
 
-    done = map_arrow(joined.select("row", F.col(f"row.`{text}`").cast("string").alias("text"), "extra"), mask, schema)
+    done = map_arrow(joined.select("row", "extra"), mask, schema)
     return done.select(*[F.col("masked").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns])
 
 

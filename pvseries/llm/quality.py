@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pvseries.llm.common import map_arrow, raw, rows
+from pvseries.llm.common import inner, map_arrow, raw_inner, rows
 from pvseries.sources.tables import materialise
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -58,9 +59,9 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def measure(batch: pa.RecordBatch, name: str = "text") -> dict[str, np.ndarray]:
-    texts = raw(batch, name)
-    points = pc.fill_null(pc.utf8_length(batch.column(name).cast(pa.string())), 0).to_numpy(zero_copy_only=False)
+def measure(batch: pa.RecordBatch, name: str) -> dict[str, np.ndarray]:
+    texts = raw_inner(batch, name)
+    points = pc.fill_null(pc.utf8_length(inner(batch, name).cast(pa.string())), 0).to_numpy(zero_copy_only=False)
     out = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
     for i, t in enumerate(texts):
         words = t.split()
@@ -77,14 +78,14 @@ def measure(batch: pa.RecordBatch, name: str = "text") -> dict[str, np.ndarray]:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns of the table and one struct column ``__quality`` with the counts."""
     kept = df.columns
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rows({"row": batch.column("row"), **measure(batch)})
+            yield rows({"row": batch.column("row"), **measure(batch, text)})
 
-    out = map_arrow(packed, count, f"row {packed.schema['row'].dataType.simpleString()}, "
-                                   + ", ".join(f"{c} long" for c in COUNTS))
+    fields = [packed.schema["row"], *[T.StructField(c, T.LongType()) for c in COUNTS]]
+    out = map_arrow(packed, count, T.StructType(fields))
     return out.select("row", F.struct(*COUNTS).alias("q"))
 
 
