@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -50,20 +51,40 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         normal = str(self.tokenizer.normalizer)
         self.small = "Lowercase" in normal
+        mark = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _library(self, chunks: list[bytes], group: int = 256) -> None:
-        """Encode distinct chunks: many to a call, told apart by their place."""
-        for i in range(0, len(chunks), group):
-            part = [c.decode() for c in chunks[i:i + group]]
-            ends = np.cumsum([len(c) + 1 for c in part])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        """Encode distinct chunks, many to a call."""
+        texts = [c.decode() for c in chunks]
+        # A chunk of small letters is one token sequence that ends with the vocabulary's only end mark.
+        words = [k for k, t in enumerate(texts) if t.isalpha() and t.lower() == t and is_normalized("NFC", t)] if self.ends.any() else []
+        parts = [words[i:i + group] for i in range(0, len(words), group)]
+        told = set()
+        coded = self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in p]) for p in parts], add_special_tokens=False)
+        for part, got in zip(parts, coded):
             ids = np.array(got.ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part) and at[-1] == len(ids):
+                self._keep([chunks[k] for k in part], ids, np.r_[0, at])
+                told.update(part)
+        rest = [k for k in range(len(chunks)) if k not in told]
+        for i in range(0, len(rest), group):  # told apart by their place
+            part = rest[i:i + group]
+            ends = np.cumsum([len(texts[k]) + 1 for k in part])
+            got = self.tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False)
             owner = np.searchsorted(ends, [o[0] for o in got.offsets], "right")
-            at = np.searchsorted(owner, np.arange(len(part) + 1))
-            for k, c in enumerate(chunks[i:i + group]):
-                self.known[c] = ids[at[k]:at[k + 1]].tobytes()
+            self._keep([chunks[k] for k in part], np.array(got.ids, np.uint32), np.searchsorted(owner, np.arange(len(part) + 1)))
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, at: np.ndarray) -> None:
+        data = ids.tobytes()
+        edges = (4 * at).tolist()
+        for c, lo, hi in zip(chunks, edges, edges[1:]):
+            self.known[c] = data[lo:hi]
 
     def encode(self, texts: list[bytes], last: int) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit numbers."""
@@ -96,15 +117,13 @@ def compress(ids: np.ndarray, vocabulary: int, last: int, rounds: int = ROUNDS,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k, a pair of symbols, has the symbol ``vocabulary + k``."""
     seq, rules, following = ids.astype(np.uint32), [], vocabulary
-    mask = np.uint64((1 << _SLOT_BITS) - 1)
     for _ in range(rounds):
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        pair = (left.astype(np.uint64) << np.uint64(32)) | right
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS) & mask).astype(np.uint32)
-        usable = left != last
-        count = np.bincount(slot[usable], minlength=1 << _SLOT_BITS)
+        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOT_BITS)
+        closed = np.flatnonzero(left == last)
+        count = np.bincount(slot, minlength=1 << _SLOT_BITS) - np.bincount(slot[closed], minlength=1 << _SLOT_BITS)
         top = np.argpartition(-count, min(pairs, len(count) - 1))[:pairs]
         top = top[count[top] >= least]
         if not len(top):
@@ -112,16 +131,20 @@ def compress(ids: np.ndarray, vocabulary: int, last: int, rounds: int = ROUNDS,
         # One pair per slot: the first in the shard. Others that share the slot wait for a later round.
         chosen = np.zeros(1 << _SLOT_BITS, bool)
         chosen[top] = True
-        near = np.flatnonzero(chosen[slot] & usable)
+        usable = chosen[slot]
+        usable[closed] = False
+        near = np.flatnonzero(usable)
+        pair, own = (left[near].astype(np.uint64) << np.uint64(32)) | right[near], slot[near]
         stands = np.zeros(1 << _SLOT_BITS, np.uint64)
-        stands[slot[near[::-1]]] = pair[near[::-1]]
-        at = near[pair[near] == stands[slot[near]]]
+        stands[own[::-1]] = pair[::-1]
+        same = pair == stands[own]
+        at, pair = near[same], pair[same]
         # Of a run of overlapping places every second one is taken.
         start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         length = np.diff(np.r_[start, len(at)])
         inside = np.arange(len(at)) - np.repeat(start, length)
-        at = at[inside % 2 == 0]
-        found, name = np.unique(pair[at], return_inverse=True)
+        at, pair = at[inside % 2 == 0], pair[inside % 2 == 0]
+        found, name = np.unique(pair, return_inverse=True)
         rules.append(np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         seq = seq.copy()
         seq[at] = following + name
