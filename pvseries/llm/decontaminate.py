@@ -203,7 +203,7 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         yield sorted((x for x in found if len(x[1]) > 1), key=lambda x: (x[0] is None, x[0], x[1]))
 
 
-def _parts(texts: list[bytes], size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of bounded size; a longer text is a run of its own."""
     start, held = 0, 0
     for i, t in enumerate(texts):
