@@ -63,9 +63,13 @@ def segment(sp, words: list[bytes]) -> list[list[int]]:
     return out
 
 
-def _word_shares(words: list[list[bytes]], buckets: int) -> dict[int, list[bytes]]:
+def _word_shares(texts: list[bytes | None], buckets: int) -> dict[int, list[bytes]]:
+    """The distinct marked words of a block's texts by bucket; words are held once, not per place."""
     shares: dict[int, list[bytes]] = {}
-    for w in sorted(set().union(*words)) if words else []:
+    distinct: set[bytes] = set()
+    for t in texts:
+        distinct.update(marked_words(t or b""))
+    for w in sorted(distinct):
         shares.setdefault(zlib.crc32(w) % buckets, []).append(w)
     return shares
 
@@ -77,8 +81,7 @@ def piece_ids(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def words_out(blob: bytes) -> dict[int, bytes]:
         squeeze = zstandard.ZstdCompressor(3).compress
-        words = [marked_words(t or b"") for t in blocks.unpack(blob)[1]]
-        return {b: squeeze(b" ".join(w)) for b, w in _word_shares(words, buckets).items()}
+        return {b: squeeze(b" ".join(w)) for b, w in _word_shares(blocks.unpack(blob)[1], buckets).items()}
 
     def segmented(blobs: list[bytes]) -> list[bytes]:
         if not cuts_are_safe(path):
@@ -98,21 +101,20 @@ def piece_ids(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def join_back(block: int, blob: bytes, answers: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         keys, texts = blocks.unpack(blob)
-        words = [marked_words(t or b"") for t in texts]
         table: dict[bytes, bytes] = {}
-        for b, own in _word_shares(words, buckets).items():
+        for b, own in _word_shares(texts, buckets).items():
             data = expand(answers[0][b])
             ends = 4 * (len(own) + np.cumsum(np.frombuffer(data, np.uint32, len(own)).astype(np.int64)))
             for w, lo, hi in zip(own, [4 * len(own), *ends[:-1].tolist()], ends.tolist()):
                 table[w] = data[lo:hi]
         sp = piece_model(path)
         end = np.uint32(sp.eos_id()).tobytes()
-        for lo in range(0, len(keys), 512):
-            codes = [b"".join(map(table.__getitem__, w)) + end for w in words[lo:lo + 512]]
+        for lo in range(0, len(keys), 128):
+            codes = [b"".join(map(table.__getitem__, marked_words(t or b""))) + end for t in texts[lo:lo + 128]]
             offsets = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
             flat = np.frombuffer(b"".join(codes), np.int32)
             decoded = sp.decode([flat[a:b].tolist() for a, b in zip(offsets.tolist(), offsets[1:].tolist())])
-            yield rows({"doc_id": keys[lo:lo + 512], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            yield rows({"doc_id": keys[lo:lo + 128], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                         "decoded": decoded}, doc_id=pa.int64(), decoded=pa.string())
 
     answers = blocks.in_buckets(blocks.from_blocks(packs, words_out), segmented)
