@@ -1,0 +1,155 @@
+"""Texts grouped by exact similarity of their sets of word shingles.
+
+Every text is read as its set of runs of five words, in small letters, as hashes of 64 bits; a
+text of fewer words is one run. Texts with equal sets are one node. MinHash bands only propose:
+30 bands of 6 minima meet for a pair of similarity 0.8 with a probability over 0.9998 (0.996 at 0.72,
+0.37 at 0.5), and the members of a band's bucket are tied to its least node, one row each. The
+components of these ties are loose; inside each, the sets are made again from the texts and compared
+exactly, so that a link is a similarity of at least ``least`` percent and nothing else, and all pairs of a loose
+component count, also those that met in no band.
+
+A search takes one node at a time and counts what it shares with the nodes not yet reached, from an
+index of shingles; a close group costs one pass, and unlike sets only what they share. A loose
+component is held by one task.
+
+Defined cases: null and empty texts have the empty set and are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pvseries.llm.common import map_arrow, raw, rows
+from pvseries.llm.components import components
+from pvseries.sources.tables import materialise
+
+SEED, BANDS, MINIMA = 42, 30, 6
+_AT_ONCE = 1 << 12
+
+
+def hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """A hash of each run of words, with repeats; of the whole text where it has fewer words."""
+    import xxhash
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    body = b" ".join(w)
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    last = ends[words - 1:] if len(w) > words else ends[-1:]
+    first = np.r_[0, ends[:len(last) - 1] + 1]
+    return np.fromiter((xxhash.xxh64_intdigest(body[a:b], seed) for a, b in zip(first.tolist(), last.tolist())),
+                       np.uint64, len(last))
+
+
+def band_keys(sets: np.ndarray) -> np.ndarray:
+    """One key per band, over the minima of its hash functions."""
+    rng = np.random.default_rng(SEED)
+    mask, factor = (rng.integers(0, 1 << 63, BANDS * MINIMA, np.int64).view(np.uint64) for _ in range(2))
+    factor = factor << np.uint64(1) | np.uint64(1)
+    least = np.full(BANDS * MINIMA, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(sets), _AT_ONCE):
+        least = np.minimum(least, ((sets[None, at:at + _AT_ONCE] ^ mask[:, None]) * factor[:, None]).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, MINIMA).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def similar_groups(sets: list[np.ndarray], least: int) -> np.ndarray:
+    """Smallest position of each set's component, under all pairs with a similarity of ``least`` percent or more."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    start = np.cumsum(size) - size
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    root, waiting = np.arange(n), np.ones(n, bool)
+    indexed, holders, ptr = 0, None, None
+
+    def index():
+        members = np.flatnonzero(np.repeat(waiting, size))
+        ids = flat[members]
+        return int(waiting.sum()), np.repeat(np.arange(n), size)[members][np.argsort(ids, kind="stable")], \
+            np.r_[0, np.cumsum(np.bincount(ids, minlength=len(known)))]
+
+    for first in range(n):
+        if not waiting[first]:
+            continue
+        waiting[first], queue = False, [first]
+        while queue and (left := int(waiting.sum())):
+            if holders is None or 2 * left < indexed:
+                indexed, holders, ptr = index()
+            q = queue.pop()
+            own = flat[start[q]:start[q] + size[q]]
+            many = ptr[own + 1] - ptr[own]
+            spots = np.repeat(ptr[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(holders[spots], minlength=n)
+            hit = np.flatnonzero(waiting & (100 * common >= least * (size[q] + size - common)))
+            waiting[hit] = False
+            root[hit] = first
+            queue += hit.tolist()
+    return root
+
+
+def _described(texts: DataFrame, words: int) -> DataFrame:
+    """The columns besides ``text``, with the digest (d0, d1) and the band keys of the text's set."""
+    kept = [c for c in texts.columns if c != "text"]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        for batch in batches:
+            digests, keys = [], []
+            for t in raw(batch):
+                found = np.unique(hashes(t, words))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                keys.append(band_keys(found) if len(found) else np.zeros(0, np.int64))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield rows({**{c: batch.column(c) for c in kept}, "d0": halves[:, 0], "d1": halves[:, 1], "keys": keys},
+                       keys=pa.list_(pa.int64()))
+
+    fields = [f"`{c}` {kind}" for c, kind in texts.dtypes if c != "text"]
+    return map_arrow(texts, describe, ", ".join([*fields, "d0 long", "d1 long", "keys array<long>"]))
+
+
+def _verified(texts: DataFrame, words: int, least: int) -> DataFrame:
+    """(nid, root) of nodes in loose components (loose, nid, text): the first node of each exact component."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose, nids, sets = None, [], []
+
+        def done():
+            return rows({"nid": nids, "root": [nids[k] for k in similar_groups(sets, least).tolist()]})
+
+        for batch in batches:
+            for group, nid, t in zip(batch.column("loose").to_pylist(), batch.column("nid").to_pylist(), raw(batch)):
+                if group != loose and nids:
+                    yield done()
+                    nids, sets = [], []
+                loose = group
+                nids.append(nid)
+                sets.append(np.unique(hashes(t, words)))
+        if nids:
+            yield done()
+
+    return map_arrow(texts.repartition("loose").sortWithinPartitions("loose"), verify, "nid long, root long")
+
+
+def surplus(texts: DataFrame, words: int, least: int) -> DataFrame:
+    """(uid) of the rows (uid, o, text) that are not the least by ``o`` of their component; ``o`` ends in ``u``, the uid."""
+    described = materialise(_described(texts.select("o", F.col("text").cast("string").alias("text")), words), "shingled")
+    nodes = materialise(described.groupBy("d0", "d1").agg(F.min("o").alias("rep"), F.first("keys").alias("keys"))
+                        .withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("nid", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("nid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = keyed.join(buckets, "key").select(F.col("nid").alias("a"), "b")
+    loose = components(ties).select(F.col("node").alias("nid"), F.col("root").alias("loose"))
+    members = materialise(nodes.join(loose, "nid").select("nid", "loose", F.col("rep.u").alias("uid")), "loose")
+    exact = materialise(_verified(texts.select("uid", "text").join(members, "uid").select("loose", "nid", "text"), words, least),
+                        "verified")
+    labelled = materialise(nodes.join(exact, "nid", "left").select("d0", "d1", "rep", F.coalesce("root", "nid").alias("root")),
+                           "labelled")
+    first = labelled.groupBy("root").agg(F.min("rep").alias("component"))
+    per_set = labelled.join(first, "root").select("d0", "d1", "component")
+    return described.select("o", "d0", "d1").join(per_set, ["d0", "d1"]).where("o.u <> component.u").select(F.col("o.u").alias("uid"))

@@ -337,6 +337,24 @@ def test_stages_decide(spark, docs, small):
     assert len(set(near)) <= len(one) <= len(set(texts))
 
 
+def test_near_dedup_is_exact_at_the_threshold(spark):
+    """Pairs at 0.8 to 0.9 are joined and pairs at 0.7 to 0.79 are not, against all pairs by brute force."""
+    from random import Random
+    rng, texts = Random(3), []
+    for k in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        cut = rng.randrange(12, 36)  # words exchanged at the end
+        texts += [" ".join(base), " ".join(base[:-cut] + [f"v{rng.randrange(10**6)}" for _ in range(cut)])]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = set()
+    for k in range(0, len(texts), 2):
+        a, b = sets[k], sets[k + 1]
+        want |= {k} if len(a & b) >= 0.8 * len(a | b) else {k, k + 1}
+    assert 140 < len(want) < 220
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {i for i, _ in pairs(simhash.keep_one(df))} == want
+
+
 def test_pipeline(spark):
     got = QUERIES["pipeline"](spark, SMALL)
     assert got.count() and {"doc_id", "ids_sha256"} <= set(got.columns)
