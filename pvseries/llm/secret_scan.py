@@ -9,7 +9,9 @@ the threshold are reported as kind ``literal``, unless a fixed form covers them
 
 Defined cases: a null text counts as empty and has no spans, and the checksum of no text;
 repeated rows and null keys give one row each; an empty table gives no rows; other columns are
-not read. Spans count code points, end exclusive. Work is linear in a text's length.
+not read. Lengths are not bounded: names, literals and the blanks around a sign may be of any length, and
+a literal may hold blanks and escaped quotes. A plain quote ends at its line's end; over several lines go triple quotes,
+backticks, ends of lines after a backslash, and PEM blocks. Spans count code points, end exclusive. Work is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -35,9 +37,17 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 
-_PAIR = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]{0,127})["'\]]{0,2}[ \t]{0,8}(?::=|=>|=(?!=)|:(?!:))[ \t]{0,8}"""
-                   r"""("[^"\n]{0,4096}"|'[^'\n]{0,4096}'|`[^`\n]{0,4096}`|\$?\{?[^\s"'`,;#(){}\[\]]{1,4096})""", re.ASCII)
-_JOINED = re.compile(r"""[ \t]{0,8}(?:\+|\.\.)[ \t]{0,8}("[^"\n]{0,4096}"|'[^'\n]{0,4096}')""", re.ASCII)
+# No length is bounded. Possessive runs and closing quotes keep the work linear: a quote that nothing closes is the last
+# of its kind on its line (of three, or a backtick: in the text).
+_PEM = r"-----BEGIN [^\n-]*+-----(?:(?!-----BEGIN )[\s\S])*?-----END [^\n-]*+-----"
+_STRING = r""""(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'"""
+_PAIR = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+"""
+                   r"""((?:["'`]|[|>][+-]?[ \t]*+\n\s*+)?""" + _PEM + r"""["'`]?"""
+                   r"""|\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}|""" + _STRING
+                   + r"""|`(?:[^`\\]|\\[\s\S])*+`|\$?\{?[^\s"'`,;#(){}\[\]]++)""", re.ASCII)
+_JOINED = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+(" + _STRING + ")", re.ASCII)
+_QUOTED = re.compile(r"""(\"{3}|'{3}|["'`])([\s\S]*)\1""")
+_BLOCK = re.compile(r"""(?:["'`]|[|>][+-]?[ \t]*\n\s*)?(""" + _PEM + ")")
 _NAME = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -45,6 +55,10 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 NAME_SCORES = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9,
                "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "bearer": 0.8, "auth": 0.7, "signature": 0.5}
 KEY_OWNERS = {"api", "access", "private", "secret", "signing", "encryption", "master", "account", "service", "ssh"}
+# The same inside names that run together: long words anywhere, short ones only at the end.
+_INSIDE = re.compile(r"password|passwd|passphrase|credential|apikey|secret(?!ar|i|e)|token(?!i)", re.ASCII)
+_AT_END = re.compile(r"(?:pwd|bearer|auth|signature)$", re.ASCII)
+_OWNED = re.compile(rf"(?:{'|'.join(sorted(KEY_OWNERS))})key$", re.ASCII)
 PLACEHOLDERS = {"none", "null", "true", "false", "example", "changeme", "placeholder", "redacted", "password", "todo"}
 
 
@@ -63,17 +77,19 @@ def base_spans(text: str) -> list[Span]:
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     best = max((NAME_SCORES.get(p, 0.0) for p in parts), default=0.0)
-    owned = any(b == "key" and a in KEY_OWNERS for a, b in zip(parts, parts[1:]))
+    for p in parts:
+        best = max([best, *(NAME_SCORES[m] for m in _INSIDE.findall(p) + _AT_END.findall(p))])
+    owned = any(b == "key" and a in KEY_OWNERS for a, b in zip(parts, parts[1:])) or any(_OWNED.search(p) for p in parts)
     return max(best, 1.0 if owned else 0.0)
 
 
 def literal_score(value: str) -> float:
-    """From 0 for words and placeholders to 1 for long mixed literals."""
-    low = value.lower()
-    if len(value) < 8 or any(c.isspace() for c in value) or low in PLACEHOLDERS or low[0] in "<{$%" or low[:4] == "your":
+    """From 0 for short words and placeholders to 1 for long mixed literals; one of several words counts by its letters' entropy."""
+    low, body = value.lower().strip(), "".join(value.split())
+    if len(body) < 8 or low in PLACEHOLDERS or low[0] in "<{$%" or low[:4] == "your":
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    counts = Counter(body)
+    entropy = -sum(n / len(body) * math.log2(n / len(body)) for n in counts.values())
     classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value),
                    any(not c.isalnum() for c in value)))
     return min(1.0, entropy / 3.0) * (0.5 if classes == 1 else 1.0)
@@ -86,8 +102,10 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     while m := _PAIR.search(text, at):
         at = m.end()
         name, token = m[1], m[2]
-        if token[0] in "\"'`":
-            value, start, end = token[1:-1], m.start(2) + 1, m.end(2) - 1
+        if block := _BLOCK.match(token):
+            value, start, end = block[1], m.start(2) + block.start(1), m.start(2) + block.end(1)
+        elif quoted := _QUOTED.fullmatch(token):
+            value, start, end = quoted[2], m.start(2) + quoted.start(2), m.start(2) + quoted.end(2)
             while more := _JOINED.match(text, at):
                 value, end, at = value + more[1][1:-1], more.end(1) - 1, more.end()
         elif (known := _NAME.fullmatch(token)) and known[1] in constants:

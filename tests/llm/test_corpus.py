@@ -156,6 +156,31 @@ def test_literals_by_target_names():
     assert found("") == [] and found("a : b = c :: d => ") == []
 
 
+LONG = "aB3$" * 3000
+PEM = "-----BEGIN PRIVATE KEY-----\nMIIEvQ+abc/1\nXyZ09==\n-----END PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("before, literal, after", [
+    ("passphrase = '", LONG, "'"), ("passphrase = ", LONG, "\n"), ("x" * 300 + "_passphrase = '", "p@ss#w0rd!99", "'"),
+    ("passphrase" + " " * 40 + "=" + " " * 40 + "'", "p@ss#w0rd!99", "'"), ("dbpassword = '", "p@ss#w0rd!99", "'"),
+    ("authtoken = '", "p@ss#w0rd!99", "'"), ("clientsecret: '", "p@ss#w0rd!99", "'"), ("DBPASSWORD='", "p@ss#w0rd!99", "'"),
+    ("privatekey = '", "p@ss#w0rd!99", "'"), ("passphrase: '", "correct horse battery staple", "'"),
+    ('private_key = "', PEM, '"'), ("private_key: |\n  ", PEM, "\n"), ('passphrase = "', 'a\\"b#C9!x\\"zz7', '"'),
+    ('passphrase = """', "a#1\nB$2 \ncc%3dd", '"""')])
+def test_literals_of_any_length_and_form(before, literal, after):
+    text = before + literal + after
+    assert ("literal", len(before), len(before) + len(literal)) in secret_scan.literal_spans(text, [])
+
+
+def test_lexer_is_linear_and_keeps_plain_names():
+    from time import perf_counter
+    for text in ("a=\"" * 60_000, "a " + " " * 300_000, "x" * 300_000, "k=\"\\\"" * 60_000, "a:-----BEGIN X-----\n" * 15_000, "k: \"\"\"\\" * 40_000):
+        began = perf_counter()
+        list(secret_scan.pairs(text))
+        assert perf_counter() - began < 10
+    assert not any(map(secret_scan.name_score, ("author", "secretary", "tokenizer", "monkey", "keyboard", "authority")))
+
+
 @pytest.mark.parametrize("table", ["docs", "small", "empty"])
 def test_personal_base(request, table):
     df = request.getfixturevalue(table)
