@@ -2,8 +2,8 @@
 
 Every text is read as its set of runs of five words, in small letters, as hashes of 64 bits; a
 text of fewer words is one run. Texts with equal sets are one node. MinHash bands only propose:
-30 bands of 6 minima meet for a pair of similarity 0.8 with a probability over 0.9998 (0.996 at 0.72,
-0.37 at 0.5), and the members of a band's bucket are tied to its least node, one row each. The
+30 bands of 6 minima meet for a pair of similarity 0.8 with a probability over 0.9998 (0.989 at 0.72,
+0.38 at 0.5), and the members of a band's bucket are tied to its least node, one row each. The
 components of these ties are loose; inside each, the sets are made again from the texts and compared
 exactly, so that a link is a similarity of at least ``least`` percent and nothing else, and all pairs of a loose
 component count, also those that met in no band.
