@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pvseries.llm import counting, decontaminate, pieces, pii, quality, recompress, repair, secret_scan, sharding, simhash
+from pvseries.llm import (counting, decontaminate, pieces, pii, prefix_trie, quality, recompress, repair, retrieval_packing, secret_scan,
+                          sharding, simhash, vector_codes)
 from pvseries.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -72,6 +73,21 @@ def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def op11_hashed_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_report(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@register
+def op12_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval_packing.pack_documents(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
+
+
+@register
+def op13_limb_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @register
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
@@ -79,3 +95,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["op10_recompression"] = recompress.ORACLE
 SQL["op7_adaptive_limits"] = quality.ORACLE
+SQL["op11_hashed_prefix_trie"] = prefix_trie.ORACLE
+SQL["op13_limb_vector_codes"] = vector_codes.ORACLE
