@@ -2,98 +2,109 @@
 
 For one leaf reached by a path that tests the features U, a coalition S contributes the leaf
 value times, per feature of U, 1 or 0 if the feature is in S (does the row pass its tests?)
-and otherwise the share of training rows that pass. The Shapley value of this game depends on
-the row only through which features of U pass: at most 2 ** depth patterns. The driver tabulates
-them once from the fitted trees, a size set by the model and not by the data; tasks then look
-up each row's patterns. Attributions plus the base value add up to the prediction.
+and otherwise the share of training rows that pass. A path's coalitions are counted by size in a
+polynomial that is extended by one factor per feature, and a feature's Shapley value is read off
+after its own factor is unwound again: about depth squared steps per leaf and row, for all leaves
+with the same number of features and a batch of rows at once. Attributions plus the base value add
+up to the prediction.
 """
 
 from __future__ import annotations
 
+import sys
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import product
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvseries.functions.calendar import effect_label
 from pvseries.functions.stats import pearson
-from pvseries.operators.models import fill_missing
-
-
-def _leaves(node, tests: list) -> Iterator[tuple[float, list]]:
-    """(value, tests) per leaf; a test is (feature, threshold, goes_left, share of rows)."""
-    if node.subtreeDepth() == 0:
-        yield float(node.prediction()), tests
-        return
-    size = float(node.impurityStats().count())
-    split = node.split()
-    for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-        share = float(child.impurityStats().count()) / size
-        test = (int(split.featureIndex()), float(split.threshold()), left, share)
-        yield from _leaves(child, tests + [test])
-
-
-def _pattern_table(value: float, shares: Sequence[float]) -> np.ndarray:
-    """Attribution of each path feature for every pass/fail pattern (first feature = lowest bit)."""
-    m = len(shares)
-    table = np.zeros((2 ** m, m))
+from pvseries.operators.boosting import TreeModel
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_CELLS = 1 << 20  # (row, leaf, feature) cells worked on at once
+
+
+def _paths(model: TreeModel, tree: int) -> Iterator[tuple[float, dict[int, list]]]:
+    """(value, {feature: [above, at most, whether missing passes, share of rows]}) per leaf, tests of one feature merged."""
+    feature, cover = model.feature[tree], model.cover[tree]
+    open_ = [(0, {})]
+    while open_:
+        at, tests = open_.pop()
+        f = int(feature[at])
+        if f < 0:
+            yield float(model.value[tree, at]), tests
+            continue
+        cut, gap_left = float(model.threshold[tree, at]), bool(model.missing_left[tree, at])
+        for child, left in ((2 * at + 1, True), (2 * at + 2, False)):
+            lo, hi, gap, share = tests.get(f, (-np.inf, np.inf, True, 1.0))
+            part = float(cover[child] / cover[at])
+            merged = (lo, min(hi, cut)) if left else (max(lo, cut), hi)
+            open_.append((child, {**tests, f: (*merged, gap and gap_left == left, share * part)}))
+
+
+def leaf_tables(model: TreeModel) -> tuple[float, list[tuple[np.ndarray, ...]]]:
+    """(base value, per number of features on a path: values, features, limits, passes of missing values, shares)."""
+    base, groups = model.base, defaultdict(list)
+    for tree in range(len(model.feature)):
+        for value, tests in _paths(model, tree):
+            base += value * float(np.prod([t[3] for t in tests.values()]))
+            if tests:
+                groups[len(tests)].append((value, list(tests), *zip(*tests.values())))
+    kinds = (float, np.int64, float, float, bool, float)
+    return base, [tuple(np.array(column, kind) for column, kind in zip(zip(*leaves), kinds)) for leaves in groups.values()]
+
+
+def path_values(passed: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values (rows, leaves, features) of leaves of value 1."""
+    m = share.shape[-1]
     weight = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
-    for code in range(2 ** m):
-        passed = [(code >> j) & 1 for j in range(m)]
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            total = 0.0
-            for inside in product((0, 1), repeat=m - 1):
-                term = weight[sum(inside)]
-                for j, member in zip(others, inside):
-                    term *= passed[j] if member else shares[j]
-                total += term
-            table[code, i] = value * (passed[i] - shares[i]) * total
-    return table
-
-
-def attribution_tables(model) -> tuple[float, list]:
-    """The base value and, per leaf, its feature intervals and pattern table."""
-    trees = model.stages[-1] if isinstance(model, PipelineModel) else model
-    base, leaves = 0.0, []
-    for tree, weight in zip(trees.trees, trees.treeWeights):
-        for value, tests in _leaves(tree._call_java("rootNode"), []):
-            used = sorted({t[0] for t in tests})
-            lo, hi, shares = np.full(len(used), -np.inf), np.full(len(used), np.inf), np.ones(len(used))
-            for feature, threshold, left, share in tests:
-                j = used.index(feature)
-                shares[j] *= share
-                if left:
-                    hi[j] = min(hi[j], threshold)
-                else:
-                    lo[j] = max(lo[j], threshold)
-            base += weight * value * float(np.prod(shares))
-            if used:
-                leaves.append((np.array(used), lo, hi, _pattern_table(weight * value, shares)))
-    return base, leaves
-
-
-def tree_attributions(model, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, feature, value, attribution, base): one row per input row and feature."""
-    base, leaves = attribution_tables(model)
+    sizes = [np.ones(passed.shape[:2])]  # coefficient of each coalition size
+    for j in range(m):
+        z, o = share[:, j], passed[:, :, j]
+        sizes = [sizes[0] * z, *[sizes[k] * z + sizes[k - 1] * o for k in range(1, j + 1)], sizes[j] * o]
+    out = np.empty(passed.shape)
+    for j in range(m):
+        z, o = share[:, j], passed[:, :, j]
+        rest, total = np.zeros(passed.shape[:2]), np.zeros(passed.shape[:2])
+        for s in range(m - 1, -1, -1):  # unwound from the largest size
+            rest = np.where(o, sizes[s + 1] - z * rest if s < m - 1 else sizes[m], sizes[s] / z)
+            total += weight[s] * rest
+        out[:, :, j] = (o - z) * total
+    return out
+
+
+def attribute_rows(x: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Attribution of every feature (rows, features) of ``x``, NaN where missing."""
+    phi = np.zeros(x.shape)
+    for value, used, lo, hi, gap, share in tables:
+        step = max(1, _CELLS // used.size)
+        for at in range(0, len(x), step):
+            v = x[at:at + step][:, used]
+            passed = np.where(np.isnan(v), gap, (v > lo) & (v <= hi))
+            part = path_values(passed, share) * value[:, None]
+            flat = np.arange(len(v))[:, None, None] * x.shape[1] + used
+            phi[at:at + step] += np.bincount(flat.ravel(), part.ravel(), len(v) * x.shape[1]).reshape(len(v), -1)
+    return phi
+
+
+def tree_attributions(model: TreeModel, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(key, feature, value, attribution, base): one row per input row and feature of the model, in its order."""
+    base, tables = leaf_tables(model)
     features, key = list(features), list(key)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(tables)
     index = range(len(features))
-    df = fill_missing(model, df, features) if isinstance(model, PipelineModel) else df
     rows = df.select(*key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[[f"x{i}" for i in index]].to_numpy(float)
-            phi = np.zeros_like(x)
-            for used, lo, hi, table in shared.value:
-                passed = (x[:, used] > lo) & (x[:, used] <= hi)
-                phi[:, used] += table[passed @ (1 << np.arange(len(used)))]
+            phi = attribute_rows(pdf[[f"x{i}" for i in index]].to_numpy(float), shared.value)
             yield pdf.assign(**{f"phi{i}": phi[:, i] for i in index})
 
     fields = [f"`{name}` {kind}" for name, kind in rows.dtypes] + [f"phi{i} double" for i in index]

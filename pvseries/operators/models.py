@@ -1,18 +1,13 @@
-"""Fitting and applying regressors with Spark ML."""
+"""Forecasters on look-back windows, fitted and applied with Spark ML."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvseries.session import use_checkpoints
-from pvseries.sources.tables import materialise
 
 
 def boosted_trees(features_col: str = "features", label: str = "y", trees: int = 200, depth: int = 5,
@@ -28,39 +23,6 @@ def boosted_trees(features_col: str = "features", label: str = "y", trees: int =
     return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
-def fit_trees(train: DataFrame, features: Sequence[str], target: str, **settings) -> PipelineModel:
-    """Fit boosted trees on all rows that have a target.
-
-    A missing feature takes the mean of the training rows, in the fit and in predictions, so
-    every row takes part in both. The assembled vectors are saved once.
-    """
-    use_checkpoints(train.sparkSession)
-    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features],
-                        F.col(target).cast("double").alias("y")).dropna(subset=["y"])
-    filled = [f"{f}__filled" for f in features]
-    ready = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled),
-                             VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]).fit(rows)
-    vectors = materialise(ready.transform(rows).select("features", "y").hint("rebalance"), "vectors")
-    return PipelineModel([*ready.stages, boosted_trees(**settings).fit(vectors)])
-
-
-def fill_missing(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Replace missing features by the values that the model's fit uses for them."""
-    fills = [s for s in model.stages if isinstance(s, ImputerModel)]
-    if not fills:
-        return df
-    means = fills[0].surrogateDF.first().asDict()
-    return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(means[f]))
-                           for f in features if f in means})
-
-
-def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Add ``yhat`` to every row; ``keep`` limits the other columns of the result."""
-    given = {s: F.col(s).cast("double") for stage in model.stages if isinstance(stage, ImputerModel) for s in stage.getInputCols()}
-    out = model.transform(df.withColumns(given))
-    return out.select(*keep, "yhat") if keep else out.select(*df.columns, "yhat")
-
-
 def flatten_windows(windows: DataFrame) -> DataFrame:
     """Turn the look-back matrix into one vector, oldest row first."""
     return windows.withColumn("features", array_to_vector(F.flatten("x")))
@@ -83,7 +45,3 @@ def forecast(model, windows: DataFrame) -> DataFrame:
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -165,9 +165,9 @@ def shape_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (),
-               k: float = 1.5, few_groups: bool = False) -> DataFrame:
+               k: float = 1.5) -> DataFrame:
     """Quartiles and the fences ``k`` interquartile ranges outside them."""
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], groups, few_groups)
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], groups)
     iqr = F.col("q2") - F.col("q0")
     return q.select(*groups, "column", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                     F.col("q2").alias("q3"), (F.col("q0") - k * iqr).alias("lower"),

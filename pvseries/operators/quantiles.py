@@ -4,12 +4,14 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one aggreg
 buffer, which fails for continuous measures at scale. Here a bounded sketch brackets the
 wanted ranks, and the exact values are then found inside the brackets only:
 
-1. ``percentile_approx`` gives a value below and above each wanted rank (fixed memory).
-2. Values outside the brackets are counted, and values inside them are counted by value.
-   Both combine map-side, so only values near the wanted ranks are shuffled.
-3. Each bracket is divided into ``_CELLS`` equal-width cells. Running counts over cells
-   (a bounded number of rows per group) name the cells that hold the ranks, and only
-   those are ordered.
+1. First scan: ``percentile_approx`` gives a value below and above each wanted rank (fixed memory).
+2. Second scan: values outside the brackets are counted, values inside them are counted by value,
+   in one aggregate that combines map-side, so only values near the wanted ranks are shuffled. These
+   counts are saved; a value that fills a third of the table is one row of them.
+3. The ranks are searched in the saved counts. A bracket with more than ``limit`` distinct values is
+   divided into ``_CELLS`` equal-width cells, running counts over cells (a bounded number of rows per
+   bracket) name the cells that hold a rank, and those are divided again while they are too large. So
+   no task orders more than ``limit`` values.
 
 The result interpolates linearly between neighbouring ranks, as the usual default does.
 """
@@ -17,13 +19,16 @@ The result interpolates linearly between neighbouring ranks, as the usual defaul
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvseries.operators.clean import quoted
+from pvseries.sources.tables import materialise
 
 _CELLS = 1024
+_LIMIT = 200_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -34,21 +39,64 @@ def melt(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> D
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    groups: Sequence[str] = (), few_groups: bool = False,
-                    accuracy: int = 10_000) -> DataFrame:
+                    groups: Sequence[str] = (), accuracy: int = 10_000, limit: int = _LIMIT) -> DataFrame:
     """(groups, column, n, q0, q1, ...): one value per entry of ``probs``.
 
-    Without groups the brackets are fetched when the query is built, like a fitted parameter.
-    ``few_groups`` states that the groups come from a fixed list such as seasons or a flag,
-    so the sketch table may be broadcast; otherwise adaptive execution chooses the join.
+    Runs when called: the table is read twice, and its counts near the ranks are saved.
     """
     asked, probs = list(probs), sorted(probs)
-    groups, keys = list(groups), [*groups, "__i"]
-    index, brackets = range(len(columns)), range(len(probs))
-    hint = F.broadcast if few_groups else (lambda d: d)
+    groups = list(groups)
+    keys, index = [*[f"__g{k}" for k in range(len(groups))], "__i"], range(len(columns))
     numbers = [quoted(c).cast("double") for c in columns]
-    wide = df.select(*groups, *[F.when(~F.isnan(v), v).alias(f"__v{i}") for i, v in enumerate(numbers)])
+    wide = df.select(*[quoted(g).alias(k) for g, k in zip(groups, keys)],
+                     *[F.when(~F.isnan(v), v + F.lit(0.0)).alias(f"__v{i}") for i, v in enumerate(numbers)])
+    counts = materialise(_bracket_counts(wide, keys[:-1], index, probs, accuracy), "quantile-counts")
+
+    slots = counts.groupBy(*keys, "__slot").agg(F.sum("__c").alias("__c"))
+    whole = Window.partitionBy(*keys)  # at most two slots per rank, and one more
+    before = whole.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = slots.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumn("n", F.sum("__c").over(whole))
+    ranks = [_rank(q) for q in probs]
+    flat = [r for low, frac in ranks for r in (low, F.when(frac > 0, low + 1).otherwise(low))]
+    chosen = materialise(placed.filter(_holds(flat)).select(*keys, "__slot", "__before", "n"), "quantile-slots")
+    missed = F.raise_error(F.lit("quantile sketch missed a rank: raise accuracy"))
+    near = same(counts, chosen, [*keys, "__slot"]).withColumn("__path", F.array(F.lit(0)))
+    cell = [*keys, "__slot", "__path"]
+
+    while True:
+        finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
+        spans = materialise(near.groupBy(*cell).agg(F.count(F.lit(1)).alias("__k"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi")),
+                            "quantile-spans")
+        if not spans.filter(F.col("__k") > limit).limit(1).count():
+            break
+        lo, hi, v = F.col("__lo") / 2, F.col("__hi") / 2, F.col("__v") / 2  # halves: no difference overflows
+        step = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * _CELLS).cast("int")
+        step = F.when(v == float("inf"), _CELLS + 1).when(v == -float("inf"), -1).otherwise(F.coalesce(step, F.lit(0)))
+        split = same(near, spans, cell).withColumn("__path", F.when(F.col("__k") > limit, F.concat("__path", F.array(step))).otherwise(F.col("__path")))
+        inside = split.groupBy(*keys, "__slot", "__path", "__before", "n").agg(F.sum("__c").alias("__sum"))
+        # At most _CELLS + 2 cells for each that was cut.
+        own = Window.partitionBy(*keys, "__slot", "__before").orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+        cells = inside.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__sum").over(own), F.lit(0))).withColumn("__c", F.col("__sum"))
+        kept = cells.filter(_holds(flat, "__start")).select(*cell, F.col("__start").alias("__from"))
+        near = materialise(same(split.drop("__k", "__lo", "__hi"), kept, cell).withColumn("__before", F.col("__from")).drop("__from"),
+                           "quantile-near")
+
+    in_cell = Window.partitionBy(*cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = near.withColumn("__upto", F.col("__before") + F.sum("__c").over(in_cell))
+    known = F.when(F.col("__v").isNotNull(), F.col("__v")).otherwise(missed.cast("double"))
+    picks = [F.max(F.when((r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c")), known)).alias(f"__r{k}") for k, r in enumerate(flat)]
+    picked = ordered.groupBy(*keys, "n").agg(*picks)
+    out = []
+    for k, q in enumerate(asked):
+        j = probs.index(q)
+        low, high, frac = F.col(f"__r{2 * j}"), F.col(f"__r{2 * j + 1}"), ranks[j][1]
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * frac).alias(f"q{k}"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__i") + 1)
+    return picked.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], name.alias("column"), "n", *out)
+
 
+def _bracket_counts(wide: DataFrame, groups: list[str], index: range, probs: list[float], accuracy: int) -> DataFrame:
+    """(groups, __i, __slot, __v, __c): slot 2j+1 is bracket j, by value; slot 2j what lies between brackets j-1 and j, without."""
     margin = 4.0 / accuracy
     shares = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
     cuts = f"array({', '.join(f'{p:.12f}D' for p in shares)}), {accuracy}"
@@ -64,66 +112,35 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                        f"IF({hi}, max{i}, cut{i}[{2 * j + 1}]) AS hi{i}_{j}"]
     table = sketch.selectExpr(*groups, *bounds)
     if groups:
-        placed, bound = wide.join(hint(table), groups), str
+        # Saved: the size of the stored table decides whether it is broadcast.
+        wide, bound = same(wide, materialise(table, "quantile-sketch"), groups), str
     else:
         row = table.first()                 # two numbers per column and rank
-        placed, bound = wide, lambda name: _literal(row[name])
-
-    # Slot 2j+1 is bracket j, slot 2j the values between brackets j-1 and j.
-    slots, cells = [], []
+        bound = lambda name: _literal(row[name])
+    cells = []
     for i in index:
-        steps, within = "", ""
-        for j in brackets:
-            lo, hi = bound(f"lo{i}_{j}"), bound(f"hi{i}_{j}")
-            steps += f" WHEN __v{i} < {lo} THEN {2 * j} WHEN __v{i} <= {hi} THEN {2 * j + 1}"
-            within += (f" WHEN {2 * j + 1} THEN IF({hi} > {lo}, "
-                       f"CAST(floor((__v{i} - {lo}) / ({hi} - {lo}) * {_CELLS}) AS INT), 0)")
-        slots.append(f"CASE WHEN __v{i} IS NULL THEN NULL{steps} ELSE {2 * len(probs)} END AS __s{i}")
-        cells.append(f"CASE __s{i}{within} ELSE 0 END")
-    placed = placed.selectExpr("*", *slots)
-    between = placed.groupBy(*groups).agg(F.expr("array(" + ", ".join(
-        f"named_struct('__i', {i}, '__slot', {2 * j}, '__cell', 0, '__v', CAST(NULL AS DOUBLE), "
-        f"'__c', count_if(__s{i} = {2 * j}))" for i in index for j in range(len(probs) + 1)) + ") AS __l"))
-    between = between.select(*groups, F.explode("__l").alias("__l")).select(*groups, "__l.*").filter("__c > 0")
-    hits = [f"__s{i} % 2 = 1" for i in index]
-    inside = placed.filter(" OR ".join(hits)).select(*groups, F.expr("explode(array(" + ", ".join(
-        f"IF({hits[i]}, named_struct('__i', {i}, '__slot', __s{i}, '__cell', {cells[i]}, '__v', __v{i}), NULL)"
-        for i in index) + ")) AS __l"))
-    inside = (inside.filter(F.col("__l").isNotNull()).select(*groups, "__l.*")
-              .groupBy(*keys, "__slot", "__cell", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    counts = between.unionByName(inside)
-
-    # Running counts over cells; ordering by slot and cell is ordering by value.
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("__slot", "__cell").rowsBetween(Window.unboundedPreceding, -1)
-    sized = (counts.groupBy(*keys, "__slot", "__cell").agg(F.sum("__c").alias("__c"))
-             .withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-             .withColumn("n", F.sum("__c").over(whole)))
-    ranks = [_rank(q) for q in probs]
-    flat = [r for low, frac in ranks for r in (low, F.when(frac > 0, low + 1).otherwise(low))]
-    holds = F.lit(False)
-    for r in flat:
-        holds = holds | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))
-    chosen = sized.filter(holds).select(*keys, "__slot", "__cell", "__before", "n")
-
-    in_cell = Window.partitionBy(*keys, "__slot", "__cell").orderBy("__v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ordered = (counts.join(hint(chosen), [*keys, "__slot", "__cell"])
-               .withColumn("__upto", F.col("__before") + F.sum("__c").over(in_cell)))
-    missed = F.raise_error(F.lit("quantile sketch missed a rank: raise accuracy"))
-    known = F.when(F.col("__v").isNotNull(), F.col("__v")).otherwise(missed.cast("double"))
-    picks = []
-    for k, r in enumerate(flat):
-        here = (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c"))
-        picks.append(F.max(F.when(here, known)).alias(f"__r{k}"))
-    picked = ordered.groupBy(*keys, "n").agg(*picks)
-    out = []
-    for k, q in enumerate(asked):
-        j = probs.index(q)
-        low, high, frac = F.col(f"__r{2 * j}"), F.col(f"__r{2 * j + 1}"), ranks[j][1]
-        out.append((low + (high - low) * frac).alias(f"q{k}"))
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__i") + 1)
-    return picked.select(*groups, name.alias("column"), "n", *out)
+        steps = "".join(f" WHEN __v{i} < {bound(f'lo{i}_{j}')} THEN {2 * j} WHEN __v{i} <= {bound(f'hi{i}_{j}')} THEN {2 * j + 1}"
+                        for j in range(len(probs)))
+        slot = f"CASE{steps} ELSE {2 * len(probs)} END"
+        cells.append(f"IF(__v{i} IS NULL, NULL, named_struct('__i', {i}, '__slot', {slot}, '__v', __v{i}))")
+    long = wide.select(*groups, F.expr(f"explode(array({', '.join(cells)}))").alias("__l")).filter("__l IS NOT NULL").select(*groups, "__l.*")
+    return (long.withColumn("__v", F.when(F.col("__slot") % 2 == 1, F.col("__v")))
+            .groupBy(*groups, "__i", "__slot", "__v").agg(F.count(F.lit(1)).alias("__c")))
+
+
+def same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where missing keys are equal too."""
+    named = right.select(*[F.col(c).alias(f"__on{k}") if c in on else F.col(c) for k, c in enumerate(right.columns)])
+    hit = reduce(lambda a, b: a & b, [left[c].eqNullSafe(named[f"__on{k}"]) for k, c in enumerate(right.columns) if c in on])
+    return left.join(named, hit).drop(*[c for c in named.columns if c.startswith("__on")])
+
+
+def _holds(ranks: Sequence[Column], start: str = "__before") -> Column:
+    """Whether a run of ``__c`` values from rank ``start`` on holds one of the ranks."""
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((r >= F.col(start)) & (r < F.col(start) + F.col("__c")))
+    return hit
 
 
 def _literal(x: float | None) -> str:

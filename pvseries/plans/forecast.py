@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pvseries.config import TREE_FEATURES
 from pvseries.functions import calendar as cal
-from pvseries.operators import attribution, checks, metrics, models, scaling, series
+from pvseries.operators import attribution, boosting, checks, metrics, models, scaling, series
 from pvseries.operators.distributions import seeded_sample
 from pvseries.plans.prepare import Prepared
 from pvseries.sources.tables import materialise
@@ -21,7 +21,7 @@ DEPENDENCE = ("G_i", "H_sun", "T2m", "RH")
 
 @dataclass(frozen=True)
 class TreeStudy:
-    model: object
+    model: boosting.TreeModel
     metrics: DataFrame
     attributions: DataFrame
     importance: DataFrame
@@ -40,9 +40,9 @@ def tree_study(df: DataFrame, target: str = "P", ts: str = "datetime", daytime:
         df = df.filter("H_sun > 0")
     rows = df.select("site", ts, target, *TREE_FEATURES)
     split = materialise(series.tail_holdout(rows, ["site"], ts, chunks=chunks), "holdout")
-    model = models.fit_trees(split.filter("split = 'train'"), TREE_FEATURES, target, **settings)
+    model = boosting.fit_trees(split.filter("split = 'train'"), TREE_FEATURES, target, **settings)
     test = split.filter("split = 'test'")
-    scored = models.predict(model, test, ["site", ts, target])
+    scored = boosting.predict(model, test, ["site", ts, target])
     picked = seeded_sample(test, ["site", ts], sample)
     parts = materialise(attribution.tree_attributions(model, picked, TREE_FEATURES, ["site", ts]), "attributions")
     return TreeStudy(model, metrics.regression_metrics(scored, target, "yhat"), parts,

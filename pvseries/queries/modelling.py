@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.ml.regression import LinearRegressionModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pvseries.config import MINMAX, STANDARD, FeatureGroup
-from pvseries.operators import attribution, checks, metrics, models, scaling, series
+from pvseries.operators import attribution, boosting, checks, metrics, models, scaling, series
 from pvseries.operators import distributions as dist
 from pvseries.queries.base import MODEL_ROWS_SQL, model_rows, query, rounded
-from pvseries.session import exists, run_dir, scratch_path
+from pvseries.session import exists, fingerprint, run_dir, scratch_path
 from pvseries.sources.tables import materialise
 
 GROUPS = (FeatureGroup("spatial", ("value",), MINMAX), FeatureGroup("temporal", ("k",), STANDARD),
@@ -167,81 +166,108 @@ def metrics_by_split(t):
 
 # -- models -----------------------------------------------------------------------
 
-FEATURES = ("l_quantity", "l_discount", "l_tax", "month_sin", "month_cos")
+# Known effects: two steps up or down, and one of a day that is missing in two rows of three.
+STEPS = (("l_quantity", 40, "l_quantity > 25"), ("l_discount", -20, "l_discount > 0.055"), ("ship_day", 12, "ship_day IS NULL"))
+FEATURES = ("l_quantity", "l_discount", "ship_day", "l_tax", "month_sin", "month_cos")
 KEY = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
 SAMPLE = 2000
-# Known effects with noise: up with quantity, less down with discount.
-TARGET = "1000 * l_quantity - 20000 * l_discount + l_extendedprice / 100"
+TARGET = " + ".join(f"{size} * CAST({step} AS INT)" for _, size, step in STEPS)
+SHIP_DAY = "CASE WHEN day(l_shipdate) <= 10 THEN day(l_shipdate) END"
 
-_HOLDOUT_SQL = """
-h AS (SELECT *, 1000 * l_quantity - 20000 * l_discount + l_extendedprice / 100 AS target,
+_HOLDOUT_SQL = f"""
+a AS (SELECT *, {SHIP_DAY} AS ship_day FROM lineitem),
+h AS (SELECT *, CASE WHEN l_orderkey % 50 > 0 THEN ({TARGET})::DOUBLE END AS target,
  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
- count(*) OVER (PARTITION BY l_suppkey) AS size FROM lineitem),
+ count(*) OVER (PARTITION BY l_suppkey) AS size FROM a),
+train AS (SELECT * FROM h WHERE pos < size - ceil(size * 0.2::DOUBLE) AND target IS NOT NULL),
 test AS (SELECT * FROM h WHERE pos >= size - ceil(size * 0.2::DOUBLE)),
 picked AS (SELECT * FROM test ORDER BY md5(concat_ws('|', l_suppkey, l_orderkey, l_linenumber, l_partkey, 42)),
  l_suppkey, l_orderkey, l_linenumber, l_partkey LIMIT 2000)"""
 
+# A step's attribution is what it adds beyond its mean over the training rows; other features add nothing.
+_EFFECTS_SQL = " UNION ALL ".join(
+    [f"SELECT p.*, '{f}' AS feature, {f}::DOUBLE AS v, {size} * (({step})::INT - (SELECT avg(({step})::INT) FROM train)) AS phi FROM picked p"
+     for f, size, step in STEPS]
+    + [f"SELECT p.*, '{f}', {v}, 0 FROM picked p" for f, v in (("l_tax", "l_tax"), ("month_sin", "NULL"), ("month_cos", "NULL"))])
+
 
 def _study(t):
-    """(model, hold-out rows, attributions of a sample of them), fitted once per run and folder, then read from files.
+    """(model, hold-out rows, attributions of a sample of them).
 
-    Trees on line items, one series per supplier with its last fifth held out.
+    Trees on line items, one series per supplier with its last fifth held out. The four queries that
+    read the study share one fit per run: it is saved under the checksum of the table's files.
     """
-    base = f"{run_dir(t.spark)}/study-{hashlib.md5(t.folder.encode()).hexdigest()[:12]}"
+    base = f"{run_dir(t.spark)}/study-{fingerprint(t.spark, f'{t.folder}/lineitem.parquet')}"
     if not exists(t.spark, f"{base}/attributions/_SUCCESS"):
         angle = 2 * 3.141592653589793 * F.month("l_shipdate") / 12
-        rows = t.lineitem.select(
-            "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
-            "l_discount", "l_tax", F.expr(TARGET).alias("target"), F.sin(angle).alias("month_sin"), F.cos(angle).alias("month_cos"))
+        rows = t.lineitem.withColumn("ship_day", F.expr(SHIP_DAY)).select(
+            "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "ship_day",
+            F.when(F.col("l_orderkey") % 50 > 0, F.expr(TARGET).cast("double")).alias("target"),
+            F.sin(angle).alias("month_sin"), F.cos(angle).alias("month_cos"))
         split = series.tail_holdout(rows, ["l_suppkey"], "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey"])
         split.write.mode("overwrite").parquet(f"{base}/holdout")
         split = t.spark.read.parquet(f"{base}/holdout")
-        model = models.fit_trees(split.filter("split = 'train'"), FEATURES, "target", **TREES)
-        models.save_model(model, f"{base}/model")
+        model = boosting.fit_trees(split.filter("split = 'train'"), FEATURES, "target", **TREES)
+        boosting.save(model, t.spark, f"{base}/model")
         picked = dist.seeded_sample(split.filter("split = 'test'"), KEY, SAMPLE)
         parts = attribution.tree_attributions(model, picked, FEATURES, KEY)
         parts.write.mode("overwrite").parquet(f"{base}/attributions")
-    return (models.load_model(f"{base}/model"), t.spark.read.parquet(f"{base}/holdout").filter("split = 'test'"),
+    return (boosting.load(t.spark, f"{base}/model"), t.spark.read.parquet(f"{base}/holdout").filter("split = 'test'"),
             t.spark.read.parquet(f"{base}/attributions"))
 
 
+def _whole(c):
+    """Rounded to a whole number, so that what the oracle derives from the steps must be met to within a half."""
+    return F.round(c).cast("long")
+
+
 @query("gbt_forecast_metrics", f"""
-WITH {_HOLDOUT_SQL} SELECT count(*) AS n, count(*) FILTER (target IS NULL) AS n_missing, 1 AS beats_mean FROM test""")
+WITH {_HOLDOUT_SQL} SELECT l_quantity > 25 AS much, l_discount > 0.055 AS reduced, ship_day IS NULL AS no_day, count(target) AS n,
+ count(*) FILTER (target IS NULL) AS n_missing, min({TARGET})::BIGINT AS yhat_lo, max({TARGET})::BIGINT AS yhat_hi,
+ (stddev_pop(target) + avg(target) - min({TARGET}))::BIGINT AS rmse FROM test GROUP BY 1, 2, 3""")
 def gbt_forecast_metrics(t):
+    """Per combination of steps: rows, the least and the largest prediction, and the error, as whole numbers."""
     model, test, _ = _study(t)
-    got = metrics.regression_metrics(models.predict(model, test, ["target"]), "target")
-    return got.select("n", "n_missing", (F.col("r2") > 0).cast("int").alias("beats_mean"))
+    scored = boosting.predict(model, test.withColumns({
+        "much": F.expr("l_quantity > 25"), "reduced": F.expr("l_discount > 0.055"), "no_day": F.expr("ship_day IS NULL")}))
+    cell = ["much", "reduced", "no_day"]
+    told = metrics.regression_metrics(scored, "target", by=cell).select(*cell, "n", "n_missing", _whole("rmse").alias("rmse"))
+    span = scored.groupBy(*cell).agg(_whole(F.min("yhat")).alias("yhat_lo"), _whole(F.max("yhat")).alias("yhat_hi"))
+    return told.join(span, cell)
 
 
 @query("tree_attributions", f"""
-WITH {_HOLDOUT_SQL} SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {len(FEATURES)} AS n_features, 1 AS adds_up FROM picked""")
+WITH {_HOLDOUT_SQL}, e AS ({_EFFECTS_SQL}) SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, feature, round(phi)::BIGINT AS attribution FROM e""")
 def tree_attributions(t):
-    """Attributions and base add up to the prediction of every sampled row."""
-    model, test, parts = _study(t)
-    total = parts.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_features"), (F.sum("attribution") + F.first("base")).alias("total"))
-    off = F.abs(F.col("total") - F.col("yhat")) < 1e-6 * F.greatest(F.abs("yhat"), F.lit(1.0))
-    return total.join(models.predict(model, test, KEY), KEY).select(*KEY, "n_features", off.cast("int").alias("adds_up"))
+    return _study(t)[2].select(*KEY, "feature", _whole("attribution").alias("attribution"))
 
 
 @query("feature_importance", f"""
-WITH {_HOLDOUT_SQL}, c AS (SELECT unnest([
- {{'feature': 'l_quantity', 'r': corr(l_quantity, target)}}, {{'feature': 'l_discount', 'r': corr(l_discount, target)}},
- {{'feature': 'l_tax', 'r': corr(l_tax, target)}}], recursive := true) FROM picked)
-SELECT feature, CASE WHEN r > 0 THEN 'up' ELSE 'down' END AS effect FROM c ORDER BY abs(r) DESC LIMIT 1""")
+WITH {_HOLDOUT_SQL}, e AS ({_EFFECTS_SQL}),
+i AS (SELECT feature, round(avg(abs(phi)))::BIGINT AS importance, floor(avg(abs(phi)) / 3)::INTEGER AS bars,
+ CASE WHEN feature IN ('l_quantity', 'l_discount') THEN round(corr(v, phi), 1) END AS corr FROM e GROUP BY 1)
+SELECT rank() OVER (ORDER BY importance DESC) AS rank, feature, importance, repeat('█', bars) AS bar, corr,
+ CASE WHEN corr > 0 THEN 'up' WHEN corr < 0 THEN 'down' ELSE 'none injected' END AS effect FROM i""")
 def feature_importance(t):
-    """The strongest feature and its direction; it is the one that the target goes with."""
-    return attribution.feature_importance(_study(t)[2], bar=100.0).limit(1).select("feature", "effect")
+    """All features; direction and correlation only where the target has a step in the feature's values."""
+    out = attribution.feature_importance(_study(t)[2], bar=3.0).withColumn("importance", _whole("importance"))
+    known = F.col("feature").isin("l_quantity", "l_discount")
+    # One row per feature.
+    return out.select(F.rank().over(Window.orderBy(F.desc("importance"))).cast("long").alias("rank"), "feature", "importance", "bar",
+                      F.when(known, F.round("corr", 1)).alias("corr"), F.when(known, F.col("effect")).otherwise("none injected").alias("effect"))
 
 
 def _bins_sql(c: str) -> str:
-    return f"""SELECT '{c}' AS feature, least(coalesce(floor(({c} - lo) / nullif(hi - lo, 0) * 10), 0)::BIGINT, 9) AS bin, count(*) AS n,
- round(avg({c}), 6) AS value FROM picked, (SELECT min({c}) AS lo, max({c}) AS hi FROM picked) GROUP BY 1, 2"""
+    return f"""SELECT '{c}' AS feature, least(coalesce(floor((v - lo) / nullif(hi - lo, 0) * 10), 0)::BIGINT, 9) AS bin, count(*) AS n,
+ round(avg(v), 6) AS value, round(avg(phi))::BIGINT AS attribution
+ FROM e, (SELECT min(v) AS lo, max(v) AS hi FROM e WHERE feature = '{c}') WHERE feature = '{c}' GROUP BY 1, 2"""
 
 
-@query("dependence_table", f"WITH {_HOLDOUT_SQL} {_bins_sql('l_quantity')} UNION ALL {_bins_sql('l_tax')}")
+@query("dependence_table", f"""
+WITH {_HOLDOUT_SQL}, e AS ({_EFFECTS_SQL}) {' UNION ALL '.join(map(_bins_sql, ('l_quantity', 'l_discount', 'l_tax')))}""")
 def dependence_table(t):
-    out = attribution.dependence_table(_study(t)[2], ["l_quantity", "l_tax"], bins=10)
-    return out.select("feature", "bin", "n", F.round("value", 6).alias("value"))
+    out = attribution.dependence_table(_study(t)[2], ["l_quantity", "l_discount", "l_tax"], bins=10)
+    return out.select("feature", "bin", "n", F.round("value", 6).alias("value"), _whole("attribution").alias("attribution"))
 
 
 @query("window_forecaster", f"""

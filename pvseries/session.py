@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -58,6 +59,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A checksum of the names, sizes and times of a table's files: it changes when the table does."""
+    files, place = _files(spark, path)
+    found, each = [], files.listFiles(place, True)
+    while each.hasNext():
+        status = each.next()
+        found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table that nothing reads any more."""
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's folder, when none of its tables is read any more."""
     files, place = _files(spark, run_dir(spark))

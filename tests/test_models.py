@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pvseries.operators import attribution as A
+from pvseries.operators import boosting as B
 from pvseries.operators import metrics as M
 from pvseries.operators import models as ML
 from pvseries.operators import series as S
@@ -26,24 +27,23 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def model(rows):
-    return ML.fit_trees(rows, FEATURES, "y", trees=8, depth=3, rate=0.3)
+    return B.fit_trees(rows, FEATURES, "y", trees=8, depth=3, rate=0.3)
 
 
 def brute_force(model, x):
     """Shapley values by enumerating every coalition of all features."""
-    trees = model.stages[-1]
-
-    def walk(node, inside):
-        if node.subtreeDepth() == 0:
-            return node.prediction()
-        f, t = node.split().featureIndex(), node.split().threshold()
+    def walk(t, i, inside):
+        f = model.feature[t, i]
+        if f < 0:
+            return model.value[t, i]
+        children = 2 * i + 1, 2 * i + 2
         if f in inside:
-            return walk(node.leftChild() if x[f] <= t else node.rightChild(), inside)
-        n = node.impurityStats().count()
-        return sum(walk(c, inside) * c.impurityStats().count() / n for c in (node.leftChild(), node.rightChild()))
+            left = model.missing_left[t, i] if math.isnan(x[f]) else x[f] <= model.threshold[t, i]
+            return walk(t, children[0] if left else children[1], inside)
+        return sum(walk(t, c, inside) * model.cover[t, c] / model.cover[t, i] for c in children)
 
     def game(inside):
-        return sum(w * walk(t._call_java("rootNode"), inside) for t, w in zip(trees.trees, trees.treeWeights))
+        return model.base + sum(walk(t, 0, inside) for t in range(len(model.feature)))
 
     k = len(x)
     value = {s: game(set(s)) for r in range(k + 1) for s in itertools.combinations(range(k), r)}
@@ -69,7 +69,7 @@ def test_attributions_equal_enumeration(model, rows):
 def test_attributions_add_up_to_the_prediction(model, rows):
     parts = A.tree_attributions(model, rows, FEATURES, ["id"])
     total = parts.groupBy("id").agg((F.sum("attribution") + F.first("base")).alias("s"))
-    off = (ML.predict(model, rows, ["id"]).join(total, "id")
+    off = (B.predict(model, rows, ["id"]).join(total, "id")
            .agg(F.max(F.abs(F.col("yhat") - F.col("s"))), F.count("*")).first())
     assert off[0] < 1e-9 and off[1] == 3000
     imp = A.feature_importance(parts, bar=0.5).toPandas().set_index("feature")
@@ -81,25 +81,109 @@ def test_attributions_add_up_to_the_prediction(model, rows):
     assert binned.n.sum() == 3000 and len(binned) == 10
 
 
-def test_rows_with_missing_features_keep_a_prediction(spark, rows):
-    holes = rows.withColumn("a", F.when(F.col("id") % 4 != 0, F.col("a"))).withColumn("y", F.when(F.col("id") % 10 != 0, F.col("y")))
-    model = ML.fit_trees(holes, FEATURES, "y", trees=4, depth=3, rate=0.3)
-    out = ML.predict(model, holes, ["id", "y"])
+def test_rows_with_missing_features_keep_their_signal(spark, rows):
+    """Two values of three are missing at random, and a missing one adds 20 to the target."""
+    holes = rows.withColumn("b", F.when(F.col("id") % 3 == 0, F.col("b"))).withColumn(
+        "y", F.when(F.col("id") % 10 != 0, F.col("a") + F.when(F.col("b").isNull(), 20.0).otherwise(0.0)))
+    model = B.fit_trees(holes, FEATURES, "y", trees=12, depth=3, rate=0.5)
+    out = B.predict(model, holes, ["id", "y"])
     assert out.count() == 3000 and out.filter("yhat IS NULL OR isnan(yhat)").count() == 0
     m = M.regression_metrics(out).first()
-    assert (m.n, m.n_missing) == (2700, 300)
-    parts = A.tree_attributions(model, holes.filter("a IS NULL"), FEATURES, ["id"])
+    assert (m.n, m.n_missing) == (2700, 300) and m.r2 > 0.97
+    parts = A.tree_attributions(model, holes.filter("b IS NULL"), FEATURES, ["id"])
     total = parts.groupBy("id").agg((F.sum("attribution") + F.first("base")).alias("s")).join(out, "id")
-    assert total.count() == 750 and total.filter("abs(s - yhat) > 1e-9").count() == 0
+    assert total.count() == 2000 and total.filter("abs(s - yhat) > 1e-9").count() == 0
+    few = holes.filter("id < 4")
+    got = A.tree_attributions(model, few, FEATURES, ["id"]).toPandas()
+    for r in few.collect():
+        phi, _ = brute_force(model, [math.nan if r[f] is None else r[f] for f in FEATURES])
+        np.testing.assert_allclose(got[got.id == r.id].set_index("feature").attribution[FEATURES], phi, atol=1e-9)
+
+
+def test_deep_paths_add_up():
+    """Twelve levels and twelve features on a path: far more patterns than could be tabulated."""
+    rng = np.random.default_rng(3)
+    depth, k = 12, 14
+    n = (1 << (depth + 1)) - 1
+    inner = np.arange(n) < (1 << depth) - 1
+    order = np.stack([rng.permutation(k)[:depth] for _ in range(1)])[0]
+    level = np.floor(np.log2(np.arange(n) + 1)).astype(int)
+    feature = np.where(inner, order[np.minimum(level, depth - 1)], -1)
+    cover = np.ones(n)
+    for i in range((1 << depth) - 2, -1, -1):
+        cover[i] = cover[2 * i + 1] + cover[2 * i + 2]
+    cover[1:] *= 1.0
+    model = B.TreeModel(tuple(map(str, range(k))), 1.5, feature[None], rng.random(n)[None], (rng.random(n) < .5)[None],
+                        np.where(inner, 0.0, rng.random(n))[None], cover[None])
+    base, tables = A.leaf_tables(model)
+    x = np.where(rng.random((6, k)) < .2, np.nan, rng.random((6, k)))
+    phi = A.attribute_rows(x, tables)
+    np.testing.assert_allclose(phi.sum(1) + base, model.predict(x), atol=1e-9)
+    assert (phi[:, np.setdiff1d(np.arange(k), order)] == 0).all()
+
+
+def plain_boosting(x, y, edges, columns_of, drawn_of, trees, depth, rate):
+    """The same trees, node by node over plain rows."""
+    margin, fits = np.full(len(y), y.mean()), []
+
+    def grow(k, i, rows, level, out):
+        g = margin[rows] - y[rows]
+        out[i] = -rate * g.sum() / (len(rows) + 1)
+        best = (1e-9, None)
+        if level < depth:
+            for f in columns_of[k]:
+                v, gap = x[rows, f], np.isnan(x[rows, f])
+                for cut in [*edges[f], np.inf]:
+                    for left in (gap | (v <= cut), ~gap & (v <= cut)):
+                        a, b = g[left], g[~left]
+                        if len(a) and len(b):
+                            gain = a.sum() ** 2 / (len(a) + 1) + b.sum() ** 2 / (len(b) + 1) - g.sum() ** 2 / (len(g) + 1)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (f, cut, left[gap].all() if gap.any() else len(a) >= len(b)))
+        if best[1]:
+            f, cut, gap_left = best[1]
+            v = x[:, f]
+            side = np.where(np.isnan(v), gap_left, v <= cut)
+            grow(k, 2 * i + 1, rows[side[rows]], level + 1, out)
+            grow(k, 2 * i + 2, rows[~side[rows]], level + 1, out)
+            out[i] = (f, cut, gap_left)
+
+    def leaf(tree, r):
+        i = 0
+        while isinstance(tree[i], tuple):
+            f, cut, gap_left = tree[i]
+            left = gap_left if np.isnan(x[r, f]) else x[r, f] <= cut
+            i = 2 * i + 1 if left else 2 * i + 2
+        return tree[i]
+
+    for k in range(trees):
+        tree = {}
+        grow(k, 0, drawn_of(k), 0, tree)
+        margin = margin + np.array([leaf(tree, r) for r in range(len(y))])
+        fits.append(tree)
+    return margin
+
+
+def test_trees_equal_plain_boosting(spark):
+    """All rows and columns drawn, values that are their own bins: the fit must be the plain one."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (400, 3)).astype(float)
+    x[rng.random((400, 3)) < .25] = np.nan
+    y = np.where(np.isnan(x[:, 0]), 3.0, x[:, 0]) * np.where(x[:, 1] > 4, 1.5, -.5) + rng.normal(0, .3, 400)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    model = B.fit_trees(df, ["a", "b", "c"], "y", trees=11, depth=3, rate=0.4, rows=1.0, columns=1.0, bins=200)
+    edges = [np.unique(v[~np.isnan(v)])[:-1] for v in x.T]
+    want = plain_boosting(x, y, edges, [[0, 1, 2]] * 11, lambda k: np.arange(400), 11, 3, 0.4)
+    np.testing.assert_allclose(model.predict(x), want, atol=1e-6)
 
 
 def test_model_survives_saving(spark, model, rows):
     path = scratch_path(spark, "model")
-    ML.save_model(model, path)
-    again = ML.predict(ML.load_model(path), rows, ["id"])
-    diff = again.join(ML.predict(model, rows, ["id"]).withColumnRenamed("yhat", "o"), "id")
+    B.save(model, spark, path)
+    again = B.predict(B.load(spark, path), rows, ["id"])
+    diff = again.join(B.predict(model, rows, ["id"]).withColumnRenamed("yhat", "o"), "id")
     assert diff.filter("yhat <> o").count() == 0
-    assert M.regression_metrics(ML.predict(model, rows)).first().r2 > 0.8
+    assert M.regression_metrics(B.predict(model, rows)).first().r2 > 0.8
 
 
 @pytest.mark.parametrize("kind,settings", [("linear", {}), ("gbt", {"trees": 10, "depth": 3, "rate": 0.3})])

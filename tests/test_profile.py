@@ -1,5 +1,7 @@
 """Quantiles, profiles and distributions on shapes the test tables do not have."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -24,23 +26,24 @@ def shapes():
     }
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 200])
-def test_quantiles_equal_pandas(spark, accuracy):
+@pytest.mark.parametrize("accuracy,limit", [(10_000, 200_000), (200, 200_000), (200, 40)])
+def test_quantiles_equal_pandas(spark, accuracy, limit):
+    """The small limit divides brackets and cells again and again."""
     pdf = pd.DataFrame(shapes())
     got = exact_quantiles(spark.createDataFrame(pdf).repartition(5), list(pdf), PROBS,
-                          accuracy=accuracy).toPandas().set_index("column")
+                          accuracy=accuracy, limit=limit).toPandas().set_index("column")
     for c in pdf:
         np.testing.assert_allclose(got.loc[c, [f"q{i}" for i in range(len(PROBS))]].astype(float),
                                    pdf[c].quantile(PROBS), rtol=1e-12)
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_grouped_quantiles_skip_missing(spark, few):
+@pytest.mark.parametrize("limit", [200_000, 50])
+def test_grouped_quantiles_skip_missing(spark, limit):
     rng = np.random.default_rng(8)
     size = [1, 2, 3, 400, 401, 5000, 12_001]
     pdf = pd.DataFrame({"g": np.repeat(np.arange(len(size)), size), "v": rng.normal(size=sum(size))})
     pdf.loc[rng.random(len(pdf)) < 0.1, "v"] = np.nan
-    got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.25, 0.5, 0.9], ["g"], few).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.25, 0.5, 0.9], ["g"], limit=limit).toPandas()
     want = pdf.dropna().groupby("g").v
     got = got.set_index("g").sort_index()
     assert (got.n == want.size()).all()
@@ -48,6 +51,19 @@ def test_grouped_quantiles_skip_missing(spark, few):
         np.testing.assert_allclose(got[f"q{i}"], want.quantile(q), rtol=1e-12)
 
 
+def test_quantiles_with_infinities_and_missing_groups(spark):
+    """Extremes that no difference can span, and rows without a group."""
+    values = [-math.inf, -1.7e308, *np.linspace(-3, 3, 500), 1.7e308, math.inf, math.inf]
+    df = spark.createDataFrame([(g, float(v)) for g in ("a", None) for v in values], "g string, v double")
+    got = exact_quantiles(df, ["v"], [0.0, 0.1, 0.5, 1.0], ["g"], limit=10).collect()
+    want = pd.Series(values).sort_values(ignore_index=True)
+    assert {r.g for r in got} == {"a", None}
+    for r in got:
+        assert (r.n, r.q0, r.q3) == (len(values), -math.inf, math.inf)
+        assert r.q1 == pytest.approx(want.iloc[1:].quantile((0.1 * (len(want) - 1) - 1) / (len(want) - 2)))
+        assert r.q2 == pytest.approx(want[252])
+
+
 def test_empty_and_all_missing_columns(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     assert [r.column for r in exact_quantiles(df, ["a", "b"], [0.5]).collect()] == ["a"]
