@@ -203,15 +203,10 @@ class Index:
         return np.bincount(self.docs[at], self.scores[at], self.n)
 
 
-def neighbours(scores: np.ndarray, free: np.ndarray, first: int = 64) -> Iterator[int]:
-    """Free rests with a positive score, best first, the earlier one of equals; all of them, sorted in two portions."""
-    found = np.flatnonzero((scores > 0) & free)
-    if len(found) > 4 * first:
-        least = -np.partition(-scores[found], first)[first]
-        top = found[scores[found] >= least]
-        yield from top[np.argsort(-scores[top], kind="stable")].tolist()
-        found = found[scores[found] < least]
-    yield from found[np.argsort(-scores[found], kind="stable")].tolist()
+def best_that_fits(scores: np.ndarray, left: np.ndarray, gap: float) -> int | None:
+    """The best neighbour (the first of equals) with a positive score and at most ``gap`` ids."""
+    u = int(np.argmax(np.where(left <= gap, scores, 0.0)))
+    return u if scores[u] > 0 and left[u] <= gap else None
 
 
 def pack(units: list[np.ndarray], weight: np.ndarray, mean: float, window: int, final: bool
@@ -220,45 +215,41 @@ def pack(units: list[np.ndarray], weight: np.ndarray, mean: float, window: int,
 
     All windows are full, but for the last one of the ``final`` call.
     """
-    start, size = np.zeros(len(units), np.int64), np.array([len(u) for u in units], np.int64)
-    free, index, held = np.ones(len(units), bool), Index(units, weight, mean), len(units)
+    left = np.array([len(u) for u in units], np.int64)
+    size, free, index, held = left.copy(), np.ones(len(units), bool), Index(units, weight, mean), len(units)
     windows, seed, unplaced, n_free = [], 0, int(size.sum()), len(units)
     while unplaced >= window or (final and unplaced):
         while not free[seed]:
             seed += 1
-        if n_free < held // 2:
+        if n_free < 0.7 * held:
             index.keep(free)
             held = n_free
         window_now, gap = [], window
 
         def place(u: int) -> None:
             nonlocal gap, unplaced, n_free
-            n = min(gap, int(size[u] - start[u]))
-            window_now.append((u, int(start[u]), n))
-            start[u] += n
+            n = min(gap, int(left[u]))
+            window_now.append((u, int(size[u] - left[u]), n))
+            left[u] -= n
             gap, unplaced = gap - n, unplaced - n
-            if start[u] == size[u]:
+            if not left[u]:
                 free[u], n_free = False, n_free - 1
 
         place(seed)
         if gap:
-            best = None
-            for u in neighbours(index.search(seed), free):
-                if size[u] - start[u] <= gap:
-                    place(u)
-                elif best is None:
-                    best = u
-                if not gap:
-                    break
-            if gap and best is not None:
-                place(best)
+            scores = index.search(seed) * free
+            while gap and (u := best_that_fits(scores, left, gap)) is not None:
+                place(u)
+                scores[u] = 0.0
+            if gap and (u := best_that_fits(scores, left, np.inf)) is not None:
+                place(u)  # cut
             after = seed
             while gap and unplaced:
                 while not free[after]:
                     after += 1
                 place(after)
         windows.append(window_now)
-    return windows, np.flatnonzero(free).tolist(), start
+    return windows, np.flatnonzero(free).tolist(), size - left
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -174,8 +174,10 @@ def test_scores_are_bm25():
                 score += max(0.0, math.log((n - f + .5) / (f + .5))) * tf * 2.2 / (tf + 1.2 * (1 - .75 + .75 * len(u) / (total / n)))
             want.append(score)
         assert np.allclose(index.search(seed), want)
-    order = list(packing.neighbours(np.array(want), np.ones(n, bool), first=3))
-    assert order == sorted((i for i in range(n) if want[i] > 0), key=lambda i: (-want[i], i))
+    scores, size = np.array(want), np.array([len(u) for u in units])
+    for gap in (3, 20, 100):
+        fit = [i for i in range(n) if want[i] > 0 and size[i] <= gap]
+        assert packing.best_that_fits(scores, size, gap) == (min(fit, key=lambda i: (-want[i], i)) if fit else None)
 
 
 def test_a_window_holds_the_best_neighbours():
