@@ -7,7 +7,8 @@ sees a number of rows set by the model alone, picks the best cuts. An aggregate
 is not grown one level a job: the driver first guesses the tree on a bounded sample of rows, and
 asks for the histograms of the guessed leaves. A node's histogram is the sum of those of its leaves,
 so all levels at which the guess proves right are settled by one job; below a wrong cut the tree is
-guessed anew. Every cut is the best one over all rows, whatever was guessed. Gradients are rounded
+guessed anew. A guess is right if its gain over all rows is at most ``tolerance`` below that of the
+best cut over all rows, which is taken otherwise; 0 admits the best cut only. Gradients are rounded
 to integers before they are summed, so the sums, and with them the trees, do not depend on the order
 of tasks.
 
@@ -37,8 +38,8 @@ from pvseries.session import delete, scratch_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no installed copy of this module
 
 BLOCK_ROWS = 1 << 16
-REFRESH = 8  # trees between two writes of the margins
-GUESS_ROWS = 1 << 15
+REFRESH = 16  # trees between two writes of the margins
+GUESS_ROWS = 1 << 16
 _BLOCK = "block long, matrix binary, y binary, margin binary"
 
 
@@ -194,13 +195,15 @@ class _Fit:
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for number, matrix, y, margin in _blocks(batches, k):
-                at = np.flatnonzero(np.random.default_rng([seed, number]).random(len(y)) < chance)
+                at = np.flatnonzero(drawn(number * BLOCK_ROWS + np.arange(len(y)), chance, seed, -1))
                 yield pa.RecordBatch.from_pydict({"block": [number], "matrix": [matrix[:, at].tobytes()], "y": [y[at].tobytes()],
-                                                  "margin": [margin[at].tobytes()]})
+                                                  "margin": [margin[at].tobytes()], "at": [at.tobytes()]})
 
-        found = self.table().mapInArrow(draw, _BLOCK).toArrow().sort_by("block")
+        found = self.table().mapInArrow(draw, _BLOCK + ", at binary").toArrow().sort_by("block").combine_chunks()
         parts = list(_blocks(iter(found.to_batches()), k))
-        return _Guess(np.concatenate([p[1] for p in parts], 1), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), self.missing)
+        rows = [p[0] * BLOCK_ROWS + np.frombuffer(at, np.int64) for p, at in zip(parts, found.column("at").to_pylist())]
+        return _Guess(np.concatenate([p[1] for p in parts], 1), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]),
+                      np.concatenate(rows), self)
 
     def histograms(self, done: list[_Growing], tree: _Growing, nodes: list[int], number: int) -> tuple[np.ndarray, np.ndarray]:
         """(gradient sums, row counts) by (leaf among ``nodes``, drawn column, bin) over the drawn rows."""
@@ -212,9 +215,9 @@ class _Fit:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grads, counts = np.zeros(int(np.prod(shape)), np.int64), np.zeros(int(np.prod(shape)), np.int64)
             for block, matrix, y, margin in _blocks(batches, k):
-                drawn = np.random.default_rng([seed, number, block]).random(len(y)) < share
+                mine = drawn(block * BLOCK_ROWS + np.arange(len(y)), share, seed, number)
                 g = np.rint((_replayed(margin, matrix, done, missing) - y) * scale)
-                more = bin_sums(matrix, g, np.where(drawn, place[tree.leaves(matrix, missing)], -1), tree.columns, shape)
+                more = bin_sums(matrix, g, np.where(mine, place[tree.leaves(matrix, missing)], -1), tree.columns, shape)
                 grads, counts = grads + more[0].astype(np.int64), counts + more[1]  # below 2 ** 53 in a block: exact
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"cell": some, "g": grads[some], "n": counts[some]})
@@ -229,6 +232,14 @@ class _Fit:
         return out[0] / scale, out[1]
 
 
+def drawn(rows: np.ndarray, share: float, seed: int, number: int) -> np.ndarray:
+    """Which of the numbered rows a tree draws: told by the numbers alone, on every machine alike."""
+    x = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + number) % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(by)
+    return (x ^ x >> np.uint64(31)) >> np.uint64(11) < np.uint64(min(int(share * (1 << 53)), 1 << 53))
+
+
 def bin_sums(matrix: np.ndarray, g: np.ndarray, place: np.ndarray, columns: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Flat (gradient sums, row counts) by (place, column, bin) of the rows that have a place."""
     cells, at = int(np.prod(shape)), np.flatnonzero(place >= 0)
@@ -244,18 +255,19 @@ def bin_sums(matrix: np.ndarray, g: np.ndarray, place: np.ndarray, columns: np.n
 class _Guess:
     """A sample of the rows on the driver, to guess trees from."""
 
-    def __init__(self, matrix: np.ndarray, y: np.ndarray, margin: np.ndarray, missing: int):
-        self.matrix, self.y, self.margin, self.missing = matrix, y, margin, missing
+    def __init__(self, matrix: np.ndarray, y: np.ndarray, margin: np.ndarray, rows: np.ndarray, fit: _Fit):
+        self.matrix, self.y, self.margin, self.rows, self.missing, self.fit = matrix, y, margin, rows, fit.missing, fit
 
-    def extend(self, tree: _Growing, open_: list[int], depth: int, penalty: float, least: float) -> _Growing:
-        """A copy of ``tree`` with guessed cuts below the open nodes."""
+    def extend(self, tree: _Growing, number: int, open_: list[int], depth: int, penalty: float, least: float) -> _Growing:
+        """A copy of ``tree`` with cuts below the open nodes, guessed from the drawn ones of the rows."""
         bold = tree.copy()
-        g = self.margin - self.y
+        g = np.rint((self.margin - self.y) * self.fit.scale) / self.fit.scale
+        mine = drawn(self.rows, self.fit.share, self.fit.seed, number)
         while open_:
             place = np.full(len(bold.feature), -1, np.int64)
             place[open_] = np.arange(len(open_))
             shape = (len(open_), len(bold.columns), self.missing + 1)
-            grads, counts = bin_sums(self.matrix, g, place[bold.leaves(self.matrix, self.missing)], bold.columns, shape)
+            grads, counts = bin_sums(self.matrix, g, np.where(mine, place[bold.leaves(self.matrix, self.missing)], -1), bold.columns, shape)
             cuts = best_cuts(grads.reshape(shape), counts.reshape(shape).astype(float), penalty, least)
             after = []
             for j, i in enumerate(open_):
@@ -286,8 +298,12 @@ class _Cuts:
     left_n: np.ndarray
 
 
-def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float) -> _Cuts:
-    """From histograms (nodes, columns, bins), whose last bin holds the missing values."""
+def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float, liked: list[tuple | None] | None = None,
+              tolerance: float = 0.0) -> _Cuts:
+    """From histograms (nodes, columns, bins), whose last bin holds the missing values.
+
+    ``liked``: per node a (column, bin, missing left) that is taken if its gain is within the tolerance.
+    """
     gap_g, gap_n = g[:, :, -1:], n[:, :, -1:]
     run_g, run_n = g[:, :, :-1].cumsum(2), n[:, :, :-1].cumsum(2)
     all_g, all_n = run_g[:, :, -1:] + gap_g, run_n[:, :, -1:] + gap_n
@@ -297,6 +313,9 @@ def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float) -> _Cu
     gain = left_g ** 2 / (left_n + penalty) + right_g ** 2 / (right_n + penalty) - whole
     gain = np.where((left_n >= least) & (right_n >= least) & (gain > 1e-12 * np.maximum(1.0, whole)), gain, -np.inf)
     best, row = gain.reshape(len(g), -1).argmax(1), np.arange(len(g))
+    for j, like in enumerate(liked or []):
+        if like is not None and gain[(j, *like)] >= (1 - tolerance) * gain[j].flat[best[j]]:
+            best[j] = np.ravel_multi_index(like, gain.shape[1:])
     column, cut, side = np.unravel_index(best, gain.shape[1:])
     gains, lg, ln, rn = [a.reshape(len(g), -1)[row, best] for a in (gain, left_g, left_n, right_n)]
     gap = gap_n[row, column, 0] > 0
@@ -304,12 +323,12 @@ def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float) -> _Cu
 
 
 def _grow(fit: _Fit, guess: _Guess, done: list[_Growing], number: int, depth: int, columns: np.ndarray, rate: float, penalty: float,
-          least: float) -> _Growing:
+          least: float, tolerance: float) -> _Growing:
     tree = _Growing(depth, columns)
     totals: dict[int, tuple[float, float]] = {}
     open_ = [0]
     while open_:
-        bold = guess.extend(tree, open_, depth, penalty, least)
+        bold = guess.extend(tree, number, open_, depth, penalty, least)
         leaves = {i: bold.leaves_below(i) for i in open_}
         asked = [leaf for i in open_ for leaf in leaves[i]]
         g, n = fit.histograms(done, bold, asked, number)
@@ -321,7 +340,9 @@ def _grow(fit: _Fit, guess: _Guess, done: list[_Growing], number: int, depth: in
                 own = [at[leaf] for leaf in bold.leaves_below(i)]
                 sums.append((g[own].sum(0), n[own].sum(0)))
                 totals.setdefault(i, (sums[-1][0][0].sum(), sums[-1][1][0].sum()))
-            cuts = best_cuts(np.stack([x[0] for x in sums]), np.stack([x[1] for x in sums]), penalty, least)
+            liked = [(int(np.searchsorted(columns, bold.feature[i])), int(bold.cut[i]), 1 - int(bold.missing_left[i]))
+                     if bold.feature[i] >= 0 else None for i in open_]
+            cuts = best_cuts(np.stack([x[0] for x in sums]), np.stack([x[1] for x in sums]), penalty, least, liked, tolerance)
             after = []
             for j, i in enumerate(open_):
                 if not cuts.gain[j] > 0:
@@ -342,12 +363,12 @@ def _grow(fit: _Fit, guess: _Guess, done: list[_Growing], number: int, depth: in
 
 def fit_trees(train: DataFrame, features: Sequence[str], target: str, trees: int = 200, depth: int = 5, rate: float = 0.05,
               rows: float = 0.8, columns: float = 0.8, seed: int = 42, bins: int = 128, penalty: float = 1.0,
-              least: float = 1.0, guess_rows: int = GUESS_ROWS) -> TreeModel:
+              least: float = 1.0, guess_rows: int = GUESS_ROWS, tolerance: float = 0.1) -> TreeModel:
     """Squared-loss boosting from the mean target; every tree draws a share of the rows and of the columns.
 
     Rows without a target are left out, missing features (null or NaN) are not. A leaf holds the
     negative gradient sum over (rows + ``penalty``) times ``rate``. At most 255 bins. ``guess_rows`` bounds
-    (on average) the sample that trees are guessed from; it changes the number of jobs, not the trees.
+    (on average) the sample that trees are guessed from: a larger one takes fewer jobs.
     """
     spark, features = train.sparkSession, list(features)
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
@@ -368,7 +389,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], target: str, trees: int
     grown: list[_Growing] = []
     for k in range(trees):
         chosen = np.sort(draw.choice(len(features), some, replace=False))
-        done.append(_grow(fit, guess, done, k, depth, chosen, rate, penalty, least))
+        done.append(_grow(fit, guess, done, k, depth, chosen, rate, penalty, least, tolerance))
         grown.append(done[-1])
         guess.add(done[-1])
         if len(done) == REFRESH and k < trees - 1:

