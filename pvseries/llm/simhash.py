@@ -14,8 +14,7 @@ the links there, at most one link per member, never all pairs. A key with very m
 to a second round, split by exact blocks of the fingerprint (of distance + 2 blocks, two agree).
 
 ``halves`` = 2 uses two fingerprints of each text (two seeds): keys of either half are
-candidates, and the distance counts all 128 bits. The filter ``keep_one`` doesn't use fingerprints: it
-links by exact shingle similarity (``shingles``).
+candidates, and the distance counts all 128 bits. The filter ``keep_one`` keeps one row of each component.
 
 Defined cases: a null or empty text has fingerprint 0 and is linked like any other; repeated rows
 and null keys give one row each; a component without any key has a null id; an empty table gives
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 
 from pvseries.llm.common import map_arrow, raw, rows
 from pvseries.llm.components import components
-from pvseries.llm.shingles import hashes, surplus
 from pvseries.sources.tables import materialise
 
 SEED = 42
@@ -44,6 +42,20 @@ _GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 _SMALL, _DENSE, _OVERFLOW = 64, 4096, 1 << 18
 
 
+def hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """A hash of each run of words, with repeats; of the whole text where it has fewer words."""
+    import xxhash
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    body = b" ".join(w)
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    last = ends[words - 1:] if len(w) > words else ends[-1:]
+    first = np.r_[0, ends[:len(last) - 1] + 1]
+    return np.fromiter((xxhash.xxh64_intdigest(body[a:b], seed) for a, b in zip(first.tolist(), last.tolist())),
+                       np.uint64, len(last))
+
+
 def fingerprint(text: bytes, words: int = 4, seed: int = SEED) -> int:
     h = hashes(text, words, seed)
     if not len(h):
@@ -287,16 +299,16 @@ def near_duplicates(df: DataFrame, words: int = 4, most: int = 4, halves: int =
                       F.col("component").alias("component_id"))
 
 
-def keep_one(df: DataFrame, words: int = 5, least: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, words: int = 4, most: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The table with one row of each component: the one with the least key, the first of equal ones.
 
-    Links are pairs of texts whose sets of ``words``-word shingles have a similarity of ``least`` percent or more,
-    compared exactly. A cutoff of fingerprint bits can't tell that: at 0.8 the distance scatters around 19 of 128.
+    Components are those of :func:`near_duplicates`: fingerprints of ``words``-word shingles, linked at ``most`` or
+    fewer differing bits.
     """
     columns = df.columns
     body = materialise(df.select(F.monotonically_increasing_id().alias("__uid"), *[F.col(f"`{c}`") for c in columns]), "numbered")
     # Null keys come last, so that a row with a key is kept where there is one.
     order = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").cast("long").alias("k"), F.col("__uid").alias("u"))
-    dropped = surplus(body.select(F.col("__uid").alias("uid"), order.alias("o"), F.col(f"`{text}`").alias("text")), words, least)
-    dropped = dropped.select(F.col("uid").alias("__uid"))
+    printed = materialise(fingerprints(body.select(order.alias("o"), F.col(f"`{text}`").alias("text")), words, 1, ["o"]), "fingerprints")
+    dropped = grouped(printed, most, 1, "o").where("o.u <> component.u").select(F.col("o.u").alias("__uid"))
     return body.join(materialise(dropped, "dropped"), "__uid", "left_anti").drop("__uid")
