@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pvseries.operators.clean import dedupe_first
@@ -35,6 +35,25 @@ def join_audit(primary: DataFrame, other: DataFrame, on: Sequence[str]) -> DataF
         count(F.when(present & F.col("r").isNull(), F.col("l"))).alias("unmatched_rows"))
 
 
+def write_joined(primary: DataFrame, other: DataFrame, on: Sequence[str], path: str) -> DataFrame:
+    """Write the left join and return its audit, as :func:`join_audit` gives it, from the same pass.
+
+    The counts are observed while the joined rows are written, so neither side is read again. A lost
+    executor can make Spark observe the rows of a repeated task twice; where the figures must hold even
+    then, use :func:`join_audit`.
+    """
+    spark, hit = primary.sparkSession, "__hit"
+    seen = {name: Observation(name) for name in ("primary", "other", "joined")}
+    count = F.count(F.lit(1)).alias("n")
+    right = other.withColumn(hit, F.lit(True)).observe(seen["other"], count)
+    joined = join_sources(primary.observe(seen["primary"], count), right, on)
+    joined = joined.observe(seen["joined"], count, F.count_if(F.col(hit).isNull()).alias("unmatched"))
+    joined.drop(hit).write.mode("overwrite").parquet(path)
+    told = {name: o.get for name, o in seen.items()}
+    row = (told["primary"].get("n", 0), told["other"].get("n", 0), told["joined"].get("n", 0), told["joined"].get("unmatched", 0))
+    return spark.createDataFrame([row], "primary_rows long, other_rows long, joined_rows long, unmatched_rows long")
+
+
 def unmatched(primary: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     """Primary rows with no match."""
     return primary.join(other.select(*on), list(on), "left_anti")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +83,9 @@ def _transform(df: DataFrame, params: DataFrame, keys: Sequence[str], fn,
     features = [c for c in df.columns if c not in keys] if columns is None else list(columns)
     of = columns or {c: c for c in features}
     names = {r["feature"] for r in params.select("feature").distinct().collect()}
-    joined = df.join(table, list(keys), "left")
+    renamed = table.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], "__fit")
+    # Rows without a site were fitted as one group, so missing keys are equal here too.
+    joined = df.join(renamed, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]), "left")
     out = []
     for c in df.columns:
         if c in of and of[c] in names:

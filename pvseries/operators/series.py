@@ -11,8 +11,10 @@ most two rows per chunk, and one more per chunk inside a long site.
 Values needed from later rows come from a second window in descending order. A frame that
 reaches forward to the end of the partition would be recomputed for every row.
 
-Rows that are equal in site, time and ties stay in one chunk: give tie columns that tell rows
-apart where many rows share a stamp.
+Rows that are equal in site, time and ties are told apart by their place in the input, so any number
+of them is cut like other rows. The saved chunks are the only table that an operator writes: borders
+are summed up from them, and what is carried across a border from columns that were computed here is
+computed once more for it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pvseries.config import SplitSpec
 from pvseries.functions.calendar import micros
 from pvseries.sources.tables import materialise
 
-_CHUNK = "__chunk"
+_CHUNK, _PLACE = "__chunk", "__place"
 
 
 class Chunked:
@@ -38,10 +40,10 @@ class Chunked:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (),
                  chunks: int | None = None):
-        self.keys, self.ts, self.ties, self.columns = list(keys), ts, list(ties), df.columns
-        order = [*self.keys, ts, *self.ties]
-        ranged = df.repartitionByRange(*([chunks] if chunks else []), *order)
-        self.df, self.saved = materialise(ranged.withColumn(_CHUNK, F.spark_partition_id()), "series"), True
+        self.keys, self.ts, self.ties, self.columns = list(keys), ts, [*ties, _PLACE], df.columns
+        ranged = df.withColumn(_PLACE, F.monotonically_increasing_id()).repartitionByRange(
+            *([chunks] if chunks else []), *self.keys, ts, *self.ties)
+        self.df = materialise(ranged.withColumn(_CHUNK, F.spark_partition_id()), "series")
 
     @property
     def parts(self) -> list[str]:
@@ -64,22 +66,23 @@ class Chunked:
         return Window.partitionBy(*self.parts)
 
     # chunk-level carry -------------------------------------------------------
-    def carry(self, totals: Mapping[str, Column], carried: Mapping[str, Column]) -> "Chunked":
+    def carry(self, totals: Mapping[str, Column], carried: Mapping[str, Column],
+              first: Mapping[str, Column] | None = None) -> "Chunked":
         """Join one row per chunk of a site that straddles a border back to its rows.
 
         ``totals`` are aggregates per chunk; ``carried`` are expressions over those totals,
-        evaluated across the chunks of a site. Sites inside one chunk receive nulls.
+        evaluated across the chunks of a site, after those of ``first``. Sites inside one chunk
+        receive nulls.
         """
-        kept = self if self.saved else self.with_df(materialise(self.df, "series"), True)
-        per_chunk = kept.df.groupBy(*self.keys, _CHUNK).agg(*[agg.alias(name) for name, agg in totals.items()])
+        per_chunk = self.df.groupBy(*self.keys, _CHUNK).agg(*[agg.alias(name) for name, agg in totals.items()])
         names = {k: f"__key{i}" for i, k in enumerate(self.keys)}
-        table = per_chunk.select(
+        table = per_chunk.withColumns(dict(first or {})).select(
             *[F.col(k).alias(n) for k, n in names.items()], F.col(_CHUNK).alias("__of"),
             *[c.alias(n) for n, c in carried.items()], F.count(F.lit(1)).over(self.all_chunks()).alias("__several"),
         ).filter("__several > 1").drop("__several")
-        same = reduce(lambda a, b: a & b, [kept.df[k].eqNullSafe(table[n]) for k, n in names.items()],
-                      kept.df[_CHUNK] == table["__of"])
-        return self.with_df(kept.df.join(table, same, "left").drop("__of", *names.values()))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()],
+                      F.col(_CHUNK) == F.col("__of"))
+        return self.with_df(self.df.join(table, same, "left").drop("__of", *names.values()))
 
     def earlier_chunks(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(
@@ -93,9 +96,9 @@ class Chunked:
         return Window.partitionBy(*self.keys)
 
     # plumbing ----------------------------------------------------------------
-    def with_df(self, df: DataFrame, saved: bool = False) -> "Chunked":
+    def with_df(self, df: DataFrame) -> "Chunked":
         other = object.__new__(Chunked)
-        other.__dict__.update(self.__dict__, df=df, saved=saved)
+        other.__dict__.update(self.__dict__, df=df)
         return other
 
     def with_columns(self, columns: Mapping[str, Column]) -> "Chunked":
@@ -175,23 +178,30 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
     ``then_fill`` the rest is forward- and then backward-filled. ``max_gap`` leaves runs of
     more missing rows than that untouched by the interpolation.
     """
-    s = Chunked(df, keys, ts, ties, chunks).positioned("__pos")
+    s = Chunked(df, keys, ts, ties, chunks)
     now, pos = micros(ts), F.col("__pos")
 
-    def knot(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(),
-                      F.struct(pos.alias("p"), now.alias("t"), F.col(c).alias("v")))
+    def knot(c: str, place: Column) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(place.alias("p"), now.alias("t"), F.col(c).alias("v")))
 
-    totals, carried = {}, {}
+    def moved(k: str) -> Column:
+        """A chunk's knot with its place in the whole site."""
+        return F.when(F.col(k).isNotNull(), F.struct((F.col(k)["p"] + F.col("__start")).alias("p"), F.col(k)["t"].alias("t"),
+                                                     F.col(k)["v"].alias("v")))
+
+    s = s.with_columns({"__here": F.row_number().over(s.window()) - 1})
+    totals, carried = {"__rows": F.count(F.lit(1))}, {"__before": F.col("__start")}
     for i, c in enumerate(cols):
-        totals |= {f"__hi{i}": F.max(knot(c)), f"__lo{i}": F.min(knot(c))}
-        carried |= {f"__cp{i}": F.last(f"__hi{i}", True).over(s.earlier_chunks()),
-                    f"__cn{i}": F.last(f"__lo{i}", True).over(s.later_chunks())}
-    s = s.carry(totals, carried)
+        totals |= {f"__hi{i}": F.max(knot(c, F.col("__here"))), f"__lo{i}": F.min(knot(c, F.col("__here")))}
+        carried |= {f"__cp{i}": F.last(moved(f"__hi{i}"), True).over(s.earlier_chunks()),
+                    f"__cn{i}": F.last(moved(f"__lo{i}"), True).over(s.later_chunks())}
+    # One merge of the borders for all that the operator needs: rows, and the known values around.
+    s = s.carry(totals, carried, {"__start": F.coalesce(F.sum("__rows").over(s.earlier_chunks()), F.lit(0))})
+    s = s.with_columns({"__pos": F.col("__here") + F.coalesce("__before", F.lit(0))})
     # Forward windows share the sort of the positions, backward ones that of the fill below.
-    s = s.with_columns({f"__p{i}": F.coalesce(F.last(knot(c), True).over(s.up_to_here()),
+    s = s.with_columns({f"__p{i}": F.coalesce(F.last(knot(c, pos), True).over(s.up_to_here()),
                                               f"__cp{i}") for i, c in enumerate(cols)})
-    s = s.with_columns({f"__n{i}": F.coalesce(F.last(knot(c), True).over(s.back_to_here()),
+    s = s.with_columns({f"__n{i}": F.coalesce(F.last(knot(c, pos), True).over(s.back_to_here()),
                                               f"__cn{i}") for i, c in enumerate(cols)})
 
     filled = {}
@@ -211,7 +221,7 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
                      .when(before.isNotNull(), F.when(near_left, before["v"])))
     s = s.with_columns(filled)
     spare = [f"{p}{i}" for i in range(len(cols)) for p in ("__cp", "__cn", "__p", "__n")]
-    s = s.with_df(s.df.drop("__pos", *spare))
+    s = s.with_df(s.df.drop("__pos", "__here", "__before", *spare))
     return (_fill_both_ways(s, cols) if then_fill else s).done()
 
 

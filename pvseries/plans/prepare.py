@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pvseries.config import ModelSpec
 from pvseries.functions import calendar as cal
 from pvseries.operators import checks, clean, scaling, series
+from pvseries.session import delete
 from pvseries.sources import artifacts
 from pvseries.sources.tables import materialise
 
@@ -54,14 +57,38 @@ def prepare(df: DataFrame, spec: ModelSpec, daytime_only: bool = True, min_quali
                     checks.window_checks(windows, spec.min_train, spec.min_train_inclusive))
 
 
+def publish_windows(windows: DataFrame, params: DataFrame, root: str, min_train: int = 1000,
+                    inclusive: bool = False, extras: Callable[[str], None] | None = None) -> tuple[str, dict]:
+    """Write, audit, publish: (folder, check row) of a new version under ``root``.
+
+    Windows and scalers go to a folder that no reader knows. The checks run on what was written, so
+    nothing is evaluated twice and nothing unchecked can be read. A version that passes is completed by
+    ``extras``, which gets its folder, and published by one rename of the manifest; one that fails is
+    deleted, and the version before it stays.
+    """
+    spark, version = windows.sparkSession, uuid.uuid4().hex
+    staged = f"{root}/versions/{version}"
+    try:
+        artifacts.write_windows(windows, f"{staged}/windows")
+        artifacts.write_scalers(params, f"{staged}/scalers")
+        result = checks.gate(checks.window_checks(artifacts.read_windows(spark, f"{staged}/windows"), min_train, inclusive))
+        if extras:
+            extras(staged)
+    except Exception:
+        delete(spark, staged)
+        raise
+    artifacts.publish_version(spark, root, version)
+    return staged, result
+
+
 def write_prepared(prepared: Prepared, path: str) -> dict:
-    """Write windows, scalers, metadata and feature groups once every check has passed."""
-    result = checks.gate(prepared.checks)
+    """Publish windows, scalers, metadata and feature groups as a version, once every check has passed on the written windows."""
     spec, spark = prepared.spec, prepared.windows.sparkSession
-    artifacts.write_windows(prepared.windows, f"{path}/windows")
-    artifacts.write_scalers(prepared.params, f"{path}/scalers")
-    written = artifacts.read_windows(spark, f"{path}/windows")
-    artifacts.write_json(artifacts.run_metadata(written, spec.features, spec.target, spec.window.lookback,
-                                                spec.window.horizon), f"{path}/metadata")
-    artifacts.write_json(artifacts.feature_info_row(spark, spec.groups, spec.target), f"{path}/feature_info")
-    return result
+
+    def describe(folder: str) -> None:
+        written = artifacts.read_windows(spark, f"{folder}/windows")
+        artifacts.write_json(artifacts.run_metadata(written, spec.features, spec.target, spec.window.lookback,
+                                                    spec.window.horizon), f"{folder}/metadata")
+        artifacts.write_json(artifacts.feature_info_row(spark, spec.groups, spec.target), f"{folder}/feature_info")
+
+    return publish_windows(prepared.windows, prepared.params, path, spec.min_train, spec.min_train_inclusive, describe)[1]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pvseries.operators import joins
 from pvseries.queries.base import query, rounded
+from pvseries.session import scratch_path
 
 _HOURLY_SQL = """
 l AS (SELECT user_id AS site, date_trunc('hour', ts) AS ts, avg(value) AS p FROM events GROUP BY ALL),
@@ -36,6 +37,15 @@ def join_audit(t):
     return joins.join_audit(*_sources(t), ["site", "ts"])
 
 
+@query("join_audit_observed", f"""
+WITH {_HOURLY_SQL} SELECT (SELECT count(*) FROM l) AS primary_rows, (SELECT count(*) FROM r) AS other_rows,
+ count(*) AS joined_rows, count(*) FILTER (r.ts IS NULL) AS unmatched_rows
+FROM l LEFT JOIN r ON l.site = r.site AND l.ts = r.ts""")
+def join_audit_observed(t):
+    """The audit of a join that is written: one read of either side."""
+    return joins.write_joined(*_sources(t), ["site", "ts"], scratch_path(t.spark, "joined"))
+
+
 @query("join_unmatched_head", f"""
 WITH {_HOURLY_SQL} SELECT site, ts FROM l ANTI JOIN r USING (site, ts) ORDER BY ts, site LIMIT 5""")
 def join_unmatched_head(t):

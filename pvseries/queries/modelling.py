@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pvseries.config import MINMAX, STANDARD, FeatureGroup
 from pvseries.operators import attribution, boosting, checks, metrics, models, scaling, series
 from pvseries.operators import distributions as dist
+from pvseries.plans import prepare
 from pvseries.queries.base import MODEL_ROWS_SQL, model_rows, query, rounded
 from pvseries.session import exists, fingerprint, run_dir, scratch_path
+from pvseries.sources import artifacts
 from pvseries.sources.tables import materialise
 
 GROUPS = (FeatureGroup("spatial", ("value",), MINMAX), FeatureGroup("temporal", ("k",), STANDARD),
@@ -38,20 +40,25 @@ def split_rows(t):
     return series.chrono_split(model_rows(t), ["site"], "ts")
 
 
+def fit_params(t):
+    """Scaler parameters straight from the split plan: one aggregate."""
+    return scaling.fit_scalers(split_rows(t).filter("split = 'train'"), GROUPS)
+
+
 def fitted(t):
-    """The split rows and their scaler parameters, both saved: readers of either start no fit again."""
+    """The split rows and their scaler parameters, both saved, for queries that read both."""
     rows = materialise(split_rows(t), "split")
     return rows, materialise(scaling.fit_scalers(rows.filter("split = 'train'"), GROUPS), "scalers")
 
 
 @query("fit_minmax", f"WITH {_FIT_SQL} {_ROUND_PARAMS} WHERE kind = 'minmax'")
 def fit_minmax(t):
-    return rounded(fitted(t)[1].filter("kind = 'minmax'"))
+    return rounded(fit_params(t).filter("kind = 'minmax'"))
 
 
 @query("fit_standard", f"WITH {_FIT_SQL} {_ROUND_PARAMS} WHERE kind = 'standard'")
 def fit_standard(t):
-    return rounded(fitted(t)[1].filter("kind = 'standard'"))
+    return rounded(fit_params(t).filter("kind = 'standard'"))
 
 
 @query("fit_per_site", f"""
@@ -67,7 +74,7 @@ def fit_per_site(t):
 WITH {_FIT_SQL} SELECT feature, "group", kind, round(data_min, 2) AS data_min, round(data_max, 2) AS data_max,
  round(mean, 2) AS mean, round(std, 2) AS std FROM pa""")
 def scaler_report(t):
-    return scaling.scaler_report(fitted(t)[1])
+    return scaling.scaler_report(fit_params(t))
 
 
 @query("apply_scaling", f"WITH {_FIT_SQL} SELECT site, ts, split, {_SCALED_SQL} FROM m")
@@ -113,6 +120,55 @@ def window_checks(t):
     return checks.window_checks(scaled_windows(t)[0])
 
 
+@query("per_site_scaling", f"""
+WITH {MODEL_ROWS_SQL}, s AS (SELECT CASE WHEN site % 5 > 0 THEN site END AS site, ts, split, value, hour FROM m),
+p AS (SELECT site, min(value) AS v0, max(value) AS v1, min(hour) AS h0, max(hour) AS h1 FROM s WHERE split = 'train' GROUP BY 1)
+SELECT s.site, s.ts, s.split, round((value - v0) / (v1 - v0), 6) AS value, round(2 * (hour - h0) / (h1 - h0) - 1, 6) AS hour
+FROM s LEFT JOIN p ON s.site IS NOT DISTINCT FROM p.site""")
+def per_site_scaling(t):
+    """Scalers per site; every fifth site is unknown, and its rows are fitted and scaled as one."""
+    rows = materialise(split_rows(t), "split").withColumn("site", F.when(F.col("site") % 5 > 0, F.col("site")))
+    groups = (FeatureGroup("spatial", ("value",), MINMAX), FeatureGroup("angle", ("hour",), MINMAX, -1.0, 1.0))
+    params = materialise(scaling.fit_scalers(rows.filter("split = 'train'"), groups, ["site"]), "scalers")
+    return rounded(scaling.apply_scaling(rows, params, ["site"]).select("site", "ts", "split", "value", "hour"))
+
+
+@query("window_stats", f"""
+WITH {MODEL_ROWS_SQL}, b AS (SELECT site, split, ts, k, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS value FROM m),
+w AS (SELECT split, value AS y, row_number() OVER o AS i, lag(value, 1) OVER o AS a, lag(value, 2) OVER o AS c,
+ coalesce(isfinite(value), false) AS good FROM b WINDOW o AS (PARTITION BY site, split ORDER BY ts))
+SELECT split, count(*) AS n, count(*) FILTER (NOT (coalesce(isfinite(a), false) AND coalesce(isfinite(c), false))) AS bad_x,
+ count(*) FILTER (NOT good) AS bad_y, min(y) AS y_min, max(y) AS y_max FROM w WHERE i > 2 GROUP BY 1""")
+def window_stats(t):
+    """Windows with missing and infinite values in them."""
+    value = F.when(F.col("k") % 7 == 0, None).when(F.col("k") % 11 == 0, float("inf")).otherwise(F.col("value"))
+    rows = split_rows(t).withColumn("value", value)
+    w = series.lookback_windows(rows, ["site"], "ts", ["value", "k"], "value", 2)
+    return checks.window_stats(w).select("split", "n", "bad_x", "bad_y", "y_min", "y_max")
+
+
+@query("publish_gate", f"""
+WITH {MODEL_ROWS_SQL}, w AS (SELECT split, row_number() OVER (PARTITION BY site, split ORDER BY ts) AS i FROM m),
+g AS (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test
+ FROM w WHERE i > 2)
+SELECT attempt, CASE WHEN attempt > 1 THEN train END AS train, CASE WHEN attempt > 1 THEN val END AS val,
+ CASE WHEN attempt > 1 THEN test END AS test FROM g, (SELECT unnest([1, 2, 3]) AS attempt)""")
+def publish_gate(t):
+    """What readers find after a bad set of windows, a good one, and a bad one again."""
+    w, params = scaled_windows(t)
+    root, told = scratch_path(t.spark, "published"), []
+    for attempt, rows in enumerate((w.withColumn("y", F.col("y") + 10), w, w.withColumn("y", F.col("y") - 10)), 1):
+        try:
+            prepare.publish_windows(rows, params, root, min_train=10)
+        except ValueError:
+            pass
+        folder = artifacts.published_version(t.spark, root)
+        sizes = [F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")]
+        found = artifacts.read_windows(t.spark, f"{folder}/windows").agg(*sizes).first() if folder else (None, None, None)
+        told.append((attempt, *found))
+    return t.spark.createDataFrame(told, "attempt int, train long, val long, test long")
+
+
 # -- metrics ----------------------------------------------------------------------
 
 def _linear(t):
@@ -223,18 +279,16 @@ def _whole(c):
 
 @query("gbt_forecast_metrics", f"""
 WITH {_HOLDOUT_SQL} SELECT l_quantity > 25 AS much, l_discount > 0.055 AS reduced, ship_day IS NULL AS no_day, count(target) AS n,
- count(*) FILTER (target IS NULL) AS n_missing, (4 * round(min({TARGET}) / 4.0))::BIGINT AS yhat_lo, (4 * round(max({TARGET}) / 4.0))::BIGINT AS yhat_hi,
+ count(*) FILTER (target IS NULL) AS n_missing, round(avg({TARGET}))::BIGINT AS yhat,
  (stddev_pop(target) + avg(target) - min({TARGET}))::BIGINT AS rmse FROM test GROUP BY 1, 2, 3""")
 def gbt_forecast_metrics(t):
-    """Per combination of steps: rows, the least and the largest prediction to the nearest 4 (all targets are
-    multiples of it), and the error as a whole number."""
+    """Per combination of steps, which has one target: rows, mean prediction and error, as whole numbers."""
     model, test, _ = _study(t)
     scored = boosting.predict(model, test.withColumns({
         "much": F.expr("l_quantity > 25"), "reduced": F.expr("l_discount > 0.055"), "no_day": F.expr("ship_day IS NULL")}))
     cell = ["much", "reduced", "no_day"]
     told = metrics.regression_metrics(scored, "target", by=cell).select(*cell, "n", "n_missing", _whole("rmse").alias("rmse"))
-    span = scored.groupBy(*cell).agg((4 * _whole(F.min("yhat") / 4)).alias("yhat_lo"), (4 * _whole(F.max("yhat") / 4)).alias("yhat_hi"))
-    return told.join(span, cell)
+    return told.join(scored.groupBy(*cell).agg(_whole(F.avg("yhat")).alias("yhat")), cell)
 
 
 @query("tree_attributions", f"""

@@ -10,6 +10,7 @@ from pvseries.operators import clean
 from pvseries.operators import distributions as dist
 from pvseries.operators import profile as prof
 from pvseries.queries.base import query, rounded
+from pvseries.sources.tables import materialise
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _SEASON_SQL = """CASE WHEN month(l_shipdate) IN (12,1,2) THEN 'Winter' WHEN month(l_shipdate) IN (3,4,5) THEN 'Summer'
@@ -232,6 +233,20 @@ def kde_curve(t):
     return out.select("point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
+@query("kde_by_flag", """
+WITH d AS (SELECT (hour(ts) BETWEEN 6 AND 17)::INTEGER AS is_day, value FROM events),
+s AS (SELECT is_day, min(value) AS lo, max(value) AS hi, count(*) AS n, stddev_samp(value) * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS bw FROM d GROUP BY 1),
+b AS (SELECT is_day, floor((value - lo) / bw * 32)::BIGINT AS cell, count(*) AS w, avg(value) AS m FROM d JOIN s USING (is_day) GROUP BY 1, 2),
+g AS (SELECT is_day, p::INTEGER AS point, lo + p * ((hi - lo) / 99) AS x, n, bw FROM range(100) r(p), s)
+SELECT is_day, point, round(x, 6) AS x, round(sum(w * exp(-0.5 * pow((x - m) / bw, 2)) / (bw * sqrt(2 * pi()))) / any_value(n), 8) AS density
+FROM g JOIN b USING (is_day) GROUP BY 1, 2, 3""")
+def kde_by_flag(t):
+    """Night against day, both on a grid of their own."""
+    df = t.events.select(F.hour("ts").between(6, 17).cast("int").alias("is_day"), "value")
+    out = dist.kde_curve(df, "value", ["is_day"], grid=100)
+    return out.select("is_day", "point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
 @query("box_stats", f"""
 WITH d AS (SELECT {_SEASON_SQL} AS season, l_extendedprice AS v FROM lineitem),
 q AS (SELECT season, count(v) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
@@ -283,6 +298,37 @@ def regression_line(t):
                       F.round("r2", 9).alias("r2"), "n")
 
 
+_BAND_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("regression_band", f"""
+WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, concat_ws('|', {', '.join(_BAND_KEY)}, 42) AS k FROM lineitem),
+h AS (SELECT x, y, h.b, md5(concat_ws('|', k, h.b)) AS m FROM r, range(3) h(b)),
+u AS (SELECT x, y, h.b * 14 + d.i AS sample, ('0x' || substr(m, (2 * d.i + 1)::INTEGER, 2))::INTEGER AS u FROM h, range(14) d(i)
+ WHERE h.b * 14 + d.i < 32),
+w AS (SELECT x, y, sample, (u >= 94)::INT + (u >= 188)::INT + (u >= 235)::INT + (u >= 251)::INT + (u >= 255)::INT AS w FROM u),
+m AS (SELECT sample, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY 1),
+l AS (SELECT sample, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS a, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS b FROM m),
+g AS (SELECT p::INTEGER AS point, lo + p * (hi - lo) / 9 AS x, a * (lo + p * (hi - lo) / 9) + b AS yhat FROM range(10) t(p),
+ (SELECT min(x) AS lo, max(x) AS hi, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r)),
+o AS (SELECT point, x, yhat, list_sort(list(a * x + b)) AS v FROM g, l GROUP BY 1, 2, 3)
+SELECT point, round(x, 6) AS x, round(yhat, 3) AS yhat, round(v[1 + 1], 3) AS lo, round(v[32 - 1], 3) AS hi FROM o""")
+def regression_band(t):
+    """Ten points, 32 resamples: with a level of 0.9 the second line from either end."""
+    out = dist.regression_band(t.lineitem, "l_quantity", "l_extendedprice", _BAND_KEY, samples=32, grid=10, level=0.9)
+    return out.select("point", F.round("x", 6).alias("x"), *[F.round(c, 3).alias(c) for c in ("yhat", "lo", "hi")])
+
+
+@query("distinct_sketches", """
+SELECT year(l_shipdate)::INTEGER AS year, 'l_suppkey' AS "column", count(DISTINCT l_suppkey) AS n_distinct FROM lineitem GROUP BY 1
+UNION ALL SELECT year(l_shipdate)::INTEGER, 'l_quantity', count(DISTINCT l_quantity) FROM lineitem GROUP BY 1""")
+def distinct_sketches(t):
+    """Stored per site and year, then merged to years; counts this small beside the sketch are exact."""
+    rows = t.lineitem.select(F.col("l_returnflag").alias("site"), F.year("l_shipdate").alias("year"), "l_suppkey", "l_quantity")
+    held = materialise(prof.distinct_sketches(rows, ["l_suppkey", "l_quantity"], ["site", "year"], precision=16), "sketches")
+    return prof.merged_distinct(held, ["year"])
+
+
 @query("seeded_sample", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
 ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, 42)), l_orderkey, l_linenumber LIMIT 2000""")

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from pvseries.operators import clean, metrics
 from pvseries.queries.base import MODEL_ROWS_SQL, query, rounded
-from pvseries.queries.modelling import (_FIT_SQL, _ROUND_PARAMS, METRICS_BY_SPLIT_SQL, fitted, persistence)
+from pvseries.queries.modelling import (_FIT_SQL, _ROUND_PARAMS, METRICS_BY_SPLIT_SQL, fit_params, persistence)
 from pvseries.queries.sequences import _flat, windows
 from pvseries.session import scratch_path
 from pvseries.sources import artifacts, nested_json, probe, tables
@@ -118,7 +118,7 @@ def windows_roundtrip(t):
 @query("scaler_params", f"WITH {_FIT_SQL} {_ROUND_PARAMS}")
 def scaler_params(t):
     path = scratch_path(t.spark, "scalers")
-    artifacts.write_scalers(fitted(t)[1], path)
+    artifacts.write_scalers(fit_params(t), path)
     return rounded(artifacts.read_scalers(t.spark, path))
 
 

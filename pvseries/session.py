@@ -81,6 +81,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small text file by the rename of a finished one: no reader sees a part of it. Needs one writer at a time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    files, place = _files(spark, path)
+    draft = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(draft), files.makeQualified(place), options)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A checksum of the names, sizes and times of a table's files: it changes when the table does."""
     files, place = _files(spark, path)

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvseries.config import FeatureGroup, ModelSpec
+from pvseries.config import FeatureGroup
+from pvseries.session import exists, write_text
 from pvseries.sources.tables import write_table
 
 
@@ -31,9 +32,16 @@ def read_scalers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def feature_info(spec: ModelSpec) -> dict[str, list[str] | str]:
-    out: dict = {f"{g.name}_features": list(g.features) for g in spec.groups}
-    return out | {"target": spec.target}
+def publish_version(spark: SparkSession, root: str, version: str) -> None:
+    """Make a finished version the one that readers get: its name replaces the one in the manifest."""
+    write_text(spark, f"{root}/manifest", version)
+
+
+def published_version(spark: SparkSession, root: str) -> str | None:
+    """The folder of the published version, or None before the first one."""
+    if not exists(spark, f"{root}/manifest"):
+        return None
+    return f"{root}/versions/{spark.read.text(f'{root}/manifest').first()[0]}"
 
 
 def run_metadata(windows: DataFrame, features: Sequence[str], target: str, lookback: int, horizon: int,

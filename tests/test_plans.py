@@ -149,6 +149,7 @@ def test_prepare_reproduces_the_known_window_counts(spark):
     if row.passed:
         path = scratch_path(spark, "prepared")
         prepare.write_prepared(done, path)
+        path = artifacts.published_version(spark, path)
         assert artifacts.read_windows(spark, f"{path}/windows", "test").count() == 877
         meta = spark.read.json(f"{path}/metadata").first()
         assert (meta.train_size, meta.n_features, meta.target_column) == (6148, 18, "P")
@@ -163,8 +164,9 @@ def test_gate_blocks_a_small_set(spark):
     path = scratch_path(spark, "blocked")
     with pytest.raises(ValueError, match="enough_train"):
         prepare.write_prepared(done, path)
+    assert artifacts.published_version(spark, path) is None
     with pytest.raises(Exception):
-        spark.read.parquet(f"{path}/windows").count()
+        spark.read.parquet(f"{path}/versions/*/windows").count()
 
 
 def test_scaling_round_trip_and_no_leakage(spark):
