@@ -268,10 +268,10 @@ class _Guess:
             place[open_] = np.arange(len(open_))
             shape = (len(open_), len(bold.columns), self.missing + 1)
             grads, counts = bin_sums(self.matrix, g, np.where(mine, place[bold.leaves(self.matrix, self.missing)], -1), bold.columns, shape)
-            cuts = best_cuts(grads.reshape(shape), counts.reshape(shape).astype(float), penalty, least)
+            cuts = best_cuts(grads.reshape(shape), counts.reshape(shape).astype(float), penalty, least, eager=True)
             after = []
             for j, i in enumerate(open_):
-                if cuts.gain[j] > 0:
+                if cuts.gain[j] > -np.inf:  # too many cuts cost nothing: those that gain too little over all rows are not made
                     bold.split(i, cuts, j)
                     after += [2 * i + 1, 2 * i + 2]
             open_ = [i for i in after if _level(i) < depth]
@@ -299,10 +299,11 @@ class _Cuts:
 
 
 def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float, liked: list[tuple | None] | None = None,
-              tolerance: float = 0.0) -> _Cuts:
+              tolerance: float = 0.0, eager: bool = False) -> _Cuts:
     """From histograms (nodes, columns, bins), whose last bin holds the missing values.
 
     ``liked``: per node a (column, bin, missing left) that is taken if its gain is within the tolerance.
+    ``eager``: a cut may have any gain, not only one above rounding.
     """
     gap_g, gap_n = g[:, :, -1:], n[:, :, -1:]
     run_g, run_n = g[:, :, :-1].cumsum(2), n[:, :, :-1].cumsum(2)
@@ -311,7 +312,7 @@ def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float, liked:
     right_g, right_n = all_g[..., None] - left_g, all_n[..., None] - left_n
     whole = (all_g ** 2 / (all_n + penalty))[..., None]
     gain = left_g ** 2 / (left_n + penalty) + right_g ** 2 / (right_n + penalty) - whole
-    gain = np.where((left_n >= least) & (right_n >= least) & (gain > 1e-12 * np.maximum(1.0, whole)), gain, -np.inf)
+    gain = np.where((left_n >= least) & (right_n >= least) & (eager | (gain > 1e-12 * np.maximum(1.0, whole))), gain, -np.inf)
     best, row = gain.reshape(len(g), -1).argmax(1), np.arange(len(g))
     for j, like in enumerate(liked or []):
         if like is not None and gain[(j, *like)] >= (1 - tolerance) * gain[j].flat[best[j]]:
@@ -323,8 +324,8 @@ def best_cuts(g: np.ndarray, n: np.ndarray, penalty: float, least: float, liked:
 
 
 def _grow(fit: _Fit, guess: _Guess, done: list[_Growing], number: int, depth: int, columns: np.ndarray, rate: float, penalty: float,
-          least: float, tolerance: float) -> _Growing:
-    tree = _Growing(depth, columns)
+          least: float, tolerance: float, least_gain: float) -> _Growing:
+    tree, enough = _Growing(depth, columns), 0.0
     totals: dict[int, tuple[float, float]] = {}
     open_ = [0]
     while open_:
@@ -345,8 +346,10 @@ def _grow(fit: _Fit, guess: _Guess, done: list[_Growing], number: int, depth: in
             cuts = best_cuts(np.stack([x[0] for x in sums]), np.stack([x[1] for x in sums]), penalty, least, liked, tolerance)
             after = []
             for j, i in enumerate(open_):
-                if not cuts.gain[j] > 0:
+                if not cuts.gain[j] > enough:
                     continue
+                if i == 0:
+                    enough = least_gain * cuts.gain[j]
                 right = bold.feature[i] == columns[cuts.column[j]] and bold.cut[i] == cuts.cut[j] and (
                     not cuts.any_missing[j] or bold.missing_left[i] == cuts.missing_left[j])
                 tree.split(i, cuts, j)
@@ -363,12 +366,13 @@ def _grow(fit: _Fit, guess: _Guess, done: list[_Growing], number: int, depth: in
 
 def fit_trees(train: DataFrame, features: Sequence[str], target: str, trees: int = 200, depth: int = 5, rate: float = 0.05,
               rows: float = 0.8, columns: float = 0.8, seed: int = 42, bins: int = 128, penalty: float = 1.0,
-              least: float = 1.0, guess_rows: int = GUESS_ROWS, tolerance: float = 0.1) -> TreeModel:
+              least: float = 1.0, guess_rows: int = GUESS_ROWS, tolerance: float = 0.1, least_gain: float = 1e-4) -> TreeModel:
     """Squared-loss boosting from the mean target; every tree draws a share of the rows and of the columns.
 
     Rows without a target are left out, missing features (null or NaN) are not. A leaf holds the
     negative gradient sum over (rows + ``penalty``) times ``rate``. At most 255 bins. ``guess_rows`` bounds
-    (on average) the sample that trees are guessed from: a larger one takes fewer jobs.
+    (on average) the sample that trees are guessed from: a larger one takes fewer jobs. A cut is made if
+    it gains at least ``least_gain`` of what the tree's first cut gains.
     """
     spark, features = train.sparkSession, list(features)
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
@@ -389,7 +393,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], target: str, trees: int
     grown: list[_Growing] = []
     for k in range(trees):
         chosen = np.sort(draw.choice(len(features), some, replace=False))
-        done.append(_grow(fit, guess, done, k, depth, chosen, rate, penalty, least, tolerance))
+        done.append(_grow(fit, guess, done, k, depth, chosen, rate, penalty, least, tolerance, least_gain))
         grown.append(done[-1])
         guess.add(done[-1])
         if len(done) == REFRESH and k < trees - 1:

@@ -171,7 +171,7 @@ def test_trees_equal_plain_boosting(spark):
     x[rng.random((400, 3)) < .25] = np.nan
     y = np.where(np.isnan(x[:, 0]), 3.0, x[:, 0]) * np.where(x[:, 1] > 4, 1.5, -.5) + rng.normal(0, .3, 400)
     df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
-    model = B.fit_trees(df, ["a", "b", "c"], "y", trees=11, depth=3, rate=0.4, rows=1.0, columns=1.0, bins=200, tolerance=0.0)
+    model = B.fit_trees(df, ["a", "b", "c"], "y", trees=11, depth=3, rate=0.4, rows=1.0, columns=1.0, bins=200, tolerance=0.0, least_gain=0.0)
     edges = [np.unique(v[~np.isnan(v)])[:-1] for v in x.T]
     want = plain_boosting(x, y, edges, [[0, 1, 2]] * 11, lambda k: np.arange(400), 11, 3, 0.4)
     np.testing.assert_allclose(model.predict(x), want, atol=1e-6)
