@@ -58,17 +58,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     placed = slots.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumn("n", F.sum("__c").over(whole))
     ranks = [_rank(q) for q in probs]
     flat = [r for low, frac in ranks for r in (low, F.when(frac > 0, low + 1).otherwise(low))]
-    chosen = materialise(placed.filter(_holds(flat)).select(*keys, "__slot", "__before", "n"), "quantile-slots")
+    chosen = placed.filter(_holds(flat)).select(*keys, "__slot", "__before", "n")
     missed = F.raise_error(F.lit("quantile sketch missed a rank: raise accuracy"))
     near = same(counts, chosen, [*keys, "__slot"]).withColumn("__path", F.array(F.lit(0)))
-    cell = [*keys, "__slot", "__path"]
+    cell, crowded = [*keys, "__slot", "__path"], _crowded(counts, [*keys, "__slot"], limit)
 
-    while True:
+    while crowded:
         finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
         spans = materialise(near.groupBy(*cell).agg(F.count(F.lit(1)).alias("__k"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi")),
                             "quantile-spans")
-        if not spans.filter(F.col("__k") > limit).limit(1).count():
-            break
         lo, hi, v = F.col("__lo") / 2, F.col("__hi") / 2, F.col("__v") / 2  # halves: no difference overflows
         step = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * _CELLS).cast("int")
         step = F.when(v == float("inf"), _CELLS + 1).when(v == -float("inf"), -1).otherwise(F.coalesce(step, F.lit(0)))
@@ -80,6 +78,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         kept = cells.filter(_holds(flat, "__start")).select(*cell, F.col("__start").alias("__from"))
         near = materialise(same(split.drop("__k", "__lo", "__hi"), kept, cell).withColumn("__before", F.col("__from")).drop("__from"),
                            "quantile-near")
+        crowded = _crowded(near, cell, limit)
 
     in_cell = Window.partitionBy(*cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = near.withColumn("__upto", F.col("__before") + F.sum("__c").over(in_cell))
@@ -135,6 +134,10 @@ def same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(named, hit).drop(*[c for c in named.columns if c.startswith("__on")])
 
 
+def _crowded(values: DataFrame, cell: list[str], limit: int) -> bool:
+    return bool(values.groupBy(*cell).agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > limit).limit(1).count())
+
+
 def _holds(ranks: Sequence[Column], start: str = "__before") -> Column:
     """Whether a run of ``__c`` values from rank ``start`` on holds one of the ranks."""
     hit = F.lit(False)
