@@ -20,10 +20,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-
-
 def clean_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
@@ -42,10 +38,6 @@ def select_columns(df: DataFrame, columns: Sequence[str],
     return df.select(*[quoted(c).alias(rename.get(c, c)) for c in columns])
 
 
-def dropped_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in columns]
-
-
 def tolerant_cast(df: DataFrame, columns: Sequence[str], to: str = "double") -> DataFrame:
     """Cast; values that do not parse become null."""
     return _map(df, columns, lambda c: c.try_cast(to))

@@ -15,13 +15,9 @@ PANEL_HOURLY = T.StructType(
     _struct(T.StringType(), ["time"])
     + _struct(T.DoubleType(), ["P", "Gb(i)", "Gd(i)", "Gr(i)", "H_sun", "T2m", "WS10m", "Int"]))
 
-# The same file with the measures as text, for files that hold unparsable cells.
-PANEL_HOURLY_TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in PANEL_HOURLY])
-
 WEATHER_PARAMETERS = ("T2M", "RH2M", "WS10M", "PS", "ALLSKY_SFC_SW_DWN")
 WEATHER_HOURLY = T.StructType(
     _struct(T.StringType(), ["time"]) + [T.StructField(p, T.DoubleType()) for p in WEATHER_PARAMETERS])
-WEATHER_HOURLY_TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in WEATHER_HOURLY])
 
 TYPICAL_YEAR = T.StructType(_struct(T.StringType(), ["time(UTC)"]) + _struct(T.DoubleType(), ["WD10m"]))
 
