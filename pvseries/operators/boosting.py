@@ -408,12 +408,14 @@ def fit_trees(train: DataFrame, features: Sequence[str], target: str, trees: int
 
 def predict(model: TreeModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Add ``yhat`` to every row; ``keep`` limits the other columns of the result."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast class would have to be installed where the tasks run.
+    shared = df.sparkSession.sparkContext.broadcast((model.features, model.base, *[getattr(model, a) for a in _ARRAYS]))
 
     @pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        held = TreeModel(*shared.value)
         for columns in parts:
-            yield pd.Series(shared.value.predict(np.stack([c.to_numpy(float) for c in columns], 1)))
+            yield pd.Series(held.predict(np.stack([c.to_numpy(float) for c in columns], 1)))
 
     yhat = score(*[F.col(f).cast("double") for f in model.features]).alias("yhat")
     return df.select(*(keep or df.columns), yhat)
