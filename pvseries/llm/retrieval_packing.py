@@ -138,13 +138,14 @@ def encoded(df: DataFrame, path: str, window: int = WINDOW, last: int = END_ID,
 def id_frequencies(units: DataFrame) -> tuple[int, int, dict[int, int]]:
     """(rests, their ids in all, rests that hold each id): the vocabulary bounds what reaches the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, size = np.zeros(0, np.int64), 0, 0
+        held, last, n, size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for ids in rests(batch):
-                got = np.bincount(np.unique(ids))
-                if len(got) > len(held):
-                    held = np.r_[held, np.zeros(len(got) - len(held), np.int64)]
-                held[:len(got)] += got
+                if (most := int(ids.max()) + 1) > len(held):
+                    held, last = (np.r_[x, np.zeros(most - len(x), np.int64)] for x in (held, last))
+                place = np.arange(len(ids))
+                last[ids] = place
+                held[ids[last[ids] == place]] += 1  # each id at its last place only
                 n, size = n + 1, size + len(ids)
         some = np.flatnonzero(held)
         yield rows({"id": np.r_[some, -1, -2], "n": np.r_[held[some], n, size]}, id=pa.int64(), n=pa.int64())
@@ -221,7 +222,7 @@ def pack(units: list[np.ndarray], weight: np.ndarray, mean: float, window: int,
     while unplaced >= window or (final and unplaced):
         while not free[seed]:
             seed += 1
-        if n_free < 0.7 * held:
+        if n_free < 0.8 * held:
             index.keep(free)
             held = n_free
         window_now, gap = [], window
