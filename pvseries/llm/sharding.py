@@ -1,10 +1,12 @@
 """Shards through fixed virtual slots.
 
-Each record is hashed to one of ``families * stripes`` virtual slots: the family comes from the
-record's key and text, the stripe from its place in the input, so that a record repeated any
-number of times is spread over all stripes of its family. Bytes are summed per slot, and a small
-versioned table says which shard owns each slot. Moving data means editing that table: a new
-version moves few slots and leaves the others where they are.
+Each record is hashed to one of 4,096 virtual slots by its key, its text and its number among equal
+records, so copies are spread over the slots too. How a table is partitioned or ordered does not
+matter: a later read puts the same records into the same slots (of equal records, any may bear a
+number), and a stored map can be applied to it. Copies are numbered inside their input task and
+the tasks' counts are added up, so no task sees all copies of a record. Bytes are summed per slot,
+and a small versioned table says which shard owns each slot. Moving data means editing that table:
+a new version moves few slots and leaves the others where they are.
 
 The table has one row per slot, a fixed number, so it is planned on the driver and broadcast.
 
@@ -22,23 +24,30 @@ from pyspark.sql import functions as F
 
 from pvseries.sources.tables import materialise
 
-FAMILIES, STRIPES = 512, 8
+SLOTS = 4_096
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 
-def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", families: int = FAMILIES,
-            stripes: int = STRIPES) -> DataFrame:
+def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot, part, place): records with their virtual slot."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    crc = F.crc32(body.cast("binary"))
-    place = F.monotonically_increasing_id()
-    return (df.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
-                      crc.alias("text_crc32"), place.alias("place"), F.spark_partition_id().alias("part"))
-            .withColumn("vslot", (F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(families)) * stripes
-                                  + F.pmod("place", F.lit(stripes))).cast("int")))
-
-
-def slot_bytes(records: DataFrame, slots: int = FAMILIES * STRIPES) -> list[int]:
+    read = materialise(df.select(
+        F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(F.col(key).cast("long"), body, F.col(text).isNull()).alias("record"),
+        F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("part")), "records")
+    # Counts of copies in the tasks before; records without copies have no earlier ones.
+    counts = read.groupBy("record", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("record").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (counts.withColumn("earlier", F.sum("n").over(before)).where("earlier is not null")
+               .select("record", "part", "earlier"))
+    inside = F.row_number().over(Window.partitionBy("record", "part").orderBy("place"))
+    number = F.coalesce("earlier", F.lit(0)) + F.col("inside")
+    return (read.withColumn("inside", inside).join(earlier, ["record", "part"], "left")
+            .withColumn("vslot", F.pmod(F.xxhash64("record", number), F.lit(slots)).cast("int"))
+            .select("doc_id", "size", "text_crc32", "vslot", "part", "place"))
+
+
+def slot_bytes(records: DataFrame, slots: int = SLOTS) -> list[int]:
     """Bytes per virtual slot; the result has ``slots`` entries whatever the table's size."""
     found = {r["vslot"]: r["bytes"] for r in records.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
     return [found.get(s, 0) for s in range(slots)]
