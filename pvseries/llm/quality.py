@@ -5,8 +5,11 @@ source: counts by bucket, where a bucket keeps the six leading binary digits of
 (at most 1/32 wide). Such sketches are merged by adding counts, in any order, with the same
 result, and have at most about 2,000 buckets however many texts they cover. A group with few
 texts takes the limits of its language, and a language with few texts those of the whole corpus,
-whose sketches are the merged ones. Limits are quartiles plus four quartile distances, at least a
-stated slack; the texts are then joined with their group's limits and filtered.
+whose sketches are the merged ones. A limit is the 99th percentile plus its distance to the 90th
+(below: the 1st less its distance to the 10th), and the width of its bucket; no metric has a fixed
+cutoff or a least slack, so 99 of 100 texts that pass the fixed rules stay inside each limit, and
+ratios that are mostly zero get limits of their own too. The texts are then joined with their
+group's limits and filtered.
 
 Defined cases: a null text has no words and fails; an empty text likewise; null languages and
 sources are groups of their own; repeated rows and null keys give one row each; an empty table
@@ -29,9 +32,8 @@ from pvseries.sources.tables import materialise
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_SUPPORT = 200  # texts a group needs for limits of its own
-SPREAD = 4  # quartile distances beyond a quartile
-# Least distance of a limit from its quartile: thousandths of a character, then millionths.
-SLACK = {"word_length": 1500, "symbols": 60_000, "dup_lines": 500_000, "repeats": 350_000}
+SPREAD = 1  # distances between the 90th and 99th percentiles beyond the 99th
+METRICS = ("word_length", "symbols", "dup_lines", "repeats")
 TWO_SIDED = ("word_length",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
@@ -129,18 +131,18 @@ def limits(cells: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "metric")
     ranked = (merged(cells).withColumn("seen", F.sum("n").over(group.orderBy("bucket")))
               .withColumn("total", F.sum("n").over(group)))
-    quartiles = ranked.groupBy("level", "lang", "source", "metric").agg(
-        F.max("total").alias("total"), F.min(F.when(4 * F.col("seen") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("seen") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"))
-    room = F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.expr(
-        "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in SLACK.items()) + " END"))
-    two = F.col("metric").isin(*TWO_SIDED)
-    edges = quartiles.select("level", "lang", "source", "metric", "total", (F.col("q3") + room).alias("hi"),
-                             F.when(two, F.col("q1") - room).otherwise(F.lit(-1)).alias("lo"))
+    def percentile(p: int) -> Column:
+        return F.min(F.when(100 * F.col("seen") >= p * F.col("total"), F.col("bucket"))).alias(f"p{p}")
+
+    tails = ranked.groupBy("level", "lang", "source", "metric").agg(
+        F.max("total").alias("total"), *[percentile(p) for p in (1, 10, 90, 99)])
+    low = F.when(F.col("metric").isin(*TWO_SIDED), F.col("p1") - SPREAD * (F.col("p10") - F.col("p1"))).otherwise(F.lit(-1))
+    high = F.col("p99") + SPREAD * (F.col("p99") - F.col("p90")) + F.expr("p99 div 32")  # a bucket is at most that wide
+    edges = tails.select("level", "lang", "source", "metric", "total", high.alias("hi"), low.alias("lo"))
     wide = edges.groupBy("level", "lang", "source").agg(
         F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{m}_{e}")
-                                         for m in SLACK for e in ("lo", "hi")])
-    names = [f"{m}_{e}" for m in SLACK for e in ("lo", "hi")]
+                                         for m in METRICS for e in ("lo", "hi")])
+    names = [f"{m}_{e}" for m in METRICS for e in ("lo", "hi")]
     ways = F.array(*[F.struct(F.lit(k).alias("level"), (F.col("lang") if k else F.lit("*")).alias("lang"),
                               (F.col("source") if k == 2 else F.lit("*")).alias("source")) for k in (0, 1, 2)])
     groups = wide.where(F.col("level") == 2).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.explode(ways).alias("w"))
@@ -211,12 +213,11 @@ c AS (SELECT lang, source, metric, (v >> sh) << sh AS bucket, count(*) AS n, gro
       (lang, metric, (v >> sh) << sh), (metric, (v >> sh) << sh))),
 k AS (SELECT *, sum(n) OVER (PARTITION BY g, lang, source, metric ORDER BY bucket) AS seen,
       sum(n) OVER (PARTITION BY g, lang, source, metric) AS total FROM c),
-t AS (SELECT g, lang, source, metric, max(total) AS total, min(bucket) FILTER (4 * seen >= total) AS q1,
-      min(bucket) FILTER (4 * seen >= 3 * total) AS q3 FROM k GROUP BY ALL),
-e AS (SELECT *, greatest({SPREAD} * (q3 - q1), CASE metric {' '.join(f"WHEN '{m}' THEN {x}" for m, x in SLACK.items())} END)
-      AS room FROM t),
-f AS (SELECT g, lang, source, metric, total, q3 + room AS hi, CASE WHEN metric = 'word_length' THEN q1 - room ELSE -1 END AS lo
-      FROM e),
+t AS (SELECT g, lang, source, metric, max(total) AS total, min(bucket) FILTER (100 * seen >= total) AS p1,
+      min(bucket) FILTER (100 * seen >= 10 * total) AS p10, min(bucket) FILTER (100 * seen >= 90 * total) AS p90,
+      min(bucket) FILTER (100 * seen >= 99 * total) AS p99 FROM k GROUP BY ALL),
+f AS (SELECT g, lang, source, metric, total, p99 + {SPREAD} * (p99 - p90) + p99 // 32 AS hi,
+      CASE WHEN metric = 'word_length' THEN p1 - {SPREAD} * (p10 - p1) ELSE -1 END AS lo FROM t),
 j AS (SELECT s.doc_id, s.base_failed, s.v,
       CASE WHEN a.total >= {MIN_SUPPORT} THEN a.lo WHEN b.total >= {MIN_SUPPORT} THEN b.lo ELSE o.lo END AS lo,
       CASE WHEN a.total >= {MIN_SUPPORT} THEN a.hi WHEN b.total >= {MIN_SUPPORT} THEN b.hi ELSE o.hi END AS hi

@@ -133,6 +133,20 @@ def test_repeated_record_is_spread(spark):
     assert len(loads) == 8 and max(loads) < 1.1 * min(loads)
 
 
+def test_slots_do_not_depend_on_the_reading(spark):
+    """A table read in other partitions and another order has the same records in the same slots."""
+    rows = [(1, "same")] * 300 + [(k, f"text {k % 7}") for k in range(500)] + [(None, None)] * 5 + [(1, None), (1, "")]
+    first = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    second = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7, "doc_id")
+    got = [Counter(map(tuple, sharding.slotted(df).select("doc_id", "text_crc32", "size", "vslot").collect())) for df in (first, second)]
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
+    # A map made from one read places the other.
+    _, slot_map = sharding.shard_documents(first)
+    a, b = (Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in sharding.assign(
+        materialise(sharding.slotted(df), "slotted"), slot_map, 2).collect()) for df in (first, second))
+    assert a == b
+
+
 @pytest.mark.parametrize("table", ["docs", "small", "empty"])
 def test_secret_base(request, table):
     df = request.getfixturevalue(table)
@@ -285,6 +299,35 @@ def test_limits_follow_their_group(spark):
     assert not kept[5000] and all(v for k, v in kept.items() if k != 5000)
 
 
+def test_every_metric_follows_its_source(spark):
+    """The same text stays in a source full of its kind and goes in a clean one, for each metric."""
+    import random
+    rng = random.Random(8)
+
+    def lines(k):
+        return ["".join(rng.choice("abcdefgh") for _ in range(6)) + f" w{k}x{j} " + " ".join(
+            "".join(rng.choice("ijklmnop") for _ in range(5)) for _ in range(4)) for j in range(16)]
+
+    def dirty(metric, k):
+        ls = lines(k)
+        if metric == "word_length":
+            return "\n".join(x.replace(" ", "longer ") for x in ls)
+        if metric == "symbols":
+            return "\n".join(x + " ###$" for x in ls)
+        if metric == "dup_lines":  # short lines: no three-word window comes twice
+            return "\n".join([*ls, *["ab cd", f"x{k} y"] * 8])
+        return "\n".join([*ls, *[f"t{j} q{k} r{k} s{k} u{j}" for j in range(6)]])
+
+    for metric in quality.METRICS:
+        rows = [(k, "\n".join(lines(k)), "en", "clean") for k in range(300)] + [(1000, dirty(metric, 1000), "en", "clean")]
+        rows += [(2000 + k, dirty(metric, k), "en", "dirty") for k in range(300)]
+        df = materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "metric")
+        edges = {r["source"]: r for r in quality.limits(quality.sketches(quality._keyed(quality.measured(df), "lang", "source"))).collect()}
+        assert edges["=clean"][f"{metric}_hi"] < edges["=dirty"][f"{metric}_hi"]
+        kept = {r["doc_id"]: r["kept"] for r in quality.quality_report(df).collect()}
+        assert not kept[1000] and sum(kept[k] for k in range(300)) >= 290 and sum(kept[2000 + k] for k in range(300)) >= 290
+
+
 @pytest.mark.parametrize("table", ["docs", "small", "empty"])
 def test_passages(request, table):
     df = request.getfixturevalue(table)
