@@ -14,11 +14,12 @@ places the item in the text; the item-sized stretch there, with room on both sid
 compared by exact edit distance (bytes), and reported if that is at most a quarter of the item.
 
 The benchmark goes to the tasks in blocks of bounded rows and bytes, each read by one pass
-inside the same scan of the texts; equal items are one entry.
+inside the same scan of the texts; equal items are one entry there, and what is found is joined with
+the ids of all of them.
 
 Defined cases: null, empty and one-word items match nothing; items of two to nine words are
-indexed as one window; null and empty texts match nothing; repeated rows and null keys are
-reported like others; empty tables give no rows; other columns are not read, and the filter
+indexed as one window; null and empty texts match nothing; repeated rows, repeated items and null
+keys are reported like others; empty tables give no rows; other columns are not read, and the filter
 returns them unchanged.
 """
 
@@ -92,9 +93,9 @@ def fit_distance(item: bytes, region: bytes, places: dict[int, int] | None = Non
 
 
 class WalkIndex:
-    """Signatures of one block of items: [(item_id, words)]."""
+    """Signatures of one block of items: [(item key, words)]."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], seed: int = 11):
+    def __init__(self, items: list[tuple[str, list[bytes]]], seed: int = 11):
         self.items = items
         self.texts = [b" ".join(w) for _, w in items]
         self.places = [letters(t) for t in self.texts]
@@ -192,15 +193,20 @@ class WalkIndex:
                 yield doc, item, *best
 
 
-def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[list[tuple[int, list[bytes]]]]:
-    """The distinct items in blocks of bounded size."""
-    items = id_text(benchmark, key, text).where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+def keyed_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, doc_id, text): items that have a text, with a key that equal texts share."""
+    return id_text(benchmark, key, text).where("text is not null").withColumn("item", F.md5("text"))
+
+
+def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The distinct items, [(key of the text, words)], in blocks of bounded size."""
+    items = keyed_items(benchmark, key, text).select("item", "text").distinct()
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     count = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["b"] // BLOCK_BYTES))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count)))
     for k in range(count):
-        found = [(r["doc_id"], words_of(r["text"].encode())) for r in numbered.where(F.col("block") == k).collect()]
-        yield sorted((x for x in found if len(x[1]) > 1), key=lambda x: (x[0] is None, x[0], x[1]))
+        found = [(r["item"], words_of(r["text"].encode())) for r in numbered.where(F.col("block") == k).collect()]
+        yield sorted(x for x in found if len(x[1]) > 1)
 
 
 def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -216,9 +222,12 @@ def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, distance, similarity): one row per row of the table and item found in it."""
+    """(doc_id, item_id, first_word, n_words, distance, similarity): one row per row of the table and item found in it.
+
+    Items of equal texts have a row each.
+    """
     slim, spark = id_text(df, key, text), df.sparkSession
-    schema = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
+    schema = "doc_id long, item string, first_word long, n_words long, distance long, similarity double"
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark):
         if not items:
@@ -231,15 +240,16 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
                 ids = batch.column("doc_id").to_pylist()
                 for start, texts in _parts(raw(batch)):
                     got = list(walk.matches(texts))
-                    yield rows({"doc_id": [ids[start + d] for d, *_ in got], "item_id": [walk.items[i][0] for _, i, *_ in got],
+                    yield rows({"doc_id": [ids[start + d] for d, *_ in got], "item": [walk.items[i][0] for _, i, *_ in got],
                                 "first_word": [w for _, _, w, _ in got], "n_words": [len(walk.items[i][1]) for _, i, *_ in got],
                                 "distance": [x for *_, x in got],
                                 "similarity": [1 - x / len(walk.texts[i]) for _, i, _, x in got]},
-                               doc_id=pa.int64(), item_id=pa.int64(), first_word=pa.int64(), n_words=pa.int64(),
+                               doc_id=pa.int64(), item=pa.string(), first_word=pa.int64(), n_words=pa.int64(),
                                distance=pa.int64(), similarity=pa.float64())
 
         out = out.union(map_arrow(slim, find, schema))
-    return out
+    ids = keyed_items(benchmark).select("item", F.col("doc_id").alias("item_id"))
+    return out.join(ids, "item").select("doc_id", "item_id", "first_word", "n_words", "distance", "similarity")
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
