@@ -28,6 +28,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class ChunkEncoder:
         """Encode distinct chunks, many to a call."""
         texts = [c.decode() for c in chunks]
         # A chunk of small letters is one token sequence that ends with the vocabulary's only end mark.
-        words = [k for k, t in enumerate(texts) if t.isalpha() and t.lower() == t and is_normalized("NFC", t)] if self.ends.any() else []
+        words = [k for k, t in enumerate(texts) if t.isalpha() and t.lower() == t and (t.isascii() or is_normalized("NFC", t))] if self.ends.any() else []
         parts = [words[i:i + group] for i in range(0, len(words), group)]
         told = set()
         coded = self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in p]) for p in parts], add_special_tokens=False)
@@ -86,26 +87,53 @@ class ChunkEncoder:
         for c, lo, hi in zip(chunks, edges, edges[1:]):
             self.known[c] = data[lo:hi]
 
-    def encode(self, texts: list[bytes], last: int) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian 32-bit numbers."""
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Make sure that the table holds the chunks."""
         if len(self.known) > _CHUNKS_KEPT:
             self.known, self.older = {}, self.known
-        # Special strings are found before letters are made small, so their texts stay as they are.
-        split = [(t.lower() if self.small and b"<|" not in t else t).split() for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        for c in new & self.older.keys():
-            self.known[c] = self.older[c]
-        new.difference_update(self.known)
+        known, older = self.known, self.older
+
+        def missing(found):
+            out = []
+            for c in found:
+                if c not in known:
+                    if c in older:
+                        known[c] = older[c]
+                    else:
+                        out.append(c)
+            return out
+
+        new = missing(chunks)
         halves = {c: m.groups() for c in new if (m := _CLOSED.fullmatch(c))}
-        plain = {c for c in new if c not in halves}
-        plain.update(h for pair in halves.values() for h in pair)
-        for c in plain & self.older.keys():
-            self.known[c] = self.older[c]
-        self._library([c for c in plain if c not in self.known])
+        plain = dict.fromkeys(c for c in new if c not in halves)
+        plain.update(dict.fromkeys(h for pair in halves.values() for h in pair))
+        self._library(missing(plain))
         for c, (left, right) in halves.items():
-            self.known[c] = self.known[left] + self.known[right]
-        end, table = np.uint32(last).tobytes(), self.known
-        return [b"".join(map(table.__getitem__, words)) + end for words in split]
+            known[c] = known[left] + known[right]
+
+    def encode(self, texts: list[bytes], last: int) -> list[bytes]:
+        """Ids of each text with the end id, as little-endian 32-bit numbers.
+
+        Chunks become numbers of a table of the texts' distinct chunks; ids are then taken from one array.
+        """
+        if not texts:
+            return []
+        # Special strings are found before letters are made small, so their texts stay as they are.
+        cased = [t.lower() if self.small and b"<|" not in t else t for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(cased, pa.large_binary()).view(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        self.known[b""] = b""  # before leading and after closing blanks
+        self._learn(chunks)
+        self.known[b""] = b""
+        parts = [*map(self.known.__getitem__, chunks), np.uint32(last).tobytes()]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        table = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(parts), np.uint32))
+        word_ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        taken = table.take(pa.array(np.insert(coded.indices.to_numpy(), word_ends, len(chunks))))
+        ids = taken.values.to_numpy().tobytes()
+        edges = [0, *(4 * taken.offsets.to_numpy()[1:][word_ends + np.arange(len(texts))]).tolist()]
+        return [ids[lo:hi] for lo, hi in zip(edges, edges[1:])]
 
 
 @lru_cache(1)
@@ -225,14 +253,13 @@ def write_shards(df: DataFrame, path: str, out: str, last: int = END_ID, key: st
 
         for batch in batches:
             texts, ids = raw(batch), batch.column("doc_id").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for doc, code in zip(ids[lo:lo + 256], encoder.encode(texts[lo:lo + 256], last)):
-                    keys.append(doc)
-                    held.append(code)
-                    size += len(code) // 4
-                    if size >= shard_ids:
-                        yield shard()
-                        keys, held, size, seq = [], [], 0, seq + 1
+            for doc, code in zip(ids, encoder.encode(texts, last)):
+                keys.append(doc)
+                held.append(code)
+                size += len(code) // 4
+                if size >= shard_ids:
+                    yield shard()
+                    keys, held, size, seq = [], [], 0, seq + 1
         if keys:
             yield shard()
 
