@@ -40,6 +40,7 @@ END_ID = 2
 SHARD_IDS = 1 << 21
 ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 6, 2048, 8
 _SLOT_BITS = 20
+_MARKS = frozenset(b".,;:!?")
 _CLOSED = re.compile(rb"(.*[a-z])([.,;:!?]+)", re.DOTALL)
 _CHUNKS_KEPT = 500_000  # entries a worker adds before those that it hasn't used since are let go
 
@@ -63,7 +64,8 @@ class ChunkEncoder:
         """Encode distinct chunks, many to a call."""
         texts = [c.decode() for c in chunks]
         # A chunk of small letters is one token sequence that ends with the vocabulary's only end mark.
-        words = [k for k, t in enumerate(texts) if t.isalpha() and t.lower() == t and (t.isascii() or is_normalized("NFC", t))] if self.ends.any() else []
+        words = [k for k, t in enumerate(texts) if t.isalpha() and (
+            t.islower() if t.isascii() else t.lower() == t and is_normalized("NFC", t))] if self.ends.any() else []
         parts = [words[i:i + group] for i in range(0, len(words), group)]
         told = set()
         coded = self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in p]) for p in parts], add_special_tokens=False)
@@ -104,7 +106,7 @@ class ChunkEncoder:
             return out
 
         new = missing(chunks)
-        halves = {c: m.groups() for c in new if (m := _CLOSED.fullmatch(c))}
+        halves = {c: m.groups() for c in new if c[-1] in _MARKS and (m := _CLOSED.fullmatch(c))}
         plain = dict.fromkeys(c for c in new if c not in halves)
         plain.update(dict.fromkeys(h for pair in halves.values() for h in pair))
         self._library(missing(plain))
