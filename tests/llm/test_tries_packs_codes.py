@@ -80,6 +80,17 @@ def test_prefix_trie_of_repeated_rows_and_empty_tables(spark):
     assert empty.count() == 0 and empty.columns[0] == "conv_id"
 
 
+def test_turns_with_equal_numbers_are_ordered_by_role_and_text(spark):
+    rng = random.Random(8)
+    turns = [(c, rng.choice([None, 1, 2]), rng.choice(["user", "bot", None]), rng.choice(["a", "b", None, "é", f"own {c % 3}"]))
+             for c in range(25) for _ in range(rng.randrange(1, 9))]
+    rng.shuffle(turns)
+    df = materialise(spark.createDataFrame([(*t, 7, 8, "f", 1, "d") for t in turns], TURNS).repartition(3), "tied-turns")
+    got = prefix_trie.trie_report(df).collect()
+    # The plain program keeps the order of rows that are equal in turn.
+    assert Counter(map(tuple, got)) == Counter(plain_trie(sorted(turns, key=lambda t: (t[2] or "", t[3] or ""))))
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 62, (5000, 2)), axis=0)
