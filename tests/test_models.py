@@ -30,6 +30,40 @@ def model(rows):
     return B.fit_trees(rows, FEATURES, "y", trees=8, depth=3, rate=0.3)
 
 
+def walked(feature, goes_left):
+    """The leaf reached when ``goes_left`` tells the side at each node."""
+    at = 0
+    while feature[at] >= 0:
+        at = 2 * at + 2 - goes_left(at)
+    return at
+
+
+@pytest.mark.parametrize("depth", [1, 5, 8])
+def test_leaf_tables_reach_the_leaf_of_a_walk(depth):
+    """Up to 256 leaves, so several words of bits; features that no node tests; missing values on either side."""
+    rng, k, missing = np.random.default_rng(depth), 5, 20
+    n = (1 << (depth + 1)) - 1
+    feature = np.where((np.arange(n) < (1 << depth) - 1) & (rng.random(n) < .95), rng.integers(0, k - 1, n), -1)
+    cut, gap = rng.integers(0, missing - 1, n), rng.random(n) < .5
+    bins = rng.integers(0, missing + 1, (k, 300))
+    got = B.LeafTables(feature, cut, gap, [missing] * k).leaves(list(bins))
+    want = [walked(feature, lambda i: int(gap[i] if b[feature[i]] == missing else b[feature[i]] <= cut[i])) for b in bins.T]
+    assert got.tolist() == want
+    model = B.TreeModel(tuple("abcde"), 0.5, feature[None], cut[None] * 1.0, gap[None], rng.random((1, n)), np.ones((1, n)))
+    x = np.where(bins.T == missing, np.nan, bins.T * 1.0)
+    assert np.allclose(model.predict(x), 0.5 + model.value[0][want])
+    assert (B.LeafTables(np.full(3, -1), np.zeros(3), np.zeros(3, bool), [missing] * k).leaves(list(bins)) == 0).all()
+
+
+def test_files_of_blocks_follow_the_cores_not_the_rows(rows, monkeypatch):
+    asked, pack = [], B.to_blocks
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(B, "to_blocks", lambda *a: asked.append(a[-1]) or pack(*a))
+    model = B.fit_trees(rows, FEATURES, "y", trees=B.REFRESH + 2, depth=2, rate=0.3)
+    assert asked[0] <= 2 * rows.sparkSession.sparkContext.defaultParallelism
+    assert (model.cover[:, 0] > 2200).all() and (model.cover[:, 0] < 2600).all()
+
+
 def brute_force(model, x):
     """Shapley values by enumerating every coalition of all features."""
     def walk(t, i, inside):
