@@ -10,8 +10,8 @@ of ids inside it, can be decoded from the rules and lengths alone, without what
 
 Encoding uses the tokenizer on the distinct blank-separated chunks of a task's texts and joins
 the ids back; a chunk's ids don't depend on its neighbours, because the tokenizer cuts at white
-space before anything else. Chunks of letters with closing marks share the letters' entry, for
-letters and marks are never in one token. Both are checked against whole texts in the tests.
+space before anything else. Marks after a letter or digit are chunks of their own, for they are
+never in one token with it. Both are checked against whole texts in the tests.
 
 Defined cases: a null or empty text is a document with the end id only; null keys come first;
 rows with equal keys are all written, ordered by a hash of the text; an empty table gives no rows; other
@@ -20,11 +20,9 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,102 +38,130 @@ END_ID = 2
 SHARD_IDS = 1 << 21
 ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 6, 2048, 8
 _SLOT_BITS = 20
-_MARKS = frozenset(b".,;:!?")
-_CLOSED = re.compile(rb"(.*[a-z])([.,;:!?]+)", re.DOTALL)
-_CHUNKS_KEPT = 500_000  # entries a worker adds before those that it hasn't used since are let go
+_MARKS, _PLAIN, _LATIN = np.zeros((3, 256), bool)
+_MARKS[list(b".,;:!?")] = True
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True  # after the byte C3: À to ÿ without × and ÷
+_CHUNKS_KEPT = 1_000_000  # chunks a worker's table holds before some are let go
+
+
+def apart(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (their bytes in a row and where each begins) with a blank before every mark that follows a letter or digit.
+
+    The tokenizer cuts there anyway, and what it cuts falls into fewer distinct chunks.
+    """
+    at = np.flatnonzero(_MARKS[data])
+    at = at[at > 0]
+    before = data[at - 1]
+    at = at[_PLAIN[before] | (_LATIN[before] & (data[at - 2] == 0xC3))]
+    return np.insert(data, at, 32), edges + np.searchsorted(at, edges)
 
 
 class ChunkEncoder:
     """Ids of texts through a table of the distinct chunks seen so far."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        normal = str(self.tokenizer.normalizer)
-        self.small = "Lowercase" in normal
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # For words of a-z, which the file's own normalizer and cuts leave as they are.
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.small = "Lowercase" in str(self.tokenizer.normalizer)
         mark = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _library(self, chunks: list[bytes], group: int = 256) -> None:
-        """Encode distinct chunks, many to a call."""
-        texts = [c.decode() for c in chunks]
-        # A chunk of small letters is one token sequence that ends with the vocabulary's only end mark.
-        words = [k for k, t in enumerate(texts) if t.isalpha() and (
-            t.islower() if t.isascii() else t.lower() == t and is_normalized("NFC", t))] if self.ends.any() else []
-        parts = [words[i:i + group] for i in range(0, len(words), group)]
-        told = set()
-        coded = self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in p]) for p in parts], add_special_tokens=False)
-        for part, got in zip(parts, coded):
-            ids = np.array(got.ids, np.uint32)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(part) and at[-1] == len(ids):
-                self._keep([chunks[k] for k in part], ids, np.r_[0, at])
-                told.update(part)
-        rest = [k for k in range(len(chunks)) if k not in told]
+        # Chunk k has the ids flat[start[k]:start[k] + size[k]]. A text's end is written as a blank, which is in no chunk.
+        self.chunks = pa.array(["", " "], pa.large_string())
+        self.size, self.start = np.array([0, 1], np.int32), np.zeros(2, np.int32)
+        self.flat = np.zeros(1, np.uint32)
+        self.again = np.zeros(2, bool)  # met in a later call than the first
+
+    def _library(self, texts: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of distinct chunks, many encoded in a call."""
+        size, order, flat = np.zeros(len(texts), np.int32), [], []
+
+        def keep(part: list[int], ids: np.ndarray, at: np.ndarray) -> None:
+            size[part] = np.diff(at)
+            order.extend(part)
+            flat.append(ids)
+
+        # A chunk of letters is one token sequence at least, each with the vocabulary's only end mark last:
+        # with as many marks as chunks, every chunk is one.
+        letters = [k for k, t in enumerate(texts) if t.isalpha()] if self.ends.any() else []
+        rest = sorted(set(range(len(texts))).difference(letters))
+        simple = [k for k in letters if texts[k].isascii() and texts[k].islower()]
+        others = sorted(set(letters).difference(simple))
+        for tokenizer, own in ((self.plain, simple), (self.tokenizer, others)):
+            parts = [own[i:i + group] for i in range(0, len(own), group)]
+            coded = tokenizer.encode_batch_fast([" ".join([texts[k] for k in p]) for p in parts], add_special_tokens=False)
+            for part, got in zip(parts, coded):
+                ids = np.array(got.ids, np.uint32)
+                at = np.flatnonzero(self.ends[ids]) + 1
+                if len(at) == len(part) and at[-1] == len(ids):
+                    keep(part, ids, np.r_[0, at])
+                else:
+                    rest += part
         for i in range(0, len(rest), group):  # told apart by their place
             part = rest[i:i + group]
             ends = np.cumsum([len(texts[k]) + 1 for k in part])
             got = self.tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False)
             owner = np.searchsorted(ends, [o[0] for o in got.offsets], "right")
-            self._keep([chunks[k] for k in part], np.array(got.ids, np.uint32), np.searchsorted(owner, np.arange(len(part) + 1)))
-
-    def _keep(self, chunks: list[bytes], ids: np.ndarray, at: np.ndarray) -> None:
-        data = ids.tobytes()
-        edges = (4 * at).tolist()
-        for c, lo, hi in zip(chunks, edges, edges[1:]):
-            self.known[c] = data[lo:hi]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Make sure that the table holds the chunks."""
-        if len(self.known) > _CHUNKS_KEPT:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-
-        def missing(found):
-            out = []
-            for c in found:
-                if c not in known:
-                    if c in older:
-                        known[c] = older[c]
-                    else:
-                        out.append(c)
-            return out
-
-        new = missing(chunks)
-        halves = {c: m.groups() for c in new if c[-1] in _MARKS and (m := _CLOSED.fullmatch(c))}
-        plain = dict.fromkeys(c for c in new if c not in halves)
-        plain.update(dict.fromkeys(h for pair in halves.values() for h in pair))
-        self._library(missing(plain))
-        for c, (left, right) in halves.items():
-            known[c] = known[left] + known[right]
+            keep(part, np.array(got.ids, np.uint32), np.searchsorted(owner, np.arange(len(part) + 1)))
+        start = np.zeros(len(texts), np.int32)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(flat), start, size
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Put the chunks after the known ones into the table."""
+        new = chunks[len(self.chunks):].to_numpy(zero_copy_only=False).tolist()
+        self.chunks = chunks
+        if new:
+            ids, start, size = self._library(new)
+            self.start, self.size = np.r_[self.start, start + np.int32(len(self.flat))], np.r_[self.size, size]
+            self.flat, self.again = np.r_[self.flat, ids], np.r_[self.again, np.zeros(len(new), bool)]
+
+    def _ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks with these numbers, and where each chunk's ids end."""
+        n = self.size[places]
+        ends = np.cumsum(n, dtype=np.int32)
+        return self.flat[np.repeat(self.start[places] - (ends - n), n) + np.arange(len(n) and ends[-1], dtype=np.int32)], ends
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Let go the chunks that only one call had or, if that frees too little, all but the last call's."""
+        kept = self.again if np.count_nonzero(self.again) < _CHUNKS_KEPT // 2 else used
+        kept[:2] = True
+        places = np.flatnonzero(kept)
+        self.flat, ends = self._ids(places)
+        self.size = self.size[places]
+        self.start = ends - self.size
+        self.chunks, self.again = self.chunks.filter(pa.array(kept)), np.zeros(len(places), bool)
 
     def encode(self, texts: list[bytes], last: int) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit numbers.
 
-        Chunks become numbers of a table of the texts' distinct chunks; ids are then taken from one array.
+        Chunks become numbers of the table; ids are then taken from one array.
         """
         if not texts:
             return []
         # Special strings are found before letters are made small, so their texts stay as they are.
         cased = [t.lower() if self.small and b"<|" not in t else t for t in texts]
-        split = pc.ascii_split_whitespace(pa.array(cased, pa.large_binary()).view(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        self.known[b""] = b""  # before leading and after closing blanks
-        self._learn(chunks)
-        self.known[b""] = b""
-        parts = [*map(self.known.__getitem__, chunks), np.uint32(last).tobytes()]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-        table = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(parts), np.uint32))
-        word_ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
-        taken = table.take(pa.array(np.insert(coded.indices.to_numpy(), word_ends, len(chunks))))
-        ids = taken.values.to_numpy().tobytes()
-        edges = [0, *(4 * taken.offsets.to_numpy()[1:][word_ends + np.arange(len(texts))]).tolist()]
-        return [ids[lo:hi] for lo, hi in zip(edges, edges[1:])]
+        data, edges = apart(np.frombuffer(b"".join(cased), np.uint8), np.cumsum([0, *map(len, cased)]))
+        split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(cased), pa.py_buffer(edges), pa.py_buffer(data)))
+        known = len(self.chunks)
+        # One dictionary for both: the known chunks keep their numbers, new ones follow.
+        coded = pa.chunked_array([self.chunks, split.flatten()]).dictionary_encode().chunk(1)
+        self._learn(coded.dictionary)
+        places = coded.indices.to_numpy()
+        used = np.zeros(len(self.chunks), bool)
+        used[places] = True
+        self.again[:known] |= used[:known]
+        text_ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        self.flat[0] = last
+        ids, ends = self._ids(np.insert(places, text_ends, 1))
+        if len(self.chunks) > _CHUNKS_KEPT:
+            self._forget(used)
+        code, cuts = ids.tobytes(), [0, *(4 * ends[text_ends + np.arange(len(texts))].astype(np.int64)).tolist()]
+        return [code[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
 
 
 @lru_cache(1)
@@ -147,11 +173,13 @@ def compress(ids: np.ndarray, vocabulary: int, last: int, rounds: int = ROUNDS,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k, a pair of symbols, has the symbol ``vocabulary + k``."""
     seq, rules, following = ids.astype(np.uint32), [], vocabulary
+    name = np.zeros(1 << _SLOT_BITS, np.uint32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
         slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOT_BITS)
+        slot = slot.astype(np.intp)  # as an index, once
         closed = np.flatnonzero(left == last)
         count = np.bincount(slot, minlength=1 << _SLOT_BITS) - np.bincount(slot[closed], minlength=1 << _SLOT_BITS)
         top = np.argpartition(-count, min(pairs, len(count) - 1))[:pairs]
@@ -168,16 +196,19 @@ def compress(ids: np.ndarray, vocabulary: int, last: int, rounds: int = ROUNDS,
         stands = np.zeros(1 << _SLOT_BITS, np.uint64)
         stands[own[::-1]] = pair[::-1]
         same = pair == stands[own]
-        at, pair = near[same], pair[same]
+        at, own = near[same], own[same]
         # Of a run of overlapping places every second one is taken.
         start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         length = np.diff(np.r_[start, len(at)])
         inside = np.arange(len(at)) - np.repeat(start, length)
-        at, pair = at[inside % 2 == 0], pair[inside % 2 == 0]
-        found, name = np.unique(pair, return_inverse=True)
+        at, own = at[inside % 2 == 0], own[inside % 2 == 0]
+        # The rules in order of their pairs; a pair is known by its slot.
+        slots = np.flatnonzero(np.bincount(own, minlength=1 << _SLOT_BITS))
+        found = np.sort(stands[slots])
+        name[slots] = np.searchsorted(found, stands[slots])
         rules.append(np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         seq = seq.copy()
-        seq[at] = following + name
+        seq[at] = following + name[own]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, following = seq[keep], following + len(found)

@@ -66,6 +66,30 @@ def test_repair(request, table):
         start += r[2]
 
 
+def test_chunk_ids_are_the_librarys_for_any_text_and_after_forgetting(monkeypatch):
+    import random
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(repair, "_CHUNKS_KEPT", 300)
+    rng, tok, encoder = random.Random(9), Tokenizer.from_file(tokenizer_path(BPE)), repair.ChunkEncoder(tokenizer_path(BPE))
+    parts = ["a", "th", "ing", "The", "É", "é", "×", "İ", "Σ", "ŉ", "'s", "'", "é", "\u0301", "=", "\u0338", "1", "23", "½", "中", "ᄀ", "ᅡ", "\u00a0",
+             "\u2003", "\x1c", " ", " ", " ", "\n", ".", ",", "...", "!?", ")", "—", "</w>", "<|endoftext|>", "<|"]
+    for k in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(10)] + ["", ".", " . "]
+        got = encoder.encode([t.encode() for t in texts], k)
+        assert got == [np.array(tok.encode(t, add_special_tokens=False).ids + [k], "<u4").tobytes() for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_mark_follows(monkeypatch):
+    asked, library = [], repair.ChunkEncoder._library
+    monkeypatch.setattr(repair.ChunkEncoder, "_library", lambda self, new, *a: asked.extend(new) or library(self, new, *a))
+    words = ["pré", "señor", "1984", "tower"]
+    texts = [f"{w}{m} {w}" for w in words for m in (".", ",", ";", ":", "!", "?")]
+    encoder = repair.ChunkEncoder(tokenizer_path(BPE))
+    for _ in range(2):
+        encoder.encode([t.encode() for t in texts], 2)
+    assert len(asked) == len(words) + 6
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     ids = np.r_[rng.integers(3, 12, 4000), 2, np.full(999, 5), 2, [2], rng.integers(3, 9, 50), 2].astype(np.uint32)
