@@ -20,6 +20,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -63,8 +64,11 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # For words of a-z, which the file's own normalizer and cuts leave as they are.
+        # For words of a-z, where the file's own normalizer and cuts leave these as they are.
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        sample = "abcdefghijklmnopqrstuvwxyz the light of a tower"
+        if self.plain.encode(sample, add_special_tokens=False).ids != self.tokenizer.encode(sample, add_special_tokens=False).ids:
+            self.plain = self.tokenizer
         self.small = "Lowercase" in str(self.tokenizer.normalizer)
         mark = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab()
@@ -166,6 +170,8 @@ class ChunkEncoder:
 
 @lru_cache(1)
 def chunk_encoder(path: str) -> ChunkEncoder:
+    # A task has one core: the library's own threads would only wait for each other.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ChunkEncoder(path)
 
 
@@ -228,16 +234,16 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, vocabulary: int):
         self.vocabulary = vocabulary
-        flat = [np.zeros(0, np.uint32)]
-        for a, b in rules.tolist():
-            flat.append(np.concatenate([self._part(flat, a), self._part(flat, b)]))
+        flat = rules.ravel()  # all rules in a row; symbols give way to their pairs until only ids are left
+        while (made := flat >= vocabulary).any():
+            n = 1 + made
+            at, pairs = (np.cumsum(n) - n)[made], rules[flat[made] - vocabulary]
+            flat = np.repeat(flat, n)
+            flat[at], flat[at + 1] = pairs[:, 0], pairs[:, 1]
         self.lengths = np.r_[np.ones(vocabulary, np.int64), lengths]
-        self.flat = np.r_[np.arange(vocabulary, dtype=np.uint32), np.concatenate(flat)]
+        self.flat = np.r_[np.arange(vocabulary, dtype=np.uint32), flat]
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def _part(self, flat: list[np.ndarray], symbol: int) -> np.ndarray:
-        return np.array([symbol], np.uint32) if symbol < self.vocabulary else flat[1 + symbol - self.vocabulary]
-
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.lengths[symbols]
         before = np.cumsum(n) - n
